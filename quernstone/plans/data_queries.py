@@ -68,7 +68,7 @@ live as (select 'units' as tt, unit_id as k, min(case when removed_at is null th
 case_ as (select ref_table, ref_key, strftime(made, '%Y-%m') as ref_month, case when n is null then 'missing' when n <= 0 then 'removed' when since > made then 'later' end as reason
     from ref left join live on ref.tt = live.tt and ref.target = live.k
   union all select 'relevant_spans', span_id::varchar, strftime(created_at, '%Y-%m'), 'stale' from relevant_spans s join parsed_documents d using (document_id)
-    where snippet <> '' and not contains(lower(regexp_replace(coalesce(d.text, ''), '\s+', '', 'g')), lower(regexp_replace(snippet, '\s+', '', 'g'))))
+    where snippet <> '' and not contains(lower(regexp_replace(coalesce(d.text, ''), '[\s\v\p{Z}\x{85}]+', '', 'g')), lower(regexp_replace(snippet, '[\s\v\p{Z}\x{85}]+', '', 'g'))))
 """
 
 ORACLES = {

@@ -76,6 +76,12 @@ def small(df: DataFrame, most_rows: int) -> list:
     return got
 
 
+def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """DF for a join: collected and marked for broadcast if it has at most MOST_ROWS (short) rows, else as it is, for a shuffled join."""
+    got = df.limit(most_rows + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= most_rows else df
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark."""
     os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
