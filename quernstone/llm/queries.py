@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import aggregation, distinctive, leakage, lines, packing
+from quernstone.llm import aggregation, distinctive, leakage, lines, markup, neardup, packing
 from quernstone.session import table
 
 
@@ -49,6 +49,35 @@ def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
     return lines.rebuilt(*_crossed(spark, sf))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of units whose sets of runs of three words have a Jaccard similarity of at least 0.5."""
+    return neardup.similar_pairs(table(spark, sf, "units"))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups these pairs connect."""
+    return neardup.groups(table(spark, sf, "units"))
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.tokens(table(spark, sf, "units"), "units", "unit_id").unionByName(markup.tokens(table(spark, sf, "parsed_documents"), "parsed_documents", "document_id"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Units and documents whose text holds a construct of a markup language."""
+    return markup.held(_marked(spark, sf))
+
+
+def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The classes of tokens that make up each site's templates."""
+    return markup.site_templates(_marked(spark, sf)).withColumn("tokens", F.array_join("tokens", " "))
+
+
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean text of every unit and document."""
+    return markup.cleaned(table(spark, sf, "units"), "units", "unit_id").unionByName(markup.cleaned(table(spark, sf, "parsed_documents"), "parsed_documents", "document_id"))
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Containers of 2,048 tokens and the documents in them."""
     return packing.pack(table(spark, sf, "documents"))
@@ -59,7 +88,7 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.verified(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p8_pack": p8_pack, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p8_pack": p8_pack, "p9_found": p9_found}
 
 
 def _tail_sql(k: int, r: str, most: int = 5) -> str:
@@ -104,11 +133,22 @@ f as (select doc_id, array_to_string(w[i:i+12], ' ') as s from d, unnest(range(1
 select distinct item_id, doc_id from f join g using (s)
 """
 
+_PAIRS = r"""
+with u as (select distinct unit_id, text from units where text is not null),
+w as (select unit_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from u),
+s as (select unit_id, array_to_string(w, ' ') as whole, list_distinct([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)]) as s from w),
+x as (select unit_id, unnest(s) as g, len(s) as n from s),
+j as (select a.unit_id as unit_id_a, b.unit_id as unit_id_b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.g = b.g and a.unit_id < b.unit_id group by 1, 2),
+p as (select unit_id_a, unit_id_b from j where c >= 0.5 * (na + nb - c)
+  union select a.unit_id, b.unit_id from s a join s b on a.whole = b.whole and a.unit_id < b.unit_id)
+"""
+
 ORACLES = {
     "p1_found": _RANKING + "select query_id, unit_id from o where position = 1",
     "p1_ranking": _RANKING + "select query_id, position, unit_id, round(rho, 9) as rho from o where position <= 10",
     "p2_found": _WORDS + "select unit_id, arg_min(term, row(-score, term)) as term from s group by 1",
     "p2_scores": _WORDS + "select unit_id, term, n, round(score, 6) as score from s",
     "p4_found": _LINES + "select distinct unit_id, line_no from k join c using (site, k)",
+    "p6_found": _PAIRS + "select unit_id_a, unit_id_b from p",
     "p9_found": _LEAKS,
 }
