@@ -7,7 +7,7 @@ from math import comb
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import aggregation, distinctive, leakage, lines, markup, neardup, packing
+from quernstone.llm import aggregation, distinctive, leakage, lines, markup, neardup, packing, pii
 from quernstone.session import table
 
 
@@ -88,7 +88,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.verified(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p8_pack": p8_pack, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that hold personal details, by kind."""
+    return pii.find_lines(table(spark, sf, "documents"))
+
+
+def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with placeholders in place of personal details."""
+    return pii.masked(table(spark, sf, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
 
 
 def _tail_sql(k: int, r: str, most: int = 5) -> str:
