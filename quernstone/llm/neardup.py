@@ -1,11 +1,11 @@
 """Near-duplicate records: a Gray-ordered hierarchical index over fingerprints.
 
-Each distinct text has a fingerprint made of min-wise hashes of its runs of words: a long part of BANDS x ROWS hashes, and a code of
-64 bits, one from each of 64 further hashes. The index is a forest. An upper node of tree b holds all fingerprints that share the
-masked bit pattern of band b; two texts of similarity s share one at least of them with probability 1 - (1 - s ** ROWS) ** BANDS.
-Below it the codes are sorted by Gray rank, so that neighbours share bits, and factored into blocks: the bits all codes of a block
-share are the block's mask and pattern. A search adds up the differences from the root down and leaves a whole group out as soon as
-they pass the radius; what is left is compared code by code. An exact comparison of the sets of runs follows.
+Each distinct text has BANDS x ROWS min-wise hashes of its runs of words, and a fingerprint of the lowest DEPTH bits of each. The index is
+a forest. An upper node of tree b holds all texts that share the masked bit pattern of band b, ROWS whole hashes; two texts of
+similarity s share one at least of them with probability 1 - (1 - s ** ROWS) ** BANDS. Below it the fingerprints are sorted by Gray
+rank, so that neighbours share bits, and factored into blocks: the bits all of a block share are the block's mask and pattern. A search
+adds up the differences from the root down and leaves a whole group out as soon as they pass the radius; what is left is compared one by
+one. An exact comparison of the sets of runs follows.
 
 Texts equal in words are one class, represented by its least unit_id, before the index is built. So a group of copies, however large,
 is one fingerprint. A node with very many distinct texts is cut by leading bits of the Gray rank into parts; each part is searched by
@@ -29,21 +29,24 @@ from quernstone.session import bounded, cut, hot_keys
 
 RUN = 3
 SIMILARITY = 0.5
-BANDS, ROWS = 28, 3
-BITS = 64
+BANDS, ROWS, DEPTH = 30, 3, 3
+HASHES = BANDS * ROWS
+WORDS = -(-HASHES * DEPTH // 64)
 BLOCK = 32
 #: Members beyond which a node is cut into parts for several tasks.
 NODE = 20_000
 #: A class with more copies than this is given as links to its representative.
 COPIES = 100
-_SEEDS = np.random.default_rng(20).integers(1, 2**63, BANDS * ROWS + BITS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
 def radius_of(similarity: float) -> int:
-    """Differing bits that fingerprints of two texts as similar pass with a probability under one in a thousand: half of those hashes
-    that differ, plus 3.3 standard deviations."""
-    p = (1 - similarity) / 2
-    return int(np.ceil(BITS * p + 3.3 * np.sqrt(BITS * p * (1 - p))))
+    """Differing bits that fingerprints of two texts as similar pass with a probability under one in a thousand: half the bits of those
+    hashes that differ, plus 3.3 standard deviations."""
+    differ = 1 - similarity
+    mean = differ * DEPTH / 2
+    spread = differ * (DEPTH / 4 + DEPTH**2 / 4) - mean**2
+    return int(np.ceil(HASHES * mean + 3.3 * np.sqrt(HASHES * spread)))
 
 
 def _minima(values: np.ndarray, starts: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -55,54 +58,68 @@ def _minima(values: np.ndarray, starts: np.ndarray, seed: np.uint64) -> np.ndarr
 
 
 def fingerprints(texts: pa.Array, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, bands, has runs) of each text: a 64-bit code and BANDS keys."""
+    """(fingerprints, band keys, has runs) of each text: WORDS words and BANDS keys."""
     words, offsets = codes(texts)
     values, starts = runs(words, offsets, run)
-    sizes = np.diff(starts)
-    some = sizes > 0
-    code, bands = np.zeros(len(sizes), np.uint64), np.zeros((len(sizes), BANDS), np.uint64)
+    some = np.diff(starts) > 0
+    code, bands = np.zeros((len(some), WORDS), np.uint64), np.zeros((len(some), BANDS), np.uint64)
     if some.any():
         at = starts[:-1][some]
+        own = np.zeros((len(at), WORDS), np.uint64)
         for b in range(BANDS):
             key = np.full(len(at), b + 1, np.uint64)
             for r in range(ROWS):
-                key = mixed(key + _minima(values, at, _SEEDS[b * ROWS + r]))
+                least = _minima(values, at, _SEEDS[b * ROWS + r])
+                key = mixed(key + least)
+                low = mixed(least)
+                for d in range(DEPTH):
+                    bit = (b * ROWS + r) * DEPTH + d
+                    own[:, bit // 64] |= ((low >> np.uint64(d)) & np.uint64(1)) << np.uint64(63 - bit % 64)
             bands[some, b] = key
-        for k in range(BITS):
-            code[some] |= (_minima(values, at, _SEEDS[BANDS * ROWS + k]) & np.uint64(1)) << np.uint64(k)
+        code[some] = own
     return code, bands, some
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
-    """The place of a code in the Gray order of all codes."""
-    rank = code.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
+    """The place of each fingerprint (a row of words, highest first) in the Gray order of all."""
+    rank, carry = code.copy(), np.zeros(len(code), np.uint64)
+    for w in range(code.shape[1]):
+        for shift in (1, 2, 4, 8, 16, 32):
+            rank[:, w] ^= rank[:, w] >> np.uint64(shift)
+        rank[:, w] ^= np.uint64(0) - carry
+        carry = rank[:, w] & np.uint64(1)
     return rank
 
 
+def _far(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Differing bits under a mask, added up word by word."""
+    return sum(np.bitwise_count((a[..., w] ^ b[..., w]) & mask[..., w]).astype(np.int16) for w in range(a.shape[-1]))
+
+
 class Node:
-    """The blocks below an upper node: codes in Gray order, each block's mask of common bits and their pattern."""
+    """The blocks below an upper node: fingerprints in Gray order, each block's mask of common bits and their pattern."""
 
     def __init__(self, code: np.ndarray) -> None:
-        self.order = np.argsort(gray_rank(code), kind="stable")
+        self.order = np.lexsort(gray_rank(code).T[::-1])
         self.code = code[self.order]
         at = np.arange(0, len(code), BLOCK)
-        ones, zeros = np.bitwise_and.reduceat(self.code, at), ~np.bitwise_or.reduceat(self.code, at)
+        ones, zeros = np.bitwise_and.reduceat(self.code, at, axis=0), ~np.bitwise_or.reduceat(self.code, at, axis=0)
         self.mask, self.pattern = ones | zeros, ones
 
     def search(self, query: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position in QUERY, position in the node's codes as given) of all pairs within the radius."""
+        """(position in QUERY, position in the node's fingerprints as given) of all pairs within the radius."""
         for q in range(0, len(query), 256):
             part = query[q : q + 256]
-            far = np.bitwise_count((part[:, None] ^ self.pattern[None, :]) & self.mask[None, :])
+            far = _far(part[:, None], self.pattern[None], self.mask[None])
             qs, blocks = np.nonzero(far <= radius)
-            rows = blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]
-            there = rows < len(self.code)
-            rows = np.minimum(rows, len(self.code) - 1)
-            rest = np.bitwise_count((part[qs, None] ^ self.code[rows]) & ~self.mask[blocks, None])
-            near, column = np.nonzero((far[qs, blocks][:, None].astype(np.int64) + rest <= radius) & there)
-            yield qs[near] + q, self.order[rows[near, column]]
+            for k in range(0, len(qs), 8192):
+                x, y = qs[k : k + 8192], blocks[k : k + 8192]
+                rows = y[:, None] * BLOCK + np.arange(BLOCK)[None, :]
+                there = rows < len(self.code)
+                rows = np.minimum(rows, len(self.code) - 1)
+                rest = _far(part[x, None], self.code[rows], ~self.mask[y, None])
+                near, column = np.nonzero((far[x, y][:, None] + rest <= radius) & there)
+                yield x[near] + q, self.order[rows[near, column]]
 
 
 def _normal() -> Column:
@@ -124,29 +141,55 @@ def _firsts(records: DataFrame, classes: DataFrame) -> DataFrame:
     return named.join(others, "unit_id", "left_anti")
 
 
-def _bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From c1, text: a row per band with key, c1, code."""
+def _printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From c1, text: c1, code, head (the first word of code), keys."""
     for b in it:
         for k in range(0, b.num_rows, 2000):
             part = b.slice(k, 2000)
             code, bands, some = fingerprints(part.column("text"))
-            c1 = part.column("c1").to_numpy()[some]
-            yield pa.RecordBatch.from_arrays([pa.array(bands[some].ravel().view(np.int64)), pa.array(np.repeat(c1, BANDS)), pa.array(np.repeat(code[some], BANDS).view(np.int64))], ["key", "c1", "code"])
+            code, bands = np.ascontiguousarray(code[some]), np.ascontiguousarray(bands[some])
+            raw = pa.Array.from_buffers(pa.binary(8 * WORDS), len(code), [None, pa.py_buffer(code)]).cast(pa.binary())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("c1").filter(pa.array(some)), raw, pa.array(code[:, 0].copy().view(np.int64)), keys], ["c1", "code", "head", "keys"])
+
+
+def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key those whose key another row has; a row waits only for the next batch's first."""
+    last: pa.RecordBatch | None = None
+    again = False
+    for b in it:
+        if not b.num_rows:
+            continue
+        key = b.column("key").to_numpy()
+        if last is not None:
+            same = last.column("key")[0].as_py() == key[0]
+            if same or again:
+                yield last
+            again = same
+        next_ = np.concatenate([key[1:] == key[:-1], [False]])
+        before = np.concatenate([[again], next_[:-1]])
+        yield b.slice(0, b.num_rows - 1).filter(pa.array((next_ | before)[:-1]))
+        last, again = b.slice(b.num_rows - 1), bool(before[-1])
+    if last is not None and again:
+        yield last
+
+
+def _words_of(code: pa.Array) -> np.ndarray:
+    return np.frombuffer(code.buffers()[2], np.uint64, count=len(code) * WORDS, offset=code.offset * 8 * WORDS).reshape(-1, WORDS)
 
 
 def _search(radius: int):
     """From rows sorted by node (key, part), index rows and queries told by `role` (0 both, 1 index, 2 query): pairs of classes."""
 
-    def flush(t: pa.Table) -> pa.RecordBatch | None:
-        key, part = t["key"].to_numpy(), t["part"].to_numpy()
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, part, role = (t[c].to_numpy() for c in ("key", "part", "role"))
+        code = _words_of(t["code"].chunk(0))
         edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True]]))
-        code, role = t["code"].to_numpy().view(np.uint64), t["role"].to_numpy()
-        left, right = [], []
         sizes = np.diff(edges)
         two = edges[:-1][sizes == 2]  # most nodes: one comparison
-        two = two[np.bitwise_count(code[two] ^ code[two + 1]) <= radius]
-        left.append(two)
-        right.append(two + 1)
+        two = two[_far(code[two], code[two + 1], np.full((1, WORDS), ~np.uint64(0))) <= radius]
+        left, right = [two], [two + 1]
         for a, z in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2], strict=True):
             index, query = np.flatnonzero(role[a:z] != 2) + a, np.flatnonzero(role[a:z] != 1) + a
             if len(index) and len(query):
@@ -186,7 +229,7 @@ def _spread(nodes: DataFrame, hot: DataFrame | None, radius: int) -> DataFrame:
     bits = F.least(F.lit(16), F.ceil(F.log2(F.col("_n") / NODE)).cast("int"))
     named = F.broadcast(hot.select("key", bits.alias("_bits")))
     big = nodes.join(named, "key")
-    lead = F.expr("shiftrightunsigned(code, 64 - _bits)")
+    lead = F.expr("shiftrightunsigned(head, 64 - _bits)")
     rank = lead
     for shift in (1, 2, 4, 8):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
@@ -195,15 +238,20 @@ def _spread(nodes: DataFrame, hot: DataFrame | None, radius: int) -> DataFrame:
     query = big.withColumn("_lead", lead).withColumn("_p", every)
     pattern = F.col("_p").cast("bigint").bitwiseXOR(F.shiftrightunsigned(F.col("_p").cast("bigint"), 1))
     query = query.filter(F.bit_count(pattern.bitwiseXOR(F.col("_lead"))) <= radius).withColumns({"part": F.col("_p") + 1, "role": F.lit(2).cast("byte")})
-    cols = ["key", "c1", "code", "part", "role"]
+    cols = ["key", "c1", "code", "head", "part", "role"]
     return plain.join(named, "key", "left_anti").select(*cols).unionByName(index.select(*cols)).unionByName(query.select(*cols))
 
 
 def candidates(firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): classes, a < b, whose fingerprints are within the radius in some tree."""
-    nodes = cut(firsts.select("c1", "text").mapInArrow(_bands, "key bigint, c1 bigint, code bigint"), "neardup-nodes")
+    """(a, b): classes, a < b, whose fingerprints are within the radius in some tree. Keys are shuffled without fingerprints first, so
+    only texts that share an upper node with another carry theirs through the search."""
+    prints = cut(firsts.select("c1", "text").mapInArrow(_printed, "c1 bigint, code binary, head bigint, keys array<bigint>"), "neardup-prints")
+    keyed = prints.select("c1", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
+    nodes = cut(keyed.select("key", "c1").mapInArrow(_shared, "key bigint, c1 bigint"), "neardup-nodes")
+    held = nodes.join(prints.select("c1", "code", "head"), "c1")
     radius = radius_of(similarity)
-    spread = _spread(nodes, hot_keys(nodes, ["key"], NODE), radius).repartition("key", "part").sortWithinPartitions("key", "part")
+    hot = hot_keys(nodes, ["key"], NODE)
+    spread = _spread(held, hot, radius).repartition("key", "part").sortWithinPartitions("key", "part")
     return cut(spread.select("key", "part", "role", "c1", "code").mapInArrow(_search(radius), "a bigint, b bigint").distinct(), "neardup-pairs")
 
 
