@@ -29,6 +29,8 @@ WINDOW = 13
 RADIUS = 3
 SHINGLE = 5
 MOST_ITEMS = 20_000
+#: Blocks of up to so many bits have a table of all their values; longer ones are searched.
+DIRECT_BITS = 22
 
 
 def simhashes(values: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +65,8 @@ class Index:
         for lo, hi in zip(edges, edges[1:], strict=False):
             block = self.block(self.prints, lo, hi)
             order = np.argsort(block, kind="stable").astype(np.int64)
-            firsts = np.zeros((1 << (hi - lo)) + 1, np.int64)
-            np.add.at(firsts, block + 1, 1)
-            self.tables.append((lo, hi, order, np.cumsum(firsts)))
+            firsts = np.cumsum(np.bincount(block + 1, minlength=(1 << (hi - lo)) + 1)) if hi - lo <= DIRECT_BITS else None
+            self.tables.append((lo, hi, order, block[order], firsts))
         self.shingles, starts = runs(self.words, self.offsets, SHINGLE)
         owner = np.repeat(np.arange(len(ids)), np.diff(starts))
         pairs = np.unique(np.stack([self.shingles, owner.astype(np.uint64)], 1), axis=0) if len(owner) else np.empty((0, 2), np.uint64)
@@ -76,15 +77,19 @@ class Index:
 
     @staticmethod
     def block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).view(np.int64)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document window, item window) of all pairs within the radius; a pair may come from several blocks."""
         left, right = [], []
-        for lo, hi, order, firsts in self.tables:
+        for lo, hi, order, values, firsts in self.tables:
             block = self.block(prints, lo, hi)
-            begin = firsts[block]
-            n = firsts[block + 1] - begin
+            if firsts is None:
+                begin = np.searchsorted(values, block)
+                n = np.searchsorted(values, block, "right") - begin
+            else:
+                begin = firsts[block]
+                n = firsts[block + 1] - begin
             some = np.flatnonzero(n)
             n, begin = n[some], begin[some]
             ends = np.cumsum(n)

@@ -36,7 +36,7 @@ _UP = r"[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-ÖØ-Þ]{2,})?"
 TITLES = "Mr Mrs Ms Miss Mx Dr Prof Professor Doctor Sir Herr Frau Monsieur Madame Mademoiselle Mme Mlle M Señor Señora Srta Sr Sra Don Doña Ing".split()
 CUES = "Dear Contact Maintainer Maintained Author Authors Reviewer Reviewed Thanks Merci Dank Gracias Reported Signalé Gemeldet Informado Hi Hello Hallo Bonjour Hola Lieber Liebe Cher Chère Estimado Estimada From To Cc By Von Par Por Ask Call Attn Regards Sincerely Signed Written Holder Owner Questions Write Ship Office Invoices Adresse Anschrift Dirección Passport Kontakt Contacto".split()
 STREETS = "Street St Road Rd Lane Ln Avenue Ave Terrace Drive Dr Way Court Ct Square Sq Place Pl Boulevard Blvd Close Crescent Row Hill Walk Gardens Parkway Highway Mews Grove".split()
-_TITLE = rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?"
+_TITLE = rf"(?:{'|'.join(sorted({*TITLES, *(t.upper() for t in TITLES)}, key=lambda t: (-len(t), t)))})\b\.?"
 _PARTICLE = r"(?:(?:van|von|de|di|da|del|bin|al)\ (?:(?:der|den|la|las|los)\ )?)?"
 _CITY = r"(?:,?\ (?:(?:[A-Z]{1,2}-)?\d{4,5}\ )?[A-ZÀ-ÖØ-Þ][\w'’-]+(?:\ \d{4,5}\b)?)?"
 _WORD = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"

@@ -126,9 +126,9 @@ _WORDS = r"""
 with u as (select distinct unit_id, text from units where text is not null),
 w as (select unit_id, unnest(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')) as term from u),
 t as (select term, count(*) as n_term from w where term <> '' group by 1),
-z as (select sum(pow(n_term, 0.75)) as z from t),
+z as (select sum(pow(n_term, 0.4)) as z from t),
 o as (select unit_id, term, count(*) as n from w where term <> '' and unit_id in (select unit_id from term_probes) group by 1, 2),
-s as (select unit_id, term, n, round(greatest(0.0, ln(n / sum(n) over (partition by unit_id) * z / pow(n_term, 0.75))), 9) as score from o join t using (term), z)
+s as (select unit_id, term, n, round(greatest(0.0, ln(n / sum(n) over (partition by unit_id) * z / pow(n_term, 0.4))), 9) as score from o join t using (term), z)
 """
 _LINES = r"""
 with l as (select distinct unit_id, source_uri, i as line_no, string_split(text, chr(10))[i] as line from units, unnest(range(1, len(string_split(text, chr(10))) + 1)) as r(i)),
