@@ -1,62 +1,77 @@
-"""BM25 over an inverted table of postings, for whole batches of questions in one job.
+"""BM25 for whole batches of questions in one job.
 
-An index is three tables: postings (term, unit_id, tf, len), terms (term, df) and one row of statistics. Scores use global statistics;
-filters only drop candidates. A question's terms count once each. Scores are rounded to nine places before ranking, ties go by unit_id.
+An index is a forward table (unit_id, tokens), postings (term, unit_id, tf, len), terms (term, df) and its statistics. Scores use global
+statistics; filters only drop candidates. A question's terms count once each. Scores are rounded to nine places before ranking, ties go
+by unit_id.
 
-Exact with early termination: a question's frequent terms are left out at first. Its K-th best score over the rare ones, and the most
-the frequent ones could add, decide which units can still be among the K; only for these, looked up by unit, are frequent terms added.
-Questions for which that decides nothing are scored in full.
+Search reads the forward table once and never shuffles it: the questions' terms, whose number is checked, are sent to the executors;
+each scores its units in blocks, as sums of rows of a small matrix of term weights, and keeps the K best per question with all ties.
+What is shuffled is about K rows per question and task. Joining questions to postings instead makes a row per question and unit for
+every frequent term, which is nearly all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import quick_fold, tokens
-from quernstone.session import cut
+from quernstone.session import cut, small
 
 K1, B = 1.2, 0.75
-#: Terms in more than this share of all units count as frequent.
-FREQUENT = 0.02
-#: An index of fewer postings is searched in full at once.
-SMALL = 200_000
+#: Terms of all questions together that one pass takes; larger batches are to be split.
+MOST_TERMS = 2_000_000
+_UNITS, _QUESTIONS = 256, 1024
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame
+    forward: DataFrame
     terms: DataFrame
     n_units: int
     mean_length: float
-    n_postings: int
+
+    @property
+    def postings(self) -> DataFrame:
+        return _postings(self.forward)
+
+
+def _forward(units: DataFrame, text: Column | None) -> DataFrame:
+    return units.filter("unit_id is not null").select("unit_id", F.coalesce(tokens(quick_fold(F.col("text") if text is None else text)), F.array().cast("array<string>")).alias("tokens"))
+
+
+def _postings(forward: DataFrame) -> DataFrame:
+    t = forward.select("unit_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    return t.groupBy("unit_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "unit_id", "tf", "len")
 
 
 def postings_of(units: DataFrame, text: Column | None = None) -> DataFrame:
     """(term, unit_id, tf, len) of units' surfaces; len counts all tokens."""
-    words = tokens(quick_fold(F.col("text") if text is None else text))
-    u = units.select("unit_id", words.alias("_t")).filter("unit_id is not null and _t is not null")
-    return u.select("unit_id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("unit_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "unit_id", "tf", "len")
+    return _postings(_forward(units, text))
+
+
+def _indexed(forward: DataFrame) -> LexicalIndex:
+    forward = cut(forward, "forward")
+    distinct = forward.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    terms = cut(distinct.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    s = forward.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("l")).first()
+    return LexicalIndex(forward, terms, s["n"], (s["l"] or 0) / s["n"] if s["n"] else 0.0)
 
 
 def build(units: DataFrame, text: Column | None = None) -> LexicalIndex:
-    """Index of units, each of which must be there once. Statistics are derived from the postings, never maintained. A unit without
-    tokens counts as a unit of length zero."""
-    postings = cut(postings_of(units, text), "postings")
-    terms = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    n = units.filter("unit_id is not null").count()
-    total = postings.agg(F.sum("tf").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return LexicalIndex(postings, terms, n, (total["s"] or 0) / n if n else 0.0, total["n"])
+    """Index of units, each of which must be there once. Statistics are derived, never maintained. A unit without tokens counts as one of
+    length zero."""
+    return _indexed(_forward(units, text))
 
 
 def without_units(index: LexicalIndex, gone: DataFrame) -> LexicalIndex:
     """Index without the units of GONE; statistics follow."""
-    left = cut(index.postings.join(gone.select("unit_id"), "unit_id", "left_anti"), "postings")
-    s = left.agg(F.sum("tf").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    n = index.n_units - gone.select("unit_id").distinct().count()
-    return LexicalIndex(left, cut(left.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), n, (s["s"] or 0) / n if n else 0.0, s["n"])
+    return _indexed(index.forward.join(gone.select("unit_id"), "unit_id", "left_anti"))
 
 
 def question_terms(queries: DataFrame) -> DataFrame:
@@ -64,37 +79,81 @@ def question_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(quick_fold(F.col("query"))))).alias("term")).distinct()
 
 
-def _contribution(mean_length: float) -> Column:
-    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean_length))
-
-
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+class _Questions:
+    """Questions as runs of (term, idf), and the K best scores of each so far."""
+
+    def __init__(self, rows: list, k: int, mean_length: float) -> None:
+        rows = sorted((r["query_id"], r["term"], r["idf"]) for r in rows)
+        self.ids = list(dict.fromkeys(q for q, _, _ in rows))
+        at = {q: k for k, q in enumerate(self.ids)}
+        self.vocabulary = {t: k for k, t in enumerate(dict.fromkeys(t for _, t, _ in rows))}
+        self.owner = np.array([at[q] for q, _, _ in rows], np.int64)
+        self.term = np.array([self.vocabulary[t] for _, t, _ in rows], np.int64)
+        self.idf = np.array([i for *_, i in rows], np.float64)
+        self.k, self.mean_length = k, mean_length
+
+    def weights(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The block's terms that are asked for, and each unit's weight for them."""
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        known = np.array([self.vocabulary.get(w, -1) for w in words.dictionary.to_pylist()] or [-1], np.int64)
+        codes = known[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        lengths = np.diff(offsets)
+        unit = np.repeat(np.arange(len(lengths)), lengths)
+        pairs, tf = np.unique((codes * len(lengths) + unit)[codes >= 0], return_counts=True)
+        present, row = np.unique(pairs // len(lengths), return_inverse=True)
+        unit = pairs % len(lengths)
+        w = np.zeros((len(present), len(lengths)))
+        w[row, unit] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[unit] / self.mean_length))
+        return present, w
+
+    def best(self, blocks: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """(units, question, unit, score) per block: all that are among the K best of their question so far."""
+        top = np.zeros((len(self.ids), self.k))
+        place = np.full(len(self.vocabulary), -1, np.int64)
+        for ids, lists in blocks:
+            present, w = self.weights(lists)
+            if not len(present):
+                continue
+            place[present] = np.arange(len(present))
+            held = np.flatnonzero(place[self.term] >= 0)
+            owners, firsts = np.unique(self.owner[held], return_index=True)
+            edges = np.append(firsts, len(held))
+            for a in range(0, len(owners), _QUESTIONS):
+                z = min(len(owners), a + _QUESTIONS)
+                own = held[edges[a] : edges[z]]
+                s = np.round(np.add.reduceat(w[place[self.term[own]]] * self.idf[own, None], edges[a:z] - edges[a], axis=0), 9)
+                q = owners[a:z]
+                keep = (s > 0) & (s >= top[q].min(axis=1)[:, None])
+                both = np.concatenate([top[q], s], axis=1)
+                top[q] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+                x, u = np.nonzero(keep & (s >= top[q].min(axis=1)[:, None]))
+                yield ids, q[x], u, s[x, u]
+            place[present] = -1
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, unit_id, score): the K best units of each question; only those of ALLOWED (unit_id) if it is given."""
-    if not index.n_units or not index.n_postings:
-        return queries.select("query_id", F.lit(1).alias("rank"), F.lit("").alias("unit_id"), F.lit(0.0).alias("score")).limit(0)
+    """(query_id, rank, unit_id, score): the K best units of each question; only those of ALLOWED (unit_id) if it is given. A question
+    without a term of the index has none."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    unit_kind = index.forward.schema["unit_id"].dataType.simpleString()
     idf = F.log1p((F.lit(index.n_units) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = question_terms(queries).join(index.terms, "term").withColumn("idf", idf)
-    postings = index.postings if allowed is None else index.postings.join(allowed.select("unit_id"), "unit_id", "left_semi")
-    score = F.round(F.sum(_contribution(index.mean_length)), 9).alias("score")
-    if index.n_postings < SMALL:
-        return _top(asked.join(postings, "term").groupBy("query_id", "unit_id").agg(score), k).select("query_id", "rank", "unit_id", "score")
-    asked = cut(asked.withColumn("frequent", F.col("df") > FREQUENT * index.n_units), "questions")
-    bound = asked.groupBy("query_id").agg(F.sum(F.when(F.col("frequent"), F.col("idf") * (K1 + 1)).otherwise(0.0)).alias("most"))
-    rare = asked.filter(~F.col("frequent")).join(postings, "term").groupBy("query_id", "unit_id").agg(F.sum(_contribution(index.mean_length)).alias("part"))
-    rare = cut(rare, "rare-scores")
-    kth = _top(rare.withColumnRenamed("part", "score"), k).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    decided = cut(kth.filter(F.col("n") == k).join(bound, "query_id").filter(F.col("least") > F.col("most")).select("query_id", "least", "most"), "decided")
-    near = rare.join(decided, "query_id").filter(F.col("part") + F.col("most") >= F.col("least")).select("query_id", "unit_id", "part")
-    frequent = asked.filter("frequent").select("query_id", "term", "idf")
-    added = near.select("query_id", "unit_id").join(frequent, "query_id").join(postings, ["unit_id", "term"]).groupBy("query_id", "unit_id").agg(F.sum(_contribution(index.mean_length)).alias("rest"))
-    done = near.join(added, ["query_id", "unit_id"], "left").select("query_id", "unit_id", F.round(F.col("part") + F.coalesce("rest", F.lit(0.0)), 9).alias("score"))
-    open_ = asked.join(decided, "query_id", "left_anti").join(postings, "term").groupBy("query_id", "unit_id").agg(score)
-    return _top(done.unionByName(open_), k).select("query_id", "rank", "unit_id", "score")
+    asked = small(question_terms(queries).filter("query_id is not null").join(index.terms, "term").select("query_id", "term", idf.alias("idf")), MOST_TERMS) if index.n_units else []
+    if not asked:
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, rank int, unit_id {unit_kind}, score double")
+    shared = queries.sparkSession.sparkContext.broadcast(_Questions(asked, k, index.mean_length))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions = shared.value
+        names = pa.array(questions.ids)
+        blocks = ((b.column(0).slice(a, _UNITS), b.column(1).slice(a, _UNITS)) for b in batches for a in range(0, b.num_rows, _UNITS))
+        for ids, q, u, s in questions.best(blocks):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(u)), pa.array(s)], ["query_id", "unit_id", "score"])
+
+    forward = index.forward if allowed is None else index.forward.join(allowed.select("unit_id").distinct(), "unit_id", "left_semi")
+    near = forward.select("unit_id", "tokens").mapInArrow(run, f"query_id {kind}, unit_id {unit_kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "unit_id", "score")
 
 
 def statistics(index: LexicalIndex) -> DataFrame:

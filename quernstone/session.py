@@ -18,6 +18,8 @@ HOT_ROWS = 200_000
 #: Upper bound of the keys treated apart, and so of what split_hot() broadcasts.
 HOT_KEYS = 20_000
 
+_CUT: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table NAME of a directory, a file or a folder of files."""
@@ -39,11 +41,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _CUT.append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that cut() wrote in this process; call it when no DataFrame made from them is needed any more."""
+    n = len(_CUT)
+    while _CUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame | None:
     """The keys that hold more than max(ROWS, all/MOST) rows, or None.
 
