@@ -35,8 +35,11 @@ WORDS = -(-HASHES * DEPTH // 64)
 BLOCK = 32
 #: Members beyond which a node is cut into parts for several tasks.
 NODE = 20_000
-#: A class with more copies than this is given as links to its representative.
-COPIES = 100
+#: None: every pair is given. Else a class with more copies than this is given as links to its representative, which loses pairs and is
+#: only for callers that ask what is connected.
+COPIES: int | None = None
+#: Members of a class in one task of a join; larger classes are salted by member.
+CHUNK = 1_000
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
@@ -283,29 +286,50 @@ def similar_firsts(firsts: DataFrame, pairs: DataFrame, run: int = RUN, similari
     return both.mapInArrow(_similar(run, similarity), "unit_id_a string, unit_id_b string, similarity double")
 
 
-def similar_pairs(records: DataFrame, run: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
-    """(unit_id_a, unit_id_b): all pairs of records as similar. A class of more than COPIES records equal in words takes part by its
-    representative, and its other members by one link each to that, so no link between different texts is lost."""
+def _chunk(n: str, member: str) -> Column:
+    """The chunk of a class of N members that a member is in."""
+    return F.expr(f"cast(pmod(xxhash64({member}), {_chunks(n)}) as int)")
+
+
+def _chunks(n: str) -> str:
+    return f"cast(ceil({n} / {CHUNK}) as int)"
+
+
+def _members_of(pairs: DataFrame, repeated: DataFrame, copies: DataFrame, side: str, other: str) -> DataFrame:
+    """PAIRS with each member of the class of SIDE, a representative, in its place. A pair is sent to each chunk of a large class."""
+    sizes = repeated.select(F.col("rep").alias(side), "_n")
+    sent = pairs.join(bounded(sizes), side, "left").withColumn("_chunk", F.explode(F.expr(f"sequence(0, {_chunks('coalesce(_n, 1)')} - 1)"))).drop("_n")
+    held = copies.select(F.col("rep").alias(side), _chunk("_n", "unit_id").alias("_chunk"), F.col("unit_id").alias("_member"))
+    return sent.join(held, [side, "_chunk"], "left").select(F.coalesce("_member", side).alias(side), other)
+
+
+def similar_pairs(records: DataFrame, run: int = RUN, similarity: float = SIMILARITY, copies: int | None = None) -> DataFrame:
+    """(unit_id_a, unit_id_b): all pairs of records as similar, so n * (n - 1) / 2 of a class of n records equal in words. Only if COPIES
+    is given, a class of more records takes part by its representative, and its others by one link each to that, which connects the same."""
+    most = COPIES if copies is None else copies
     records = records.select("unit_id", "text")
     classes = members(records)
     firsts = _firsts(records, classes)
     reps = cut(similar_firsts(firsts, candidates(firsts, similarity), run, similarity), "neardup-similar").select("unit_id_a", "unit_id_b")
     own = ["c1", "c2"]
     repeated = classes.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("unit_id").alias("rep")).filter("_n > 1")
-    copies = cut(classes.join(repeated, own).select("unit_id", "rep", "_n"), "neardup-copies")
-    links = copies.filter((F.col("_n") > COPIES) & (F.col("unit_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("unit_id").alias("y"))
-    few = copies.filter(F.col("_n") <= COPIES)
-    within = few.select("rep", F.col("unit_id").alias("x")).join(few.select("rep", F.col("unit_id").alias("y")), "rep").filter("x < y").select("x", "y")
-    a, b = few.select(F.col("rep").alias("unit_id_a"), F.col("unit_id").alias("x")), few.select(F.col("rep").alias("unit_id_b"), F.col("unit_id").alias("y"))
-    across = reps.join(a, "unit_id_a", "left").join(b, "unit_id_b", "left").select(F.coalesce("x", "unit_id_a").alias("x"), F.coalesce("y", "unit_id_b").alias("y"))
-    every = links.unionByName(within).unionByName(across)
+    held = cut(classes.join(repeated, own).select("unit_id", "rep", "_n"), "neardup-copies")
+    links = held.limit(0) if most is None else held.filter((F.col("_n") > most) & (F.col("unit_id") != F.col("rep")))
+    links = links.select(F.col("rep").alias("x"), F.col("unit_id").alias("y"))
+    few = held if most is None else held.filter(F.col("_n") <= most)
+    left = few.select("rep", F.explode(F.expr(f"sequence(0, {_chunks('_n')} - 1)")).alias("_chunk"), F.col("unit_id").alias("x"))
+    right = few.select("rep", _chunk("_n", "unit_id").alias("_chunk"), F.col("unit_id").alias("y"))
+    within = left.join(right, ["rep", "_chunk"]).filter("x < y").select("x", "y")
+    sizes = few.filter("unit_id = rep").select("rep", "_n")
+    across = _members_of(_members_of(reps, sizes, few, "unit_id_a", "unit_id_b"), sizes, few, "unit_id_b", "unit_id_a")
+    every = links.unionByName(within).unionByName(across.select(F.col("unit_id_a").alias("x"), F.col("unit_id_b").alias("y")))
     return every.select(F.least("x", "y").alias("unit_id_a"), F.greatest("x", "y").alias("unit_id_b")).distinct()
 
 
 def groups(records: DataFrame, run: int = RUN, similarity: float = SIMILARITY) -> DataFrame:
-    """(unit_id, group_id): connected records; the group's least unit_id. Large and small stars alternate until nothing changes, each
+    """(unit_id, group_id): connected records; the group's least unit_id. Links to a class's representative do for that. Large and small stars alternate until nothing changes, each
     round one aggregation and written table, so nothing is collected."""
-    pairs = similar_pairs(records, run, similarity)
+    pairs = similar_pairs(records, run, similarity, copies=1)
     labels = cut(pairs.select(F.col("unit_id_a").alias("u"), F.col("unit_id_b").alias("v")), "neardup-edges")
     while True:
         both = labels.unionByName(labels.select(F.col("v").alias("u"), F.col("u").alias("v")))

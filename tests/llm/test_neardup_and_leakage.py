@@ -74,6 +74,20 @@ def test_copies_and_edges(spark, monkeypatch):
     assert rows(neardup.similar_pairs(df.limit(0))) == []
 
 
+def test_large_classes_give_all_pairs(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    text = r.choice([f"w{k}" for k in range(99)], 60).tolist()
+    same = lambda t, k: (", " if k % 2 else " ").join(w.upper() if k >> j & 1 else w for j, w in enumerate(t))
+    near = [*text[:30], "edited", *text[31:]]
+    data = [(f"a{k:03}", same(text, k)) for k in range(130)] + [(f"b{k:03}", same(near, k % 3)) for k in range(120)] + [("c", " ".join(["other", *text[1:]]))]
+    df, want = spark.createDataFrame(data, UNITS), similar(data)
+    assert len(want) == 251 * 250 // 2
+    for chunk in (neardup.CHUNK, 50):
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
+        assert rows(neardup.similar_pairs(df)) == want
+    assert set(rows(neardup.groups(df))) == {(u, "a000") for u, _ in data}
+
+
 def test_chains_become_one_group(spark):
     r = np.random.default_rng(0)
     text = [f"w{k}" for k in r.integers(0, 5000, 80)]
