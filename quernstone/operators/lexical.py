@@ -4,7 +4,7 @@ An index is a forward table (unit_id, tokens), postings (term, unit_id, tf, len)
 statistics; filters only drop candidates. A question's terms count once each. Scores are rounded to nine places before ranking, ties go
 by unit_id.
 
-Search reads the forward table once and never shuffles it: the questions' terms, whose number is checked, are sent to the executors;
+Search reads the forward table once per pass and never shuffles it: the questions' terms are sent to the executors, in passes of a fixed number;
 each scores its units in blocks, as sums of rows of a small matrix of term weights, and keeps the K best per question with all ties.
 What is shuffled is about K rows per question and task. Joining questions to postings instead makes a row per question and unit for
 every frequent term, which is nearly all pairs.
@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import quick_fold, tokens
-from quernstone.session import cut, small
+from quernstone.session import cut, passes
 
 K1, B = 1.2, 0.75
-#: Terms of all questions together that one pass takes; larger batches are to be split.
+#: Terms of all questions together that one pass takes; more are searched in several.
 MOST_TERMS = 2_000_000
 _UNITS, _QUESTIONS = 256, 1024
 
@@ -138,10 +139,25 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, allowed: DataFrame |
     kind = queries.schema["query_id"].dataType.simpleString()
     unit_kind = index.forward.schema["unit_id"].dataType.simpleString()
     idf = F.log1p((F.lit(index.n_units) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = small(question_terms(queries).filter("query_id is not null").join(index.terms, "term").select("query_id", "term", idf.alias("idf")), MOST_TERMS) if index.n_units else []
-    if not asked:
+    terms = question_terms(queries).filter("query_id is not null").join(index.terms, "term").select("query_id", "term", idf.alias("idf"))
+    n, blocks = passes(terms, "query_id", MOST_TERMS) if index.n_units else (0, iter(()))
+    forward = index.forward if allowed is None else index.forward.join(allowed.select("unit_id").distinct(), "unit_id", "left_semi")
+    if n > 1 and allowed is not None:
+        forward = cut(forward, "forward-allowed")
+    near = None
+    for asked in blocks:
+        if asked:
+            shared = queries.sparkSession.sparkContext.broadcast(_Questions(asked, k, index.mean_length))
+            found = forward.select("unit_id", "tokens").mapInArrow(_best(shared), f"query_id {kind}, unit_id {unit_kind}, score double")
+            near = found if near is None else near.unionByName(found)
+    if near is None:
         return queries.sparkSession.createDataFrame([], f"query_id {kind}, rank int, unit_id {unit_kind}, score double")
-    shared = queries.sparkSession.sparkContext.broadcast(_Questions(asked, k, index.mean_length))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "unit_id", "score")
+
+
+def _best(shared: Broadcast):
+    """From batches of the forward table: (query_id, unit_id, score) of all that may be among the K best of a question of SHARED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions = shared.value
@@ -150,10 +166,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int, allowed: DataFrame |
         for ids, q, u, s in questions.best(blocks):
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(u)), pa.array(s)], ["query_id", "unit_id", "score"])
 
-    forward = index.forward if allowed is None else index.forward.join(allowed.select("unit_id").distinct(), "unit_id", "left_semi")
-    near = forward.select("unit_id", "tokens").mapInArrow(run, f"query_id {kind}, unit_id {unit_kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "unit_id", "score")
+    return run
 
 
 def statistics(index: LexicalIndex) -> DataFrame:

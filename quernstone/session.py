@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
@@ -88,6 +89,18 @@ def small(df: DataFrame, most_rows: int) -> list:
     return got
 
 
+def passes(df: DataFrame, key: str, most_rows: int) -> tuple[int, Iterator[list]]:
+    """How many lists of about MOST_ROWS rows DF is, and the lists one after another, so that the driver holds one at a time. All rows of
+    a key are in one list."""
+    got = df.limit(most_rows + 1).collect()
+    if len(got) <= most_rows:
+        return (1, iter([got])) if got else (0, iter(()))
+    del got
+    held = cut(df, "passes")
+    n = -(-held.count() // most_rows)
+    return n, (held.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).collect() for i in range(n))
+
+
 def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """DF for a join: collected and marked for broadcast if it has at most MOST_ROWS (short) rows, else as it is, for a shuffled join."""
     got = df.limit(most_rows + 1).collect()

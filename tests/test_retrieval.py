@@ -76,6 +76,24 @@ def test_pinned_hash_vectors(spark):
     assert np.allclose(q, [0, -0.37796, 0, -0.75593, 0, -0.37796, 0, 0.37796], atol=1e-5)
 
 
+def test_questions_beyond_one_pass_are_all_answered(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(30)]
+    units = spark.createDataFrame([(f"u{k:03}", " ".join(r.choice(vocabulary, 8))) for k in range(60)], "unit_id string, text string")
+    questions = spark.createDataFrame([(f"q{k:02}", " ".join(r.choice(vocabulary, 3))) for k in range(23)] + [("q98", ""), ("q99", None)], "query_id string, query string")
+    index, some = lexical.build(units), units.filter("unit_id < 'u030'")
+
+    def results():
+        asked = dense.hash_embed_queries(questions, units, 16)
+        return [rows(x) for x in (asked, dense.search(dense.hash_embed(units, 16), asked, 4), lexical.search(index, questions, 4), lexical.search(index, questions, 4, some))]
+
+    whole = results()
+    monkeypatch.setattr(dense, "MOST_QUERIES", 6)
+    monkeypatch.setattr(dense, "MOST_FEATURES", 40, raising=False)
+    monkeypatch.setattr(lexical, "MOST_TERMS", 15)
+    assert results() == whole and len(whole[0]) == 25 and len({q for q, *_ in whole[1]}) == 25 and len({q for q, *_ in whole[2]}) == 23
+
+
 def test_latent_model_spans_the_leading_subspace(spark):
     r = np.random.default_rng(2)
     topics = [[f"a{k}" for k in range(8)], [f"b{k}" for k in range(8)], [f"c{k}" for k in range(8)]]
