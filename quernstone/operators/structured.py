@@ -185,6 +185,22 @@ def run(records: DataFrame, query: StructuredQuery, key: str = "unit_id") -> Dat
     return rows.select(*[F.col(f"`{c}`") for c in query.select], *[c for c in grouped.columns if c not in query.group_by])
 
 
+def run_each(records: DataFrame, queries: Sequence[StructuredQuery], key: str = "unit_id") -> DataFrame:
+    """(number, rank, KEY, selected, score): queries for single rows in the order of their key, by their place in QUERIES, in one reading
+    of the records. `selected` has the fields asked for as text. The limit is as in run()."""
+    if any(q.group_by or q.aggregations or q.order_by for q in queries):
+        raise ValueError("only queries for single rows, without an order of their own, run together")
+
+    def hit(i: int, q: StructuredQuery) -> Column:
+        fields = [x for c in q.select if c in records.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+        row = F.struct(F.lit(i).alias("number"), F.lit(q.limit or 1000).alias("most"), (F.create_map(*fields) if fields else F.create_map()).cast("map<string,string>").alias("selected"))
+        return F.when(compiled(q.where, records.schema), row)
+
+    hits = records.select(F.col(key), F.explode(F.array_compact(F.array(*[hit(i, q) for i, q in enumerate(queries)]))).alias("h")).select(key, "h.*")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy(key)))
+    return ranked.filter(F.col("rank") <= max(q.limit or 1000 for q in queries)).filter("rank <= most").select("number", "rank", key, "selected", F.lit(1.0).alias("score"))
+
+
 def filter_search(records: DataFrame, where: Predicate | None, top_k: int, unit_ids: Sequence[str] | None = None) -> DataFrame:
     """(unit_id, rank, score) of records that pass a filter or are named; with neither, none."""
     if where is None and unit_ids is None:

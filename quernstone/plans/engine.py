@@ -35,6 +35,8 @@ class EngineConfig:
 
 LEDGER = "document_id string, source_uri string, content_hash string, unit_ids array<string>, stage_keys map<string,string>, build_id string"
 FIELDS = "map<string,string>"
+#: Distinct structured queries that one reading of the records answers.
+STRUCTURED_BLOCK = 50
 
 
 class Engine:
@@ -90,7 +92,8 @@ class Engine:
 
     def query(self, queries: DataFrame, routed: bool = True, lexicon: list[str] = (), types: dict[str, str] | None = None, where: structured.Predicate | None = None) -> DataFrame:
         """(query_id, path, rank, unit_id, score, document_id, ...): each question by its path: structured rows, one pass, or rounds over its
-        sub-questions; lists are fused, reranked and hydrated. WHERE holds on every path."""
+        sub-questions; lists are fused, reranked and hydrated, TOP_K of them; structured rows are as many as the question's query asks for, with
+        its fields in `selected`. WHERE holds on every path."""
         c, units = self.config, self.store.read("units")
         records = self._records(units, types or {})
         q = (route.route(queries, list(lexicon), types, structured=bool(lexicon)) if routed else route.route_passthrough(queries))
@@ -114,12 +117,17 @@ class Engine:
         return units.select("unit_id", "document_id", "source_uri", *[F.try_element_at("fields", F.lit(k)).try_cast(sql[v]).alias(k) for k, v in types.items()])
 
     def _structured(self, asked: DataFrame, records: DataFrame, where: structured.Predicate | None) -> DataFrame | None:
-        """Structured questions are plans, not data: one branch each, so their number is bounded."""
-        from quernstone.session import small
+        """(query_id, rank, unit_id, score, selected): the rows each question's own query asks for. Questions with the same query share it;
+        distinct queries run in blocks, each one reading of the records, so their number has no bound."""
+        from quernstone.session import cut, passes
 
+        asked = cut(asked.select("query_id", "predicate", "select"), "structured-questions")
         out = None
-        for r in small(asked.select("query_id", "predicate"), 200):
-            p = structured.all_of([x for x in (route.predicate_of(r["predicate"]), where) if x is not None])
-            rows = structured.filter_search(records, p, self.config.top_k).select(F.lit(r["query_id"]).alias("query_id"), "rank", "unit_id", "score")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        for held in passes(asked.select("predicate", "select").distinct(), "predicate", 10_000)[1]:
+            for a in range(0, len(held), STRUCTURED_BLOCK):
+                block = held[a : a + STRUCTURED_BLOCK]
+                plans = [structured.StructuredQuery(structured.all_of([x for x in (route.predicate_of(r["predicate"]), where) if x is not None]), tuple(r["select"]), limit=route.LIMIT) for r in block]
+                named = self.spark.createDataFrame([(i, r["predicate"], r["select"]) for i, r in enumerate(block)], "number int, predicate string, select array<string>")
+                rows = cut(structured.run_each(records, plans).join(F.broadcast(named), "number").drop("number"), "structured-rows")
+                out = rows if out is None else out.unionByName(rows)
+        return None if out is None else out.join(asked, ["predicate", "select"]).select("query_id", "rank", "unit_id", "score", "selected")

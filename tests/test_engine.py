@@ -51,6 +51,21 @@ def test_incremental_builds_and_queries(spark, tmp_path):
     assert rows(other.plan(corpus(spark, changed)).select("change").distinct()) == [("UNCHANGED",)]
 
 
+def test_many_structured_questions_with_all_their_rows(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    e.build(corpus(spark, {f"p{k:02}.md": f"# Page {k}\n\n" + "Reading waits for the read timeout of the client. " * 8 + f"timeout={k}" for k in range(55)}), "b1")
+    asked = [(f"q{k:03}", f"timeout seconds greater than {k - 150}") for k in range(205)] + [("z1", "timeout seconds greater than 40"), ("z2", "where is the read timeout")]
+    asked = [(q, t.replace("-", "")) for q, t in asked]  # up to 150 twice, distinct ones still more than one block
+    many = [(f"m{k:03}", f"timeout seconds less than {k + 300}") for k in range(205)]
+    q = spark.createDataFrame(asked + many, "query_id string, query string")
+    got = e.query(q, lexicon=["timeout_seconds"], types={"timeout_seconds": "int"}).select("query_id", "path", "rank", "unit_id", "selected").collect()
+    mine = lambda k: [r for r in got if r["query_id"] == k]
+    assert [len(mine(k)) for k in ("m000", "m204", "z1", "q190")] == [50, 50, 14, 14]
+    assert sorted(int(r["selected"]["timeout_seconds"]) for r in mine("z1")) == list(range(41, 55))
+    assert [r["rank"] for r in sorted(mine("m007"), key=lambda r: r["unit_id"])] == list(range(1, 51))
+    assert {r["path"] for r in mine("z2")} == {"lookup"} and all(r["selected"] is None for r in mine("z2"))
+
+
 def test_plan_compares_key_sets_both_ways(spark):
     book = spark.createDataFrame([("a", "h", {"parse": "1", "enrich:x": "1"}), ("b", "h", None), ("gone", "h", {})], "document_id string, content_hash string, stage_keys map<string,string>")
     now = spark.createDataFrame([("a", "h"), ("b", "g"), ("new", "h")], "document_id string, content_hash string")
