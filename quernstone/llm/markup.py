@@ -7,7 +7,7 @@ Three steps over whole texts:
 2. Templates, by equivalence classes. A token's occurrence vector is its number in each page of a site; tokens with equal vectors are a
    class. A vector is known by a 128-bit signature, the XOR of hashes of (page, number), which is aggregated in parts, so a site with a
    third of all pages needs no task of its own. Classes of two or more tokens on two or more pages are ordered by where their tokens
-   first stand; a class lies in the one whose span encloses its own. These are the site's template; the text between is its slots.
+   first stand; a class lies in the one whose span encloses its own. These are the site's template; slots() gives the text between.
 3. Clean text. Constructs become text; headings, list items, code and formulas keep a mark (HEADING, ITEM, CODE, FORMULA below).
 
 A construct that stands once on a site has no class, so whether a record holds markup is decided by its tokens, not by classes.
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.session import bounded
+
 #: Element names of HTML and of wiki extensions.
 ELEMENTS = "a abbr address article aside audio b blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark math meta nav noinclude nowiki ol option p pre q ref references s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead title tr tt u ul var video".split()
 #: LaTeX commands that may stand without braces.
@@ -111,8 +113,8 @@ def site_templates(marked: DataFrame) -> DataFrame:
     opened = lambda x: F.array_position("tokens", F.regexp_replace(x, "^</", "<"))
     ordered = F.forall("tokens", lambda x: ~x.startswith("</") | (opened(x) == 0) | (opened(x) < F.array_position("tokens", x)))
     classes = classes.withColumn("valid", (F.size("tokens") >= 2) & (F.col("pages") >= 2) & ordered)
-    outer = classes.filter("valid").select("site", F.col("class_id").alias("inside"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    nested = classes.join(outer, (classes["site"] == outer["site"]) & (F.col("olo") <= F.col("lo")) & (F.col("ohi") >= F.col("hi")) & ((F.col("ohi") - F.col("olo")) > (F.col("hi") - F.col("lo"))), "left").drop(outer["site"])
+    outer = classes.filter("valid").select(F.col("site").alias("_site"), F.col("class_id").alias("inside"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
+    nested = classes.join(outer, (F.col("site") == F.col("_site")) & (F.col("olo") <= F.col("lo")) & (F.col("ohi") >= F.col("hi")) & ((F.col("ohi") - F.col("olo")) > (F.col("hi") - F.col("lo"))), "left").drop("_site")
     return nested.groupBy("site", "class_id", "pages", "total", "tokens", "valid").agg(F.min_by("inside", F.struct(F.col("ohi") - F.col("olo"), "inside")).alias("inside"))
 
 
@@ -208,3 +210,45 @@ def cleaned(records: DataFrame, table: str, key: str) -> DataFrame:
     done = r.mapInArrow(run, "record_table string, record_id string, text string, n_tokens int")
     count = lambda mark: F.size(F.split("text", mark)) - 1
     return done.withColumns({"n_headings": count(HEADING), "n_items": count(ITEM), "n_code": count(CODE), "n_formulas": F.floor(count(FORMULA) / 2)})
+
+
+#: A noncharacter that parts constructs from text; taken out of texts first.
+_CUT = "\ufdd0"
+_FENCE = re.compile(r"[ \t]*(?:```|~~~)[\w+-]*[ \t\r]*\Z")
+
+
+def slot_texts(pieces: list[str], shapes: list[str | None], classes: dict[str, int]) -> list[tuple[int | None, str]]:
+    """(class, clean text) of the slots of a page, from its texts and constructs by turns. A construct of CLASSES ends a slot and begins
+    the next, whose text has what stands inside the construct; other constructs stay in their slot. Between fences all is code."""
+    out: list[tuple[int | None, list[str], bool]] = [(None, [], False)]
+    fenced = False
+    for piece, shape in zip(pieces, shapes, strict=True):
+        if shape in classes:
+            fence = bool(_FENCE.match(piece))
+            fenced = fenced != fence
+            out.append((classes[shape], [] if fence else [piece], fenced))
+        else:
+            out[-1][1].append(piece)
+    made = [(c, _block(CODE, "".join(x)).strip("\n") if code and "".join(x).strip() else clean_text("".join(x))) for c, x, code in out]
+    return [(c, t) for c, t in made if t.strip()]
+
+
+def slots(records: DataFrame, templates: DataFrame, table: str, key: str) -> DataFrame:
+    """(record_table, record_id, slot, class_id, text): every record of a site with valid classes, cut at their tokens. class_id is the
+    class of the token that begins the slot, null before the first; empty slots are left out of the numbering."""
+    tokens_ = templates.filter("valid").select("site", "class_id", F.explode("tokens").alias("token"))
+    classes = bounded(tokens_.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("token", "class_id"))).alias("classes")))
+    text = F.regexp_replace(F.regexp_replace("text", _CUT, ""), f"({REST}|{PATTERN})", f"{_CUT}$1{_CUT}")
+    r = records.filter("text is not null").select(F.lit(table).alias("record_table"), F.col(key).cast("string").alias("record_id"), F.coalesce(F.substring_index("source_uri", "/", 1), F.lit("")).alias("site"), F.split(text, _CUT).alias("pieces")).filter("record_id is not null")
+    shapes = F.transform("pieces", lambda x, i: F.when(i % 2 == 1, _shape(x)))
+    r = r.join(classes, "site").select("record_table", "record_id", "pieces", shapes.alias("shapes"), F.map_keys("classes").alias("names"), F.map_values("classes").alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for tab, record, pieces, shapes, names, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(tab, record, k, c, t) for k, (c, t) in enumerate(slot_texts(pieces, shapes, dict(zip(names, ids, strict=True))), 1)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], ["record_table", "record_id", "slot", "class_id", "text"])
+
+    return r.mapInArrow(run, "record_table string, record_id string, slot int, class_id bigint, text string").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import aggregation, distinctive, leakage, lines, markup, neardup, packing, pii
-from quernstone.session import table
+from quernstone.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,6 +78,12 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     return markup.cleaned(table(spark, sf, "units"), "units", "unit_id").unionByName(markup.cleaned(table(spark, sf, "parsed_documents"), "parsed_documents", "document_id"))
 
 
+def p7_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The slots of every unit and document between the tokens of its site's templates."""
+    templates = cut(markup.site_templates(_marked(spark, sf)).select("site", "class_id", "tokens", "valid"), "templates")
+    return markup.slots(table(spark, sf, "units"), templates, "units", "unit_id").unionByName(markup.slots(table(spark, sf, "parsed_documents"), templates, "parsed_documents", "document_id"))
+
+
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Containers of 2,048 tokens and the documents in them."""
     return packing.pack(table(spark, sf, "documents"))
@@ -98,7 +104,7 @@ def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p7_slots": p7_slots, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
 
 
 def _tail_sql(k: int, r: str, most: int = 5) -> str:

@@ -30,6 +30,20 @@ def test_markup_edges(spark):
     assert markup.cleaned(df, "units", "unit_id").filter("record_id = 'd'").first()["text"] == ""
 
 
+def test_slots_between_the_tokens_of_a_template(spark):
+    page = lambda k: f"<table><tr><td>name {k}</td><td>**v{k}** &amp; more</td></tr></table>tail {k}" + ("<b>odd</b>" if k == 2 else "")
+    data = [(f"p{k}", f"host/{k}", page(k)) for k in (0, 1, 2, 2)] + [("q", "else/q", "<i>one</i>")]
+    df = spark.createDataFrame(data, UNITS)
+    t = markup.site_templates(markup.tokens(df, "units", "unit_id"))
+    assert {r["site"] for r in t.collect()} == {"host", "else"}
+    got = markup.slots(df, t, "units", "unit_id").collect()
+    want = {f"p{k}": [f"name {k}", f"v{k}", "& more", f"tail {k}" + ("odd" if k == 2 else "")] for k in range(3)}
+    assert {p: [r["text"].strip() for r in sorted(got, key=lambda r: r["slot"]) if r["record_id"] == p] for p in want} == want
+    assert {r["record_id"] for r in got} == set(want) and all(r["class_id"] is not None for r in got)
+    fenced = markup.slot_texts(["a", "```py", "\n**x**\n", "```", "\n**y**"], [None, "```", None, "```", None], {"```": 7})
+    assert fenced == [(None, "a"), (7, f"{markup.CODE} **x**"), (7, "y")]
+
+
 def test_templates_are_classes_of_equal_vectors(spark):
     pages = [(f"p{k}", f"host/{k}", "<table>" + "<tr><td>x</td></tr>" * (k + 1) + "</table>" + ("<b>odd</b>" if k == 2 else "")) for k in range(4)] + [("q", "else/q", "<i>one</i>")]
     t = {tuple(r["tokens"]): r for r in markup.site_templates(markup.tokens(spark.createDataFrame(pages, UNITS), "units", "unit_id")).collect()}
