@@ -19,7 +19,7 @@ class EngineConfig:
     max_tokens: int = 512
     rules: list[enrich.FieldRule] = field(default_factory=list)
     enrichers: tuple[str, ...] = ("section_prefix",)
-    dim: int = 128
+    dim: int = 256
     rrf_k: int = 60
     candidates: int = 50
     rerank_k: int = 20

@@ -351,19 +351,19 @@ def _(spark, sf):
 
 @query("hash_embed")
 def _(spark, sf):
-    return dense.hash_embed(_units(spark, sf), 128).select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"), F.size("vector").alias("dim"))
+    return dense.hash_embed(_units(spark, sf), 256).select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"), F.size("vector").alias("dim"))
 
 
 @query("hash_search")
 def _(spark, sf):
     u = _units(spark, sf)
-    return dense.search(dense.hash_embed(u, 128), dense.hash_embed_queries(_questions(spark, sf), u, 128), 10)
+    return dense.search(dense.hash_embed(u, 256), dense.hash_embed_queries(_questions(spark, sf), u, 256), 10)
 
 
 @query("lsa_embed")
 def _(spark, sf):
     u = _units(spark, sf)
-    return dense.fit_latent(u, 16).embed(u, "unit_id").select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    return dense.fit_latent(u, 512).embed(u, "unit_id").select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
 
 
 # predicates and structured queries, over the typed wide table of unit fields

@@ -5,11 +5,14 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from quernstone.operators import dense, enrich, evaluation, lexical, retrieve
 from quernstone.operators.retrieve import _proximity
+from quernstone.plans import reference_queries
+from quernstone.plans.engine import EngineConfig
 
 UNITS = [("u1", "the read timeout in seconds"), ("u2", "connection pooling and retries"), ("u3", "timeout timeout pooling"), ("u4", ""), ("u5", None), ("u6", "read the manual"), ("u7", "read the manual")]
 QUESTIONS = [("q1", "read timeout timeout"), ("q2", "pooling"), ("q3", "absent"), ("q4", ""), ("q5", None)]
@@ -107,6 +110,23 @@ def test_latent_model_spans_the_leading_subspace(spark):
     assert all(x["vector"] == [0.0] * 3 for x in zero)
 
 
+def test_registered_embeddings_have_the_reference_dimensions(spark, monkeypatch):
+    asked = []
+
+    def seen(name):
+        def f(*args, **kw):
+            asked.append((name, args[1] if name != "hash_embed_queries" else args[2]))
+            raise LookupError
+        return f
+
+    for query, name in (("lsa_embed", "fit_latent"), ("hash_embed", "hash_embed"), ("hash_search", "hash_embed"), ("hash_search", "hash_embed_queries")):
+        with monkeypatch.context() as m:
+            m.setattr(dense, name, seen(name))
+            with pytest.raises(LookupError):
+                reference_queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert asked == [("fit_latent", 512), ("hash_embed", 256), ("hash_embed", 256), ("hash_embed_queries", 256)] and EngineConfig().dim == 256
+
+
 def test_model_embedder(spark):
     df = spark.createDataFrame([("a", "xx"), ("b", None)], "k string, text string")
     load = lambda: lambda texts: np.array([[len(t), 1.0, 5.0] for t in texts])
