@@ -71,7 +71,7 @@ SCANNER = re.compile(
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the spans that could be personal, in order and apart from each other."""
     found = []
-    if "@" in text or "at" in text:
+    if "@" in text or "at" in text.lower():
         for m in MAILBOX.finditer(text):
             if local := _LOCAL.search(text, max(0, m.start() - 80), m.start()):
                 found.append((local.start(), m.end(), "email"))

@@ -192,3 +192,8 @@ def test_queries_are_all_registered():
 
     names = set(e.queries())
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 9, 10)} | {"p8_pack"} <= names and set(e.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("text", ["JOHN.DOE [AT] EXAMPLE.COM", "JOHN.DOE (AT) EXAMPLE [DOT] COM"])
+def test_addresses_in_capitals_alone(text):
+    assert pii.candidates(text) == [(0, len(text), "email")]
