@@ -74,7 +74,7 @@ def stale_snippets(spans: DataFrame, documents: DataFrame, ref_key: str = "span_
 
     Texts are normalised once per document, before the join; a document with very many spans is split by AQE's skew join, whose
     split side holds only spans. A span without a document is an orphan, not stale."""
-    s = spans.filter("document_id is not null and snippet <> ''").groupBy("document_id", F.col(ref_key).cast("string").alias("ref_key"), squeezed(F.col("snippet")).alias("_needle")).agg(F.min(_ntz(F.col(at))).alias("_at"), F.count(F.lit(1)).alias("n_refs"))
+    s = spans.filter("document_id is not null and snippet <> ''").groupBy("document_id", F.col(ref_key).cast("string").alias("ref_key"), squeezed(F.col("snippet")).alias("_needle"), F.date_format(_ntz(F.col(at)), "yyyy-MM").alias("ref_month")).agg(F.count(F.lit(1)).alias("n_refs"))
     d = documents.filter("document_id is not null").select("document_id", squeezed(F.coalesce("text", F.lit(""))).alias("_hay"))
     stale = s.join(d, "document_id").filter(~F.col("_hay").contains(F.col("_needle")))
-    return stale.select(F.lit("relevant_spans").alias("ref_table"), "ref_key", F.date_format("_at", "yyyy-MM").alias("ref_month"), "n_refs", F.lit("stale").alias("reason"))
+    return stale.select(F.lit("relevant_spans").alias("ref_table"), "ref_key", "ref_month", "n_refs", F.lit("stale").alias("reason"))

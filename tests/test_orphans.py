@@ -50,3 +50,10 @@ def test_snippets(spark):
 def test_empty(spark):
     assert report(o.merge_references(None, refs(spark, [])), o.merge_existence(None, records(spark, []))) == []
     assert report(o.merge_references(None, refs(spark, [("a", JAN)])), o.merge_existence(None, records(spark, []))) == [("a", "2024-01", 1, "missing")]
+
+
+def test_a_stale_span_counts_in_each_month(spark):
+    spans = spark.createDataFrame([(1, "d", "gone", "2024-01-05 00:00:00"), (1, "d", "gone", "2024-01-09 00:00:00"), (1, "d", "gone", "2024-03-05 00:00:00")], "span_id bigint, document_id string, snippet string, at string").withColumn("created_at", F.col("at").cast("timestamp_ntz"))
+    documents = spark.createDataFrame([("d", "other text")], "document_id string, text string")
+    got = o.stale_snippets(spans, documents).collect()
+    assert sorted((r["ref_month"], r["n_refs"]) for r in got) == [("2024-01", 2), ("2024-03", 1)]
