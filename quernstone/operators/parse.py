@@ -3,7 +3,7 @@
 A document is a row (document_id, source_uri, text, media_type, ...); a parsed one has `text`, the canonical text, and `blocks`, an
 array of (block_id, kind, text, span_start, span_end, level, directive, table). Canonical text is the blocks' texts joined by blank
 lines, so text[start:end] is the block by construction. Plain text and pass-through are native expressions. Markdown and
-reStructuredText: each line becomes one letter for what it could be, and one pattern over these letters cuts the document into blocks.
+reStructuredText are each one pattern of blocks, whose alternatives are the formats' constructs, run over the whole text.
 
 Defined cases: a null text is an empty document with no blocks; a row per input row, repeated rows included.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,32 +52,17 @@ def parse_passthrough(documents: DataFrame) -> DataFrame:
     return d.withColumns({"blocks": blocks, "text": text}).drop("_parts")
 
 
-class _Lines:
-    """Letters for lines: one per combination of the things a line can be at once."""
-
-    def __init__(self, own: list[str], flags: list[str]) -> None:
-        self.own, self.flags = own, flags
-        self.letter = {c: chr(0x4E00 + k) for k, c in enumerate(product(own, *[(False, True)] * len(flags)))}
-
-    def spell(self, described: list[tuple]) -> str:
-        return "".join(self.letter[d] for d in described)
-
-    def any(self, own: str | None = None, **flags: bool) -> str:
-        at = {f: k + 1 for k, f in enumerate(self.flags)}
-        held = [c for combo, c in self.letter.items() if (own is None or combo[0] in own.split()) and all(combo[at[f]] == v for f, v in flags.items())]
-        return f"[{''.join(held)}]"
-
-
-_MD = _Lines(["backticks", "tildes", "heading", "item", "blank", "plain"], ["pipe", "rule", "inset"])
-_MD_HEADING, _MD_ITEM = re.compile(r"(#{1,6})\s+(.*)$"), re.compile(r"\s*([-*+]|\d+\.)\s+")
-_MD_RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$")
-_TABLE = _MD.any("item blank plain", pipe=True) + _MD.any(rule=True)
-_MD_BLOCKS = re.compile(
-    rf"(?P<code>{_MD.any('backticks')}{_MD.any('tildes heading item blank plain')}*{_MD.any('backticks')}?|{_MD.any('tildes')}{_MD.any('backticks heading item blank plain')}*{_MD.any('tildes')}?)"
-    rf"|(?P<heading>{_MD.any('heading')})"
-    rf"|(?P<table>{_TABLE}(?:(?!{_MD.any('blank')}){_MD.any(pipe=True)})*)"
-    rf"|(?P<list_item>{_MD.any('item')}(?:{_MD.any('item')}|{_MD.any(inset=True)})*)"
-    rf"|(?P<paragraph>(?:(?!{_TABLE}){_MD.any('plain')})+)|{_MD.any('blank')}"
+_BLANK = r"[^\S\n]*$"
+_FENCED = r"[^\S\n]*(?P<fence>```|~~~).*(?:\n(?![^\S\n]*(?P=fence)).*)*(?:\n[^\S\n]*(?P=fence).*)?"
+_TITLE = r"(?P<marks>#{1,6})[^\S\n]+(?P<title>.*)"
+_ITEM = r"[^\S\n]*(?:[-*+]|\d+\.)[^\S\n]"
+#: A table is a line with a pipe over a line of cells that are only dashes, at least two, with colons for the alignment.
+_DASHES = r"[^\S\n]*:?-{2,}:?[^\S\n]*"
+_HEAD_ROWS = rf"(?=.*\|).*\n[^\S\n]*\|?{_DASHES}(?:\|{_DASHES})*\|?{_BLANK}"
+_PROSE = rf"(?!{_BLANK}|[^\S\n]*(?:```|~~~)|{_TITLE.replace('?P<marks>', '?:').replace('?P<title>', '?:')}|{_HEAD_ROWS}|{_ITEM}).+"
+#: Markdown as one pattern of blocks over the text; the first alternative that holds at a line takes it.
+_MARKDOWN = re.compile(
+    rf"^(?:(?P<code>{_FENCED})|(?P<heading>{_TITLE})|(?P<table>{_HEAD_ROWS}(?:\n(?=.*\|).*)*)|(?P<list_item>{_ITEM}.*(?:\n(?:{_ITEM}|  ).*)*)|(?P<paragraph>{_PROSE}(?:\n{_PROSE})*))", re.M
 )
 
 
@@ -87,61 +71,54 @@ def _cells(line: str, header: bool) -> list[dict]:
 
 
 def markdown_blocks(text: str, keep_code: bool = True) -> list[dict]:
-    lines = text.splitlines()
-    described = []
-    for line in lines:
-        s = line.strip()
-        own = "backticks" if s[:3] == "```" else "tildes" if s[:3] == "~~~" else "heading" if _MD_HEADING.match(line) else "item" if _MD_ITEM.match(line) else "plain" if s else "blank"
-        described.append((own, "|" in line, bool(_MD_RULE.match(line)), line[:2] == "  "))
+    """Blocks of a Markdown text, each a slice of it. An open fence runs to the end."""
     found = []
-    for m in _MD_BLOCKS.finditer(_MD.spell(described)):
-        kind, held = m.lastgroup, lines[m.start() : m.end()]
-        body = "\n".join(held)
+    for m in _MARKDOWN.finditer("\n".join(text.splitlines())):
+        kind, body = m.lastgroup, m[0]
         if kind == "heading":
-            mark = _MD_HEADING.match(held[0])
-            found.append({"kind": kind, "text": mark[2].strip(), "level": len(mark[1])})
+            found.append({"kind": kind, "text": m["title"].strip(), "level": len(m["marks"])})
         elif kind == "table":
-            found.append({"kind": kind, "text": body, "table": {"rows": [_cells(held[0], True), *(_cells(x, False) for x in held[2:])], "header_rows": 1}})
+            head, _, *rest = body.split("\n")
+            found.append({"kind": kind, "text": body, "table": {"rows": [_cells(head, True), *(_cells(x, False) for x in rest)], "header_rows": 1}})
         elif kind == "code":
             found += [{"kind": kind, "text": body}] if keep_code else []
-        elif kind and body.strip():
+        elif body.strip():
             found.append({"kind": kind, "text": body.strip()})
     return found
 
 
-_RST = _Lines(["heading", "directive", "opens", "blank", "plain"], ["inset"])
-_RST_LINE, _RST_DIRECTIVE = re.compile(r"([=\-`:'\"~^_*+#])\1+\s*$"), re.compile(r"\.\.\s+(\w[\w-]*)::")
-_INSIDE = rf"(?:{_RST.any('blank')}|{_RST.any(inset=True)})*"
-_RST_BLOCKS = re.compile(
-    rf"(?P<heading>{_RST.any('heading')}{_RST.any()})|(?P<directive>{_RST.any('directive')}{_INSIDE})"
-    rf"|(?P<leading>{_RST.any('plain')}*{_RST.any('opens')})(?P<literal>{_INSIDE})|(?P<paragraph>{_RST.any('plain')}+)|{_RST.any('blank')}"
-)
+#: A noncharacter set before lines that an underline long enough follows; taken out of texts first.
+_MARK = "﷐"
+#: The characters that underline a title, and the directives that hold code.
+UNDERLINES = "=-`:'\"~^_*+#"
+CODE_DIRECTIVES = ("code", "code-block", "sourcecode")
+_UNDERLINED = re.compile(rf"^(?!{_BLANK})(.++)(?=\n(([{re.escape(UNDERLINES)}])\3+)[^\S\n]*$)", re.M)
+_DIRECTIVE = r"\.\.[^\S\n]+(?P<name>\w[\w-]*)::.*"
+_BODY = rf"(?:\n(?:{_MARK}?[ \t].*|{_BLANK}))*"
+_LEADS = rf"(?!{_MARK}|\.\.[^\S\n]+\w[\w-]*::).*::{_BLANK}"
+_SPEECH = rf"(?!{_MARK}|\.\.[^\S\n]+\w[\w-]*::|{_BLANK}|.*::{_BLANK}).+"
+#: reStructuredText likewise, over the text with marked titles.
+_RST = re.compile(rf"^(?:(?P<heading>{_MARK}(?P<title>.*)\n(?P<rule>.*))|(?P<directive>{_DIRECTIVE}{_BODY})|(?P<literal>(?P<lead>(?:{_SPEECH}\n)*+{_LEADS})(?P<body>{_BODY}))|(?P<paragraph>{_SPEECH}(?:\n{_SPEECH})*))", re.M)
 
 
 def rst_blocks(text: str) -> list[dict]:
-    lines = text.splitlines()
-    described = []
-    for line, after in zip(lines, [*lines[1:], ""], strict=True):
-        s = line.strip()
-        titled = s and _RST_LINE.match(after) and len(after.strip()) >= len(s) - 1
-        own = "heading" if titled else "directive" if _RST_DIRECTIVE.match(line) else "opens" if line.rstrip().endswith("::") else "plain" if s else "blank"
-        described.append((own, line[:1] in (" ", "\t")))
-    found, marks = [], []
-    for m in _RST_BLOCKS.finditer(_RST.spell(described)):
-        held = lines[m.start() : m.end()]
-        if m["heading"]:
-            mark = held[1].strip()[0]
-            marks += [] if mark in marks else [mark]
-            found.append({"kind": "heading", "text": held[0].strip(), "level": marks.index(mark) + 1})
-        elif m["directive"]:
-            name = _RST_DIRECTIVE.match(held[0])[1]
-            found.append({"kind": "code" if name in ("code", "code-block", "sourcecode") else "other", "text": "\n".join(held).rstrip(), "directive": name})
-        elif m["leading"]:
-            found.append({"kind": "paragraph", "text": "\n".join(held[: len(m["leading"])]).strip()})
-            literal = "\n".join(held[len(m["leading"]) :]).strip("\n")
-            found += [{"kind": "code", "text": literal}] if literal.strip() else []
-        elif m["paragraph"] and "\n".join(held).strip():
-            found.append({"kind": "paragraph", "text": "\n".join(held).strip()})
+    """Blocks of a reStructuredText text; a title's level is the place of its underline's character among those seen before."""
+    lines = "\n".join(text.replace(_MARK, "").splitlines())
+    found, order = [], []
+    for m in _RST.finditer(_UNDERLINED.sub(lambda u: (_MARK if len(u[2]) >= len(u[1].strip()) - 1 else "") + u[1], lines)):
+        kind, body = m.lastgroup, m[0].replace(_MARK, "")
+        if kind == "heading":
+            mark = m["rule"].replace(_MARK, "")[0]
+            order += [] if mark in order else [mark]
+            found.append({"kind": kind, "text": m["title"].strip(), "level": order.index(mark) + 1})
+        elif kind == "directive":
+            found.append({"kind": "code" if m["name"] in CODE_DIRECTIVES else "other", "text": body.rstrip(), "directive": m["name"]})
+        elif kind == "literal":
+            inner = m["body"].replace(_MARK, "").strip("\n")
+            found.append({"kind": "paragraph", "text": m["lead"].strip()})
+            found += [{"kind": "code", "text": inner}] if inner.strip() else []
+        elif body.strip():
+            found.append({"kind": kind, "text": body.strip()})
     return found
 
 
@@ -198,7 +175,8 @@ def parse_routed(documents: DataFrame, routes: list[tuple[Column, str]], default
 
 
 def parse_violations(parsed: DataFrame) -> DataFrame:
-    """(document_id, block_id, problem): blocks that break the contract of spans, order, tables and levels."""
+    """(document_id, block_id, problem): blocks that break the contract of spans, order, tables and levels; with a null block_id documents
+    without an id, or whose reading_order_confidence, where there is one, isn't between 0 and 1."""
     b = parsed.select("document_id", F.col("text").alias("_canonical"), F.posexplode("blocks").alias("k", "b")).select("document_id", "_canonical", "k", "b.*")
     b = b.withColumn("_before", F.max("span_end").over(Window.partitionBy("document_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)))
     problems = [F.when((F.col("span_start") < 0) | (F.col("span_end") < F.col("span_start")) | (F.col("span_end") > F.length("_canonical")), "span out of bounds"), F.when(F.col("span_start") < F.col("_before"), "out of order")]
@@ -206,4 +184,20 @@ def parse_violations(parsed: DataFrame) -> DataFrame:
         problems.append(F.when(F.substring("_canonical", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) != F.col("text"), "text is not its span"))
     if "level" in b.columns:
         problems += [F.when((F.col("kind") == "heading") & F.col("level").isNull(), "heading without level"), F.when((F.col("kind") == "table") & F.col("table").isNull(), "table without grid")]
-    return b.select("document_id", "block_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+    whole = [F.when(F.coalesce("document_id", F.lit("")) == "", "no document id")]
+    if "reading_order_confidence" in parsed.columns:
+        sure = F.col("reading_order_confidence")
+        whole.append(F.when(~sure.between(0, 1) | F.isnan(sure), "confidence out of bounds"))
+    of_documents = parsed.select("document_id", F.lit(None).cast("string").alias("block_id"), F.explode(F.array_compact(F.array(*whole))).alias("problem"))
+    return b.select("document_id", "block_id", F.explode(F.array_compact(F.array(*problems))).alias("problem")).unionByName(of_documents)
+
+
+def blocks_by_kind(parsed: DataFrame, *kinds: str) -> DataFrame:
+    """(document_id, block_id, kind, text): the blocks of some kinds, in order, each cut out of its document's text."""
+    b = parsed.select("document_id", "text", F.posexplode("blocks").alias("ordinal", "b")).filter(F.col("b.kind").isin(*kinds))
+    return b.select("document_id", "ordinal", "b.block_id", "b.kind", span_text(F.col("text"), F.col("b.span_start"), F.col("b.span_end")).alias("text"))
+
+
+def span_text(text: Column, start: Column, end: Column) -> Column:
+    """The slice of a canonical text; what lies outside it is left off."""
+    return F.substring(text, F.greatest(start, F.lit(0)) + 1, F.greatest(end - F.greatest(start, F.lit(0)), F.lit(0)))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 
 import pytest
@@ -50,6 +51,7 @@ def test_markdown_blocks():
     table = parse.markdown_blocks(MD)[3]["table"]
     assert [[c["text"] for c in r] for r in table["rows"]] == [["a", "b"], ["1", "2"]] and table["rows"][0][0]["is_header"]
     assert [b["kind"] for b in parse.markdown_blocks(MD, keep_code=False)].count("code") == 0
+    assert parse.rst_blocks("") == [] and parse.rst_blocks("\n \n") == []
     assert parse.markdown_blocks("") == [] and parse.markdown_blocks("   \n\n") == []
 
 
@@ -78,6 +80,17 @@ def test_routed_parsing(spark):
     assert {r["document_id"]: r["parser"] for r in p.select("document_id", "parser").collect()} == {"d0": "markdown", "d1": "text"}
 
 
+def packed_sentences(text, limit):
+    """The rule of long blocks by brute force: whole sentences of at most so many estimated tokens together, each estimate rounded down."""
+    units, sizes = [""], 0
+    for sentence in re.findall(r"[^.]+\. ?", text):
+        n = max(1, len(sentence) // 4)
+        if units[-1] and sizes + n > limit:
+            units, sizes = [*units, ""], 0
+        units[-1], sizes = units[-1] + sentence, sizes + n
+    return units
+
+
 def test_structural_units(spark):
     text = "# A\n\n" + "One sentence here. " * 300 + "\n\n# B\n\nshort\n\n# C\n\nshort"
     parsed = parse.parse_markdown(docs(spark, [MD, text, ""]))
@@ -85,7 +98,8 @@ def test_structural_units(spark):
     assert rows(segment.unit_violations(units, parsed)) == []
     got = units.orderBy("document_id", "ordinal").collect()
     long = [u for u in got if u["document_id"] == "d1"]
-    assert all(len(u["text"]) // 4 <= 512 + 20 for u in long) and long[-1]["text"].endswith("# C".replace("# ", "") + "\n\nshort")
+    packed = packed_sentences("One sentence here. " * 299 + "One sentence here.", 512)
+    assert [u["text"] for u in long[:-1]] == packed[:-1] and long[-1]["text"] == packed[-1] + "\n\nB\n\nshort\n\nC\n\nshort"
     assert [u["prev_id"] for u in long][1:] == [u["unit_id"] for u in long][:-1]
     assert not [u for u in got if u["document_id"] == "d2"]
 
