@@ -1,6 +1,6 @@
 """Entity-attribute-value rows into one typed row per entity.
 
-Plan: names are spelled as declared by a broadcast join with the (small, checked) declarations; values are typed by native
+Plan: names are spelled as declared by a join with the declarations, which are the result's schema and so fit the driver; values are typed by native
 expressions; one aggregation keeps each cell's latest value; entities are hash-bucketed over the partitions; in each bucket an
 Arrow function dictionary-encodes entity and attribute and scatters the values into one numpy array per column type.
 
@@ -20,13 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.session import small, split_hot
+from quernstone.session import bounded, split_hot
 
 #: Texts that stand for a missing value.
 PLACEHOLDERS = ["", "-", "--", "n/a", "na", "none", "null", "tbd", "unknown", "see notes", "soon", "latest", "?"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 TYPES = {"str": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "date": T.DateType()}
-MOST_COLUMNS = 10_000
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,3})?$"
 _ARROW = {"str": pa.string(), "int": pa.int64(), "float": pa.float64(), "date": pa.date32()}
 _BLANK = r"^[\s ]+|[\s ]+$"
@@ -84,11 +83,11 @@ def date_of(text: Column) -> Column:
 def typed_cells(fields: DataFrame, specs: DataFrame) -> DataFrame:
     """One row per row of FIELDS: unit_id, name as declared (null if it isn't), its value in the column of its type (s, i, f or d),
     `misplaced`: whether the value denotes one of the declared type but stands outside that type's own column."""
-    declared = small(specs.select("name", "field_type").distinct(), MOST_COLUMNS)
+    declared = specs.select("name", "field_type").distinct().collect()
     kinds = fields.sparkSession.createDataFrame([(r["name"], r["field_type"]) for r in declared if r["name"] is not None], "name string, kind string")
     kinds = kinds.select(F.col("name").alias("_declared"), "kind", spelling(F.col("name")).alias("_key"))
     f = fields.select("unit_id", "v_text", F.col("v_num").cast("double").alias("v_num"), F.col("v_int").cast("bigint").alias("v_int"), F.col("v_date").cast("string").alias("v_date"), "written_at", spelling(F.col("name")).alias("_key"))
-    f = f.filter("unit_id is not null").join(F.broadcast(kinds), "_key", "left")
+    f = f.filter("unit_id is not null").join(bounded(kinds), "_key", "left")
     kind, text, day = F.col("kind"), F.col("v_text"), F.col("v_date")
     num = F.when(~(F.isnan("v_num") | (F.abs("v_num") == float("inf"))), F.col("v_num"))
     as_text, int_text = num.cast("string"), F.col("v_int").cast("string")
@@ -184,7 +183,7 @@ def widen(fields: DataFrame, specs: DataFrame) -> DataFrame:
     name of SPECS (name, field_type), and `_misplaced`, the declared names of which some row holds its value in another type's column.
 
     Partitioned by entity once. An entity with very many rows is first reduced to its cells, of which there are as many as declared names."""
-    declared = sorted(small(specs.select("name", "field_type").distinct(), MOST_COLUMNS), key=lambda r: str(r["name"]))
+    declared = sorted(specs.select("name", "field_type").distinct().collect(), key=lambda r: str(r["name"]))
     columns = {r["name"]: r["field_type"] for r in declared if r["name"] is not None}
     keys = [("".join(c for c in n if c.isalnum())).lower() for n in columns]
     if len(set(keys)) < len(keys) or not set(columns.values()) <= set(TYPES) or {"unit_id", "_misplaced"} & set(columns):

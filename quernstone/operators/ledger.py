@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from typing import Any
 
@@ -52,42 +53,95 @@ def latest(journal: DataFrame, order: str = "seq") -> DataFrame:
 
 
 class Store:
-    """Tables of a build in versioned folders. All tables of a version are written before the one small file that names the version, so
-    a build that dies leaves the last one in force. Reading gives the committed version."""
+    """Tables kept in a shared folder, as lists of written parts. A commit writes its parts and then one manifest, numbered one above the
+    last, by a rename onto a name that must be free; the highest manifest is in force. So a build that dies leaves the last one in force,
+    nothing is ever deleted to make room for it, and of two builds that commit at once one is refused. A commit replaces tables or appends
+    parts to them; all others are carried over by reference, without a rewrite."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self, path: str) -> tuple[Any, Any]:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _manifests(self) -> list[int]:
+        fs, p = self._fs(f"{self.path}/_manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _manifest(self, number: int) -> dict[str, Any]:
+        fs, p = self._fs(f"{self.path}/_manifests/{number:012}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def current(self) -> dict[str, Any] | None:
-        fs, p = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
+        """The manifest in force, or None."""
+        numbers = self._manifests()
+        return self._manifest(numbers[-1]) if numbers else None
 
-    def read(self, name: str) -> DataFrame | None:
+    def parts(self, name: str) -> list[str]:
         held = self.current()
-        return self.spark.read.parquet(f"{self.path}/{held['version']}/{name}") if held and name in held["tables"] else None
-
-    def commit(self, tables: dict[str, DataFrame], manifest: dict[str, Any] | None = None) -> str:
-        """Write tables as a new version; those not given are carried over by reference to nothing: give all that the build holds."""
-        version = f"v={int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        record = json.dumps({"version": version, "tables": sorted(tables), **(manifest or {})})
-        staged, target = f"{self.path}/_staged-{uuid.uuid4().hex}", f"{self.path}/CURRENT"
-        fs, s = self._fs(staged)
-        out = fs.create(s)
+        return held["tables"].get(name, []) if held else []
+
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame | None:
+        """The committed rows of a table; None if there is no such table."""
+        at = self.parts(name) if parts is None else parts
+        return self.spark.read.parquet(*[f"{self.path}/{p}" for p in at]) if at else None
+
+    def write(self, name: str, df: DataFrame) -> str:
+        """A part that no manifest names yet."""
+        part = f"{name}/{int(time.time() * 1000)}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.path}/{part}")
+        return part
+
+    def commit(self, tables: dict[str, DataFrame | list[str]] | None = None, append: dict[str, DataFrame | list[str]] | None = None, manifest: dict[str, Any] | None = None) -> int:
+        """Replace TABLES and add to those of APPEND, each given as rows or as parts written before; returns the manifest's number."""
+        held = self.current() or {"number": 0, "tables": {}}
+        named = dict(held["tables"])
+        parts = lambda name, x: x if isinstance(x, list) else [self.write(name, x)]
+        for name, x in (tables or {}).items():
+            named[name] = parts(name, x)
+        for name, x in (append or {}).items():
+            named[name] = [*named.get(name, []), *parts(name, x)]
+        number = held["number"] + 1
+        self._publish(number, json.dumps({**(manifest or {}), "number": number, "tables": named}))
+        return number
+
+    def _publish(self, number: int, record: str) -> None:
+        fs, staged = self._fs(f"{self.path}/_manifests/.staged-{uuid.uuid4().hex}")
+        out = fs.create(staged)
         out.write(bytearray(record.encode()))
         out.close()
-        _, t = self._fs(target)
-        fs.delete(t, False)
-        fs.rename(s, t)
-        return version
+        _, target = self._fs(f"{self.path}/_manifests/{number:012}.json")
+        if fs.exists(target) or not fs.rename(staged, target):
+            fs.delete(staged, False)
+            raise RuntimeError(f"another build has committed version {number}")
+
+    def compacted(self, name: str, merge: Callable[[DataFrame], DataFrame], after: int = 16) -> None:
+        """Replace a table of more than AFTER parts by one part, merged."""
+        if len(self.parts(name)) > after:
+            self.commit({name: merge(self.read(name))})
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the parts that none of the last KEEP manifests name, and older manifests; returns how many parts. Not to run beside a build."""
+        numbers = self._manifests()
+        live = {p for n in numbers[-keep:] for parts in self._manifest(n)["tables"].values() for p in parts}
+        fs, root = self._fs(self.path)
+        gone = 0
+        for table in fs.listStatus(root) if fs.exists(root) else []:
+            name = table.getPath().getName()
+            if name.startswith("_"):
+                continue
+            for part in fs.listStatus(table.getPath()):
+                if f"{name}/{part.getPath().getName()}" not in live:
+                    gone += bool(fs.delete(part.getPath(), True))
+        for n in numbers[:-keep]:
+            fs.delete(self._fs(f"{self.path}/_manifests/{n:012}.json")[1], False)
+        return gone
 
 
 class Accountant:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.operators import eav, orphans
-from quernstone.session import table
+from quernstone.session import scratch, table
 
 
 def p3_wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,24 +20,28 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("unit_id", F.explode("_misplaced").alias("name"))
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _ledger(spark: SparkSession, sf: str) -> orphans.OrphanLedger:
+    """Counts of all references and records as one delta, those of snippets as the next."""
     fields = table(spark, sf, "unit_fields").select("unit_id", "written_at")
     spans = table(spark, sf, "relevant_spans").select("span_id", "document_id", "snippet", "created_at")
-    units, documents = table(spark, sf, "units"), table(spark, sf, "parsed_documents")
-    references = orphans.merge_references(orphans.merge_references(None, orphans.reference_deltas(fields, "unit_fields", "units", "unit_id", "unit_id", "written_at")), orphans.reference_deltas(spans, "relevant_spans", "parsed_documents", "document_id", "span_id", "created_at"))
-    existence = orphans.existence_deltas(units.select("unit_id", "indexed_at", "removed_at").distinct(), "units", "unit_id", "indexed_at", "removed_at")
-    existence = orphans.merge_existence(existence, orphans.existence_deltas(documents.select("document_id", "indexed_at", "removed_at").distinct(), "parsed_documents", "document_id", "indexed_at", "removed_at"))
-    return orphans.orphans(references, existence).unionByName(orphans.stale_snippets(spans, documents.select("document_id", "text")))
+    units = table(spark, sf, "units").select("unit_id", "indexed_at", "removed_at").distinct()
+    documents = table(spark, sf, "parsed_documents")
+    held = orphans.OrphanLedger(spark, scratch(spark, "orphans"))
+    references = orphans.reference_deltas(fields, "unit_fields", "units", "unit_id", "unit_id", "written_at").unionByName(orphans.reference_deltas(spans, "relevant_spans", "parsed_documents", "document_id", "span_id", "created_at"))
+    existence = orphans.existence_deltas(units, "units", "unit_id", "indexed_at", "removed_at").unionByName(orphans.existence_deltas(documents.select("document_id", "indexed_at", "removed_at").distinct(), "parsed_documents", "document_id", "indexed_at", "removed_at"))
+    held.apply(references, existence)
+    held.apply(*orphans.snippet_deltas(spans, documents.select("document_id", "text")))
+    return held
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """References whose target is missing, removed or later, or whose snippet is stale."""
-    return _orphans(spark, sf).select("ref_table", "ref_key", "ref_month").distinct()
+    return _ledger(spark, sf).orphans().select("ref_table", "ref_key", "ref_month").distinct()
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Orphan references per table, month and reason."""
-    return _orphans(spark, sf).groupBy("ref_table", "ref_month", "reason").agg(F.count_distinct("ref_key").alias("n_keys"))
+    return _ledger(spark, sf).orphans().groupBy("ref_table", "ref_month", "reason").agg(F.count_distinct("ref_key").alias("n_keys"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_wide": p3_wide, "p5_found": p5_found, "p5_report": p5_report}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: A key with fewer rows than this is never treated apart; its group fits one task.
 HOT_ROWS = 200_000
-#: Upper bound of the keys treated apart, and so of what split_hot() broadcasts.
+#: Hot keys beyond this are joined by a shuffle instead of a broadcast.
 HOT_KEYS = 20_000
 
 _CUT: list[str] = []
@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset, an own one that ends with the process."""
+    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset and all runs in this process, an own one that ends
+    with it. On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", f"file://{at}")
         atexit.register(shutil.rmtree, at, True)
@@ -40,12 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a table in the shared folder and read it back, so that its lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, deleted as the tables of cut() are."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _CUT.append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release(spark: SparkSession) -> int:
@@ -58,17 +67,10 @@ def release(spark: SparkSession) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame | None:
-    """The keys that hold more than max(ROWS, all/MOST) rows, or None.
-
-    At most MOST keys can pass that bound, so the result may be collected and broadcast at any size of the input.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"), F.max("_n").alias("_top")).first()
-    bound = max(rows, (total["_all"] or 0) // most)
-    if (total["_top"] or 0) <= bound:
-        return None
-    found = counts.filter(F.col("_n") > bound).collect()
-    return df.sparkSession.createDataFrame(found, counts.schema)
+    """(*KEYS, _n) of the keys that hold more than ROWS rows, or None. The bound is the same at every size of the input. Up to MOST keys are
+    marked for broadcast; more stay a written table, for shuffled joins."""
+    found = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows), "hot-keys")
+    return bounded(found, most) if found.head(1) else None
 
 
 def split_hot(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
@@ -76,8 +78,8 @@ def split_hot(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> tuple[Dat
     hot = hot_keys(df, keys, rows)
     if hot is None:
         return df, None
-    named = F.broadcast(hot.select(*keys))
-    match = reduce(Column.__and__, [df[k].eqNullSafe(named[k]) for k in keys])
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    match = reduce(Column.__and__, [df[k].eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     return df.join(named, match, "left_anti"), df.join(named, match, "left_semi")
 
 
