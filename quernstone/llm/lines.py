@@ -1,8 +1,10 @@
 """Lines repeated across the documents of one site, kept as incremental tables of counts.
 
-State: `seen`, the distinct (site, line, document) of all lines long enough, and `counts`, the number of documents per (site, line).
-A new partition is merged as a delta: its pairs that `seen` doesn't hold yet add to `counts`; lines whose count passes the threshold
-by it are the newly crossed ones, and only the records that hold one of these, in old or new partitions, are rebuilt.
+State, in a store: `held`, where each line long enough stands (site, line, document, record, line number), `documents`, and `counts`, the
+number of documents per (site, line); all are parts that increments append. A new partition of records is one delta: its lines are put into `held`,
+its (line, document) pairs that `held` didn't have yet are a signed delta of `counts`, and lines whose count passes the threshold by it are
+the newly crossed ones. What is found anew is then all crossed lines in the new partition, and the newly crossed ones in earlier
+partitions, taken from `held`; earlier texts are not read again but for the records that are rebuilt, those that hold a line found anew.
 
 A line is known by its sequence of letters in lower case (a 128-bit hash of it); lines of fewer letters than LETTERS never count.
 The site is what stands before the first "/" of source_uri. A null uri belongs to no site: its lines stay. A null text has no lines,
@@ -11,10 +13,11 @@ an empty one has one empty line, which stays. Equal rows count once, as document
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.session import cut
+from quernstone.operators.ledger import Store
+from quernstone.session import bounded, cut
 
 LETTERS = 20
 DOCUMENTS = 6
@@ -37,29 +40,52 @@ def long_lines(records: DataFrame, letters: int = LETTERS) -> DataFrame:
     return key.select("site", F.xxhash64("_k").alias("h1"), F.xxhash64(F.lit(7), "_k").alias("h2"), "doc", "unit_id", "line_no")
 
 
-def merge(state: tuple[DataFrame, DataFrame] | None, partition: DataFrame, letters: int = LETTERS, documents: int = DOCUMENTS) -> tuple[tuple[DataFrame, DataFrame], DataFrame]:
-    """State after a new partition of records, and the lines that newly crossed the threshold. All three are written tables."""
-    pairs = long_lines(partition, letters).select(*_LINE, "doc").distinct()
-    if state is None:
-        seen = cut(pairs, "lines-seen")
-        counts = cut(seen.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n")), "lines-counts")
-        return (seen, counts), counts.filter(F.col("n") >= documents).select(*_LINE)
-    seen, counts = state
-    new = cut(pairs.join(seen, [*_LINE, "doc"], "left_anti"), "lines-new")
-    added = new.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("m"))
-    merged = cut(counts.join(added, _LINE, "full").select(*_LINE, F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), "lines-counts")
-    crossed = merged.filter((F.col("n") >= documents) & (F.col("was") < documents)).select(*_LINE)
-    return (seen.unionByName(new), merged.select(*_LINE, "n")), crossed
-
-
-def repeated_lines(records: DataFrame, crossed: DataFrame, letters: int = LETTERS) -> DataFrame:
-    """(unit_id, line_no) of the lines of RECORDS among CROSSED. A line that a third of all documents hold skews the side of RECORDS
-    only, which AQE splits."""
-    return long_lines(records, letters).join(crossed, _LINE, "left_semi").select("unit_id", "line_no").distinct()
-
-
-def rebuilt(records: DataFrame, crossed: DataFrame, letters: int = LETTERS) -> DataFrame:
-    """(unit_id, text, n_removed): the records that hold a crossed line, without these lines."""
-    gone = repeated_lines(records, crossed, letters).groupBy("unit_id").agg(F.collect_set("line_no").alias("_gone"))
+class LineLedger:
+    """The lines of all partitions so far, in a store."""
+
+    def __init__(self, spark: SparkSession, path: str, letters: int = LETTERS, documents: int = DOCUMENTS) -> None:
+        self.store, self.letters, self.documents = Store(spark, path), letters, documents
+
+    def add(self, partition: DataFrame) -> DataFrame:
+        """Put in a new partition of records, in one commit. Returns what is found anew, a written table (unit_id, line_no, doc): repeated lines
+        of the partition, and lines of earlier ones that crossed the threshold by it. `doc` is the hash of the uri."""
+        before, had, earlier = self.store.parts("held"), self.store.read("counts"), self.store.read("documents")
+        part = self.store.write("held", long_lines(partition, self.letters))
+        new = self.store.read("held", [part])
+        documents = self.store.write("documents", new.select("doc").distinct())
+        pairs = new.select(*_LINE, "doc").distinct()
+        if earlier is not None:
+            # only documents that come in parts can have had a line before
+            again = bounded(cut(self.store.read("documents", [documents]).join(earlier, "doc", "left_semi"), "lines-documents"))
+            known = self.store.read("held", before).join(again, "doc", "left_semi").select(*_LINE, "doc").distinct()
+            pairs = pairs.join(known, [*_LINE, "doc"], "left_anti")
+        delta = self.store.write("counts", pairs.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n")))
+        counts = self.store.read("counts", [*self.store.parts("counts"), delta])
+        total = counts.groupBy(*_LINE).agg(F.sum("n").alias("n")).filter(F.col("n") >= self.documents)
+        if had is None:
+            anew = new.join(bounded(cut(total.select(*_LINE), "lines-crossed")), _LINE, "left_semi")
+        else:
+            was = had.groupBy(*_LINE).agg(F.sum("n").alias("_was")).filter(F.col("_was") >= self.documents).select(*_LINE, F.lit(True).alias("_was"))
+            crossed = cut(total.select(*_LINE).join(was, _LINE, "left"), "lines-crossed")
+            newly = bounded(crossed.filter("_was is null").select(*_LINE))
+            anew = new.join(bounded(crossed.select(*_LINE)), _LINE, "left_semi").unionByName(self.store.read("held", before).join(newly, _LINE, "left_semi"))
+        found = cut(anew.select("unit_id", "line_no", "doc").distinct(), "lines-found")
+        self.store.commit(append={"held": [part], "documents": [documents], "counts": [delta]})
+        self.store.compacted("counts", lambda d: d.groupBy(*_LINE).agg(F.sum("n").alias("n")))
+        self.store.compacted("held", lambda d: d.distinct())
+        self.store.compacted("documents", lambda d: d.distinct())
+        return found
+
+    def repeated(self) -> DataFrame:
+        """(unit_id, line_no) of all repeated lines of all partitions so far."""
+        crossed = self.store.read("counts").groupBy(*_LINE).agg(F.sum("n").alias("n")).filter(F.col("n") >= self.documents)
+        return self.store.read("held").join(crossed.select(*_LINE), _LINE, "left_semi").select("unit_id", "line_no").distinct()
+
+
+def rebuilt(records: DataFrame, gone: DataFrame) -> DataFrame:
+    """(unit_id, text, n_removed) of the records that hold lines of GONE (unit_id, line_no), without these lines. Other records are left out
+    before their text is touched."""
+    numbers = gone.groupBy("unit_id").agg(F.collect_set("line_no").alias("_gone"))
+    held = records.select("unit_id", "text").join(bounded(gone.select("unit_id").distinct()), "unit_id", "left_semi").distinct()
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), (k + 1).alias("k"))), lambda x: ~F.array_contains("_gone", x["k"].cast("bigint")))
-    return records.select("unit_id", "text").distinct().join(gone, "unit_id").select("unit_id", F.array_join(F.transform(kept, lambda x: x["x"]), "\n").alias("text"), F.size("_gone").alias("n_removed"))
+    return held.join(numbers, "unit_id").select("unit_id", F.array_join(F.transform(kept, lambda x: x["x"]), "\n").alias("text"), F.size("_gone").alias("n_removed"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import aggregation, distinctive, leakage, lines, markup, neardup, packing, pii
-from quernstone.session import cut, table
+from quernstone.session import cut, scratch, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -17,8 +17,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten first units of each query's combined ranking."""
-    return aggregation.combined_ranking(table(spark, sf, "hits"), 10).withColumn("rho", F.round("rho", 9))
+    """Each query's combined ranking, whole."""
+    return aggregation.combined_ranking(table(spark, sf, "hits")).withColumn("rho", F.round("rho", 9))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,22 +31,22 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.term_scores(table(spark, sf, "units"), table(spark, sf, "term_probes")).withColumn("score", F.round("score", 6))
 
 
-def _crossed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Live units are the first partition; removed ones come as the delta."""
+def _repeated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Units, and their repeated lines as two increments find them: live units are the first partition, removed ones the second."""
     units = table(spark, sf, "units").select("unit_id", "source_uri", "text", "removed_at")
-    state, first = lines.merge(None, units.filter("removed_at is null"))
-    state, later = lines.merge(state, units.filter("removed_at is not null"))
-    return units, first.unionByName(later)
+    ledger = lines.LineLedger(spark, scratch(spark, "lines"))
+    first = ledger.add(units.filter("removed_at is null"))
+    return units, first.unionByName(ledger.add(units.filter("removed_at is not null"))).select("unit_id", "line_no").distinct()
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that recur in at least six documents of their site."""
-    return lines.repeated_lines(*_crossed(spark, sf))
+    return _repeated(spark, sf)[1]
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
     """The units that hold such lines, without them."""
-    return lines.rebuilt(*_crossed(spark, sf))
+    return lines.rebuilt(*_repeated(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +161,7 @@ p as (select unit_id_a, unit_id_b from j where c >= 0.5 * (na + nb - c)
 
 ORACLES = {
     "p1_found": _RANKING + "select query_id, unit_id from o where position = 1",
-    "p1_ranking": _RANKING + "select query_id, position, unit_id, round(rho, 9) as rho from o where position <= 10",
+    "p1_ranking": _RANKING + "select query_id, position, unit_id, round(rho, 9) as rho from o",
     "p2_found": _WORDS + "select unit_id, arg_min(term, row(-score, term)) as term from s group by 1",
     "p2_scores": _WORDS + "select unit_id, term, n, round(score, 6) as score from s",
     "p4_found": _LINES + "select distinct unit_id, line_no from k join c using (site, k)",

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from conftest import rows
@@ -113,25 +114,55 @@ def documents():
     return [*data, ("u0", "site/p0", data[0][2]), ("v", "other/p", NOTE), ("w", "site/p0", NOTE), ("n", None, NOTE), ("e", "site/e", ""), ("x", "site/x", None)]
 
 
-def test_repeated_lines_incrementally_and_at_once(spark):
+def test_repeated_lines_incrementally_and_at_once(spark, tmp_path):
     df = spark.createDataFrame(documents(), LINES).withColumns({"site": F.lit("clash"), "h1": F.lit(0), "doc": F.lit(0)})
-    _, crossed = lines.merge(None, df)
     want = sorted([(f"u{k}", 2) for k in range(6)] + [("w", 1)])
-    assert rows(lines.repeated_lines(df, crossed)) == want
-    state, first = lines.merge(None, df.filter("unit_id in ('u0', 'u1', 'u2', 'v')"))
-    assert rows(first) == []
-    state, second = lines.merge(state, df.filter("unit_id in ('u3', 'u4', 'w', 'n', 'e', 'u0')"))
-    assert rows(second) == []
-    state, third = lines.merge(state, df.filter("unit_id in ('u5', 'x')"))
-    assert rows(lines.repeated_lines(df, third)) == want
-    state, fourth = lines.merge(state, df)
-    assert rows(fourth) == []
+    assert rows(lines.LineLedger(spark, str(tmp_path / "once")).add(df), "unit_id", "line_no") == want
+    ledger = lines.LineLedger(spark, str(tmp_path / "steps"))
+    assert rows(ledger.add(df.filter("unit_id in ('u0', 'u1', 'u2', 'v')"))) == []
+    assert rows(ledger.add(df.filter("unit_id in ('u3', 'u4', 'w', 'n', 'e', 'u0')"))) == []
+    third = ledger.add(df.filter("unit_id in ('u5', 'x')"))
+    assert rows(third, "unit_id", "line_no") == want == rows(ledger.repeated())
+    fourth = ledger.add(spark.createDataFrame([("y", "site/y", "first\n" + NOTE), ("z", "site/z", "nothing of the kind at all in this")], LINES))
+    assert rows(fourth, "unit_id", "line_no") == [("y", 2)]  # earlier records aren't found again
     fixed = {r["unit_id"]: (r["text"], r["n_removed"]) for r in lines.rebuilt(df, third).collect()}
     assert fixed["w"] == ("", 1) and fixed["u1"] == ("own line number b of this document\nshort", 1) and "v" not in fixed
 
 
-def test_lines_edges(spark):
+def test_increments_write_as_much_as_they_bring(spark, tmp_path):
+    """What is written for a partition follows the partition, and earlier texts aren't asked for."""
+    ledger = lines.LineLedger(spark, str(tmp_path / "l"))
+    big = spark.range(2000).selectExpr("concat('b', id) as unit_id", "concat('s/', id) as source_uri", "concat('line of letters ', repeat(chr(97 + id % 26), 30), repeat(chr(97 + id % 7), 20)) as text")
+    ledger.add(big)
+    ledger.add(spark.createDataFrame([("n", "s/new", "one more line with letters only here")], LINES))
+    parts = ledger.store.parts("held")
+    assert [ledger.store.read("held", [p]).count() for p in parts] == [2000, 1]
+
+
+def test_lines_edges(spark, tmp_path):
     df = spark.createDataFrame([], LINES)
-    assert rows(lines.merge(None, df)[1]) == []
+    empty = lines.LineLedger(spark, str(tmp_path / "e"))
+    assert rows(empty.add(df)) == [] and rows(empty.add(df)) == []
     many = spark.createDataFrame([(f"u{k}", f"s/{k}", ("1234567890 " * 10 + "\n") * 3 + "ẞtraße und viele weitere Wörter " + str(k)) for k in range(7)], LINES)
-    assert {r[1] for r in rows(lines.repeated_lines(many, lines.merge(None, many)[1]))} == {4}
+    assert {r["line_no"] for r in empty.add(many).collect()} == {4}
+
+
+def test_beta_probabilities():
+    """Against sums of binomial probabilities, and for more lists than are written out."""
+    r = np.random.default_rng(3)
+    for m in (1, 2, 5, 9, 40, 120):
+        k = r.integers(1, m + 1, 200)
+        x = np.concatenate([r.random(196), [0.0, 1.0, 1e-9, 0.5]])
+        want = [sum(comb(m, j) * v**j * (1 - v) ** (m - j) for j in range(a, m + 1)) for a, v in zip(k.tolist(), x.tolist())]
+        assert np.allclose(aggregation.beta_cdf(k, m - k + 1, x), want, rtol=1e-9, atol=1e-13)
+
+
+def test_any_number_of_lists(spark, monkeypatch):
+    data = [("q", f"i{i:03}", None, float((k * 7919 + i * 104729) % 997), f"v{k:02}") for i in range(100) for k in range(12)]
+    df = spark.createDataFrame(data, "query_id string, index string, rank int, score double, unit_id string")
+    got = aggregation.combined_ranking(df).collect()
+    assert [r["position"] for r in got] == list(range(1, 13))
+    few = df.filter("index < 'i005'")
+    plain = rows(aggregation.combined_ranking(few).withColumn("rho", F.round("rho", 10)))
+    monkeypatch.setattr(aggregation, "WRITTEN_OUT", 1)
+    assert rows(aggregation.combined_ranking(few).withColumn("rho", F.round("rho", 10))) == plain
