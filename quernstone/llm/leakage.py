@@ -1,13 +1,16 @@
-"""Held-out passages in training text: SimHash of windows, multi-index Hamming blocks, exact verification.
+"""Held-out passages in training text: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Every window of WINDOW words of the documents and of the items has a SimHash, the signs of the words' summed code bits. The items'
-fingerprints are cut into RADIUS + 1 blocks, each with a table from block value to windows; two fingerprints that differ in at most
-RADIUS bits agree in one block at least, so looking up every document window in every table misses none. Candidates within the radius
-are verified by the words themselves: the longest run of equal words around the matching windows, and the similarity of the shingles
-shared with the item, each weighted by how few items hold it.
+An item is looked for at two sizes. Passages: each run of WINDOW words of it. Whole items: windows of the greatest WINDOW * 2 ** k words it
+has, so that an item and windows of documents differ in length by less than half. Every window of the documents of these sizes has a
+SimHash, the signs of the words' summed code bits. The items' fingerprints are cut into BLOCKS blocks, each with a table from all values
+that differ in at most radius // BLOCKS bits to windows; two fingerprints that differ in at most the radius agree so far in one block at
+least, so looking up every document window misses none. Candidates are verified by the words themselves: the longest run of equal words
+around matching passages, and the similarity of the shingles, the share of the item's that the document holds, each weighted by how few
+items hold it.
 
-The items are a fixed set, checked to be at most MOST_ITEMS rows before they are sent to the executors; documents are read once and
-never shuffled, only findings are. Words are runs of letters or digits in lower case, so punctuation, case and spacing don't count.
+leaks() gives both measures. A document near a whole item is one of a similarity of SIMILARITY; one that holds a passage has a run of WINDOW
+words. Items are sent to the executors in passes of MOST_ITEMS, so they may be any number; a pass reads the documents once, and
+never shuffles them, only findings are. Words are runs of letters or digits in lower case, so punctuation, case and spacing don't count.
 
 Defined cases: a null or empty text, or one of fewer than WINDOW words, holds no item and is none; equal items are found each; equal
 documents of another id each; a repeated (item, document) counts once, with its greatest values.
@@ -18,19 +21,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.words import codes, mixed, runs
-from quernstone.session import small
+from quernstone.session import cut, passes
 
 WINDOW = 13
-RADIUS = 3
+#: Differing bits of passages, and of windows of whole items: an edited word of 26 changes about five bits of 64.
+RADIUS, ITEM_RADIUS = 3, 11
+BLOCKS = 4
+BITS = 64 // BLOCKS
 SHINGLE = 5
+SIMILARITY = 0.8
+#: Items in one pass over the documents.
 MOST_ITEMS = 20_000
-#: Blocks of up to so many bits have a table of all their values; longer ones are searched.
-DIRECT_BITS = 22
 
 
 def simhashes(values: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,45 +61,36 @@ def simhashes(values: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.
     return out.view(np.uint64)[:, 0], at, text
 
 
-class Index:
-    """The items' windows by blocks of their fingerprints."""
+class Layer:
+    """The items' windows of one size by blocks of their fingerprints."""
 
-    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW, radius: int = RADIUS) -> None:
-        self.window, self.radius, self.ids = window, radius, np.array(ids, np.int64)
-        self.words, self.offsets = codes(pa.array(texts, pa.string()))
-        self.prints, self.at, self.item = simhashes(self.words, self.offsets, window)
-        edges = np.linspace(0, 64, radius + 2).astype(int)
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, window: int, radius: int, stride: int = 1) -> None:
+        self.window, self.radius = window, radius
+        prints, at, item = simhashes(words, offsets, window)
+        begin, end = offsets[:-1][item], offsets[1:][item]
+        keep = ((at - begin) % stride == 0) | (at + window == end)
+        self.prints, self.at, self.item = prints[keep], at[keep], item[keep]
+        masks = [0]
+        for _ in range(radius // BLOCKS):
+            masks = sorted({m ^ flip for m in masks for flip in [0, *(1 << b for b in range(BITS))]})
         self.tables = []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            block = self.block(self.prints, lo, hi)
-            order = np.argsort(block, kind="stable").astype(np.int64)
-            firsts = np.cumsum(np.bincount(block + 1, minlength=(1 << (hi - lo)) + 1)) if hi - lo <= DIRECT_BITS else None
-            self.tables.append((lo, hi, order, block[order], firsts))
-        self.shingles, starts = runs(self.words, self.offsets, SHINGLE)
-        owner = np.repeat(np.arange(len(ids)), np.diff(starts))
-        pairs = np.unique(np.stack([self.shingles, owner.astype(np.uint64)], 1), axis=0) if len(owner) else np.empty((0, 2), np.uint64)
-        known, inverse, held = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-        weight = np.log1p(len(ids) / held)[inverse] if len(known) else np.empty(0)
-        self.by_item = [pairs[pairs[:, 1] == k, 0] for k in range(len(ids))]
-        self.weights = [weight[pairs[:, 1] == k] for k in range(len(ids))]
+        for lo in range(0, 64, BITS):
+            block = (self.block(self.prints, lo)[:, None] ^ np.array(masks)[None, :]).ravel()
+            order = np.argsort(block, kind="stable")
+            self.tables.append((lo, order // len(masks), np.cumsum(np.bincount(block + 1, minlength=(1 << BITS) + 1))))
 
     @staticmethod
-    def block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        return ((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).view(np.int64)
+    def block(prints: np.ndarray, lo: int) -> np.ndarray:
+        return ((prints >> np.uint64(lo)) & np.uint64((1 << BITS) - 1)).view(np.int64)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document window, item window) of all pairs within the radius; a pair may come from several blocks."""
-        left, right = [], []
-        for lo, hi, order, values, firsts in self.tables:
-            block = self.block(prints, lo, hi)
-            if firsts is None:
-                begin = np.searchsorted(values, block)
-                n = np.searchsorted(values, block, "right") - begin
-            else:
-                begin = firsts[block]
-                n = firsts[block + 1] - begin
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, order, firsts in self.tables:
+            block = self.block(prints, lo)
+            n = firsts[block + 1] - firsts[block]
             some = np.flatnonzero(n)
-            n, begin = n[some], begin[some]
+            n, begin = n[some], firsts[block[some]]
             ends = np.cumsum(n)
             if not len(ends):
                 continue
@@ -100,42 +99,115 @@ class Index:
             near = np.bitwise_count(prints[q] ^ self.prints[w]) <= self.radius
             left.append(q[near])
             right.append(w[near])
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return np.concatenate(left), np.concatenate(right)
+
+
+def item_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, item) of all distinct shingles of each item, in the order of the items."""
+    shingles, starts = runs(*codes(pa.array(texts, pa.string())), SHINGLE)
+    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    return shingles[new], owner[new]
+
+
+class Index:
+    """Items by passages, and by windows of their own size where WHOLE is wanted. HELD is in how many of all N_ITEMS items each shingle
+    stands; if it isn't given, these items are all."""
+
+    def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW, radius: int = RADIUS, whole: bool = True, held: dict[int, int] | None = None, n_items: int | None = None) -> None:
+        self.window, self.ids = window, np.array(ids, np.int64)
+        self.words, self.offsets = codes(pa.array(texts, pa.string()))
+        self.passages = Layer(self.words, self.offsets, window, radius)
+        self.items = []
+        sizes = np.diff(self.offsets)
+        size = 2 * window
+        while whole and np.any(sizes >= size):
+            own = (sizes >= size) & (sizes < 2 * size)
+            if own.any():
+                pieces = [self.words[a:z] for a, z in zip(self.offsets[:-1][own], self.offsets[1:][own], strict=True)]
+                layer = Layer(np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(x) for x in pieces])]), size, ITEM_RADIUS, size // 4)
+                layer.item = np.flatnonzero(own)[layer.item]
+                self.items.append(layer)
+            size *= 2
+        shingles, owner = item_shingles(texts)
+        if held is None:
+            _, inverse, n = np.unique(shingles, return_inverse=True, return_counts=True)
+            n = n[inverse] if len(shingles) else np.empty(0)
+        else:
+            n = np.array([held.get(x, 1) for x in shingles.tolist()], float)
+        weight = np.log1p((len(ids) if n_items is None else n_items) / n)
+        edges = np.searchsorted(owner, np.arange(len(ids) + 1))
+        self.shingles = [shingles[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+        self.weights = [weight[a:z] for a, z in zip(edges, edges[1:], strict=False)]
 
     def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, float]]:
-        """(text, item id, longest run of equal words, weighted share of the item's shingles) of verified candidates."""
+        """(text, item id, longest run of equal words or 0, weighted share of the item's shingles) of the candidates."""
         words, offsets = codes(texts)
         prints, at, text = simhashes(words, offsets, self.window)
-        q, w = self.candidates(prints)
-        if not len(q):
-            return
-        shingles, starts = runs(words, offsets, SHINGLE)
-        best: dict[tuple[int, int], int] = {}
+        q, w = self.passages.candidates(prints)
+        places, items = self.passages.at[w], self.passages.item[w]
+        best = dict.fromkeys(zip(text[q].tolist(), items.tolist(), strict=True), 0)
         same = np.ones(len(q), bool)
         for j in range(self.window):
-            same &= words[at[q] + j] == self.words[self.at[w] + j]
-        for t, i in set(zip(text[q].tolist(), self.item[w].tolist(), strict=True)):
-            best[t, i] = 0
+            same &= words[at[q] + j] == self.words[places + j]
         # equal windows that follow each other on one diagonal make one longer run
-        rows = np.unique(np.stack([text[q][same], self.item[w][same], at[q][same] - self.at[w][same], at[q][same]], 1), axis=0)
+        rows = np.unique(np.stack([text[q], items, at[q] - places, at[q]], 1)[same], axis=0)
         if len(rows):
             new = np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1) | (rows[1:, 3] != rows[:-1, 3] + 1)])
             begins = np.flatnonzero(new)
             lengths = np.diff(np.append(begins, len(rows))) + self.window - 1
             for (t, i), n in zip(rows[begins, :2].tolist(), lengths.tolist(), strict=True):
                 best[t, i] = max(best[t, i], n)
+        for layer in self.items:
+            prints, _, text = simhashes(words, offsets, layer.window)
+            q, w = layer.candidates(prints)
+            for pair in set(zip(text[q].tolist(), layer.item[w].tolist(), strict=True)):
+                best.setdefault(pair, 0)
+        if best:
+            shingles, starts = runs(words, offsets, SHINGLE)
+            own = {t: np.unique(shingles[starts[t] : starts[t + 1]]) for t in {t for t, _ in best}}
         for (t, i), run in best.items():
-            own = np.unique(shingles[starts[t] : starts[t + 1]])
             weights = self.weights[i]
-            shared = np.isin(self.by_item[i], own)
-            yield t, int(self.ids[i]), run, float(weights[shared].sum() / weights.sum()) if len(weights) else 0.0
+            yield t, int(self.ids[i]), run, float(weights[np.isin(self.shingles[i], own[t], assume_unique=True)].sum() / weights.sum()) if len(weights) else 0.0
+
+
+def _held_by(items: DataFrame) -> DataFrame:
+    """(shingle, n) of the shingles that more than one of the items holds. A written table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(item_shingles(b.column(0).to_pylist())[0].view(np.int64))], ["shingle"])
+
+    return cut(items.select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "leakage-shingles")
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
-    """(item_id, doc_id, longest_run, similarity) of documents with a window near one of an item's."""
-    held = [(r["item_id"], r["text"]) for r in small(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct(), MOST_ITEMS) if r["text"] and r["item_id"] is not None]
-    index = documents.sparkSession.sparkContext.broadcast(Index([i for i, _ in held], [t for _, t in held], window, radius))
 
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius: int = RADIUS, whole: bool = True) -> DataFrame:
+    """(item_id, doc_id, longest_run, similarity) of documents with a window near one of an item's; without WHOLE only near its passages."""
+    spark = documents.sparkSession
+    named = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text <> ''").distinct()
+    n, blocks = passes(named, "item_id", MOST_ITEMS)
+    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    schema = "item_id bigint, doc_id bigint, longest_run int, similarity double"
+    shared = _held_by(named) if n > 1 else None
+    n_items = named.count() if n > 1 else None
+    found = spark.createDataFrame([], schema)
+    for block in blocks:
+        if not block:
+            continue
+        ids, texts = [r["item_id"] for r in block], [r["text"] for r in block]
+        held = None
+        if shared is not None:
+            own = spark.createDataFrame(pd.DataFrame({"shingle": np.unique(item_shingles(texts)[0]).view(np.int64)}))
+            held = {r["shingle"] % 2**64: r["n"] for r in shared.join(own, "shingle").collect()}
+        index = spark.sparkContext.broadcast(Index(ids, texts, window, radius, whole, held, n_items))
+        found = found.unionByName(d.mapInArrow(_finder(index), schema))
+    return found.groupBy("item_id", "doc_id").agg(F.max("longest_run").alias("longest_run"), F.max("similarity").alias("similarity"))
+
+
+def _finder(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
@@ -144,9 +216,12 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, radius:
                 ids = part.column(0).take(pa.array([t for t, *_ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int64()), ids, pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.float64())], ["item_id", "doc_id", "longest_run", "similarity"])
 
-    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    found = d.mapInArrow(run, "item_id bigint, doc_id bigint, longest_run int, similarity double")
-    return found.groupBy("item_id", "doc_id").agg(F.max("longest_run").alias("longest_run"), F.max("similarity").alias("similarity"))
+    return run
+
+
+def near_items(found: DataFrame, similarity: float = SIMILARITY, window: int = WINDOW) -> DataFrame:
+    """(item_id, doc_id, longest_run, similarity) of documents that hold an item nearly whole, or a passage of it."""
+    return found.filter((F.col("similarity") >= similarity) | (F.col("longest_run") >= window))
 
 
 def verified(found: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -91,7 +91,12 @@ def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share at least 13 consecutive words with an evaluation item."""
-    return leakage.verified(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")))
+    return leakage.verified(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), whole=False))
+
+
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an evaluation item nearly whole or a passage of it, with both measures."""
+    return leakage.near_items(leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))).withColumn("similarity", F.round("similarity", 6))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +109,7 @@ def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p7_slots": p7_slots, "p8_pack": p8_pack, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p7_slots": p7_slots, "p8_pack": p8_pack, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_masked": p10_masked}
 
 
 def _tail_sql(k: int, r: str, most: int = 5) -> str:
@@ -149,6 +154,22 @@ f as (select doc_id, array_to_string(w[i:i+12], ' ') as s from d, unnest(range(1
 select distinct item_id, doc_id from f join g using (s)
 """
 
+_NEAR = r"""
+with d as (select distinct doc_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from documents),
+e as (select item_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from eval_items),
+g as (select item_id, i as ii, array_to_string(w[i:i+12], ' ') as s from e, unnest(range(1, len(w) - 11)) as r(i)),
+f as (select doc_id, i as di, array_to_string(w[i:i+12], ' ') as s from d, unnest(range(1, len(w) - 11)) as r(i)),
+m as (select distinct item_id, doc_id, di - ii as diagonal, di from f join g using (s)),
+o as (select *, di - row_number() over (partition by item_id, doc_id, diagonal order by di) as island from m),
+run as (select item_id, doc_id, max(n) + 12 as n from (select item_id, doc_id, count(*) as n from o group by item_id, doc_id, diagonal, island) group by 1, 2),
+h as (select distinct item_id, array_to_string(w[i:i+4], ' ') as s from e, unnest(range(1, len(w) - 3)) as r(i)),
+wt as (select s, ln(1 + (select count(*) from e) / count(*)) as wt from h group by 1),
+t as (select item_id, sum(wt) as total from h join wt using (s) group by 1),
+k as (select distinct doc_id, array_to_string(w[i:i+4], ' ') as s from d, unnest(range(1, len(w) - 3)) as r(i)),
+sim as (select item_id, doc_id, sum(wt) as got from h join wt using (s) join k using (s) group by 1, 2)
+select item_id, doc_id, coalesce(n, 0)::int as longest_run, round(got / total, 6) as similarity from sim join t using (item_id) left join run using (item_id, doc_id) where n is not null or got / total >= 0.8
+"""
+
 _PAIRS = r"""
 with u as (select distinct unit_id, text from units where text is not null),
 w as (select unit_id, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from u),
@@ -167,4 +188,5 @@ ORACLES = {
     "p4_found": _LINES + "select distinct unit_id, line_no from k join c using (site, k)",
     "p6_found": _PAIRS + "select unit_id_a, unit_id_b from p",
     "p9_found": _LEAKS,
+    "p9_leaks": _NEAR,
 }

@@ -161,17 +161,43 @@ def test_leaks_against_brute_force(spark):
 @given(st.integers(0, 10**6), st.integers(0, 5))
 def test_blocks_miss_nothing_within_the_radius(seed, radius):
     r = np.random.default_rng(seed)
-    index = leakage.Index([1], [" ".join(f"w{k}" for k in r.integers(0, 99, 40))], 13, radius)
-    flips = np.zeros(len(index.prints), np.uint64)
+    words = np.array([hash(("w", int(k))) & (2**63 - 1) for k in r.integers(0, 99, 40)], np.uint64)
+    layer = leakage.Layer(words, np.array([0, 40]), 13, radius)
+    flips = np.zeros(len(layer.prints), np.uint64)
     for _ in range(radius + 1):
         flips ^= np.uint64(1) << r.integers(0, 64, len(flips), dtype=np.int64).astype(np.uint64)
-    prints = index.prints ^ flips
-    q, w = index.candidates(prints)
-    far = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
+    prints = layer.prints ^ flips
+    q, w = layer.candidates(prints)
+    far = np.bitwise_count(prints[:, None] ^ layer.prints[None, :])
     assert set(zip(q.tolist(), w.tolist(), strict=True)) == set(zip(*map(lambda x: x.tolist(), np.nonzero(far <= radius)), strict=True))
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MOST_ITEMS", 1)
-    with pytest.raises(ValueError):
-        leakage.leaks(spark.createDataFrame([(1, "a")], DOCS), spark.createDataFrame([(1, "a"), (2, "b")], ITEMS))
+def test_whole_items_are_found_by_similarity(spark):
+    """Items copied with an edited word every 12 share no passage of 13 words; at a lower threshold the item-sized windows find them."""
+    r = np.random.default_rng(6)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    items = [(k, " ".join(r.choice(vocabulary, int(r.integers(30, 97))))) for k in range(60)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        w[11::12] = [f"edited{j}" for j in range(len(w[11::12]))]
+        docs.append((k, " ".join([*r.choice(vocabulary, 100), *w, *r.choice(vocabulary, 100)])))
+        docs.append((1000 + k, " ".join([*r.choice(vocabulary, 50), *text.split()[:-1], "end", *r.choice(vocabulary, 50)])))
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    found = {(x["item_id"], x["doc_id"]): x for x in leakage.leaks(d, i).collect()}
+    assert all(found[k, 1000 + k]["similarity"] >= 0.8 and found[k, 1000 + k]["longest_run"] >= 29 for k, _ in items)
+    edited = [found[k, k] for k, _ in items if (k, k) in found]
+    assert len(edited) >= 54 and all(x["longest_run"] == 0 and 0.4 < x["similarity"] < 0.8 for x in edited)
+    assert leakage.leaks(d, i, whole=False).filter("item_id = doc_id and longest_run = 0").count() < len(edited)
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    vocabulary = [f"v{k}" for k in range(60)]
+    common = r.choice(vocabulary, 20).tolist()
+    items = [(k, " ".join([*common, *r.choice(vocabulary, 20)])) for k in range(40)]
+    docs = [(k, " ".join([*r.choice(vocabulary, 30), *items[k % 40][1].split()[5:40]])) for k in range(60)]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    once = rows(leakage.leaks(d, i).withColumn("similarity", F.round("similarity", 9)))
+    monkeypatch.setattr(leakage, "MOST_ITEMS", 15)
+    assert rows(leakage.leaks(d, i).withColumn("similarity", F.round("similarity", 9))) == once and len(once) > 60
