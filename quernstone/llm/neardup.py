@@ -8,8 +8,9 @@ adds up the differences from the root down and leaves a whole group out as soon
 one. An exact comparison of the sets of runs follows.
 
 Texts equal in words are one class, represented by its least unit_id, before the index is built. So a group of copies, however large,
-is one fingerprint. A node with very many distinct texts is cut by leading bits of the Gray rank into parts; each part is searched by
-the whole node, in another task each, unless the bits that all codes of the parts share differ by more than the radius.
+is one fingerprint. A node with more than NODE distinct texts is divided once more, by PAIRS pairs of whole min-wise hashes: each member goes to that
+many lower nodes, and two texts of similarity 0.5 miss each other in all of them with a probability below one in 100,000. A lower node
+that is still as large holds texts nearly all of which are pairs; it is searched in cells of NODE by NODE members, one task each.
 
 Defined cases: a null text is no record; texts of fewer than RUN words have no runs and are alike only if equal in words; equal rows
 count once; pairs are of different unit_ids, the smaller first.
@@ -33,11 +34,9 @@ BANDS, ROWS, DEPTH = 30, 3, 3
 HASHES = BANDS * ROWS
 WORDS = -(-HASHES * DEPTH // 64)
 BLOCK = 32
-#: Members beyond which a node is cut into parts for several tasks.
+#: Members beyond which a node is divided.
 NODE = 20_000
-#: None: every pair is given. Else a class with more copies than this is given as links to its representative, which loses pairs and is
-#: only for callers that ask what is connected.
-COPIES: int | None = None
+PAIRS = HASHES // 2
 #: Members of a class in one task of a join; larger classes are salted by member.
 CHUNK = 1_000
 _SEEDS = np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -135,6 +134,13 @@ def members(records: DataFrame) -> DataFrame:
     return cut(named.select("unit_id", F.xxhash64("_w").alias("c1"), F.xxhash64(F.lit(11), "_w").alias("c2")).distinct(), "neardup-classes")
 
 
+def membership(records: DataFrame) -> DataFrame:
+    """(unit_id, class_id, n_members) of every record: its class of records equal in words, by the class's least unit_id."""
+    classes = members(records.select("unit_id", "text"))
+    sizes = classes.groupBy("c1", "c2").agg(F.min("unit_id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    return classes.join(sizes, ["c1", "c2"]).select("unit_id", "class_id", "n_members")
+
+
 def _firsts(records: DataFrame, classes: DataFrame) -> DataFrame:
     """(unit_id, c1, text) of one record per class: all but the later members of repeated classes, without a shuffle of texts."""
     own = ["c1", "c2"]
@@ -145,7 +151,7 @@ def _firsts(records: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From c1, text: c1, code, head (the first word of code), keys."""
+    """From c1, text: c1, code, keys."""
     for b in it:
         for k in range(0, b.num_rows, 2000):
             part = b.slice(k, 2000)
@@ -153,7 +159,7 @@ def _printed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             code, bands = np.ascontiguousarray(code[some]), np.ascontiguousarray(bands[some])
             raw = pa.Array.from_buffers(pa.binary(8 * WORDS), len(code), [None, pa.py_buffer(code)]).cast(pa.binary())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("c1").filter(pa.array(some)), raw, pa.array(code[:, 0].copy().view(np.int64)), keys], ["c1", "code", "head", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("c1").filter(pa.array(some)), raw, keys], ["c1", "code", "keys"])
 
 
 def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,39 +229,61 @@ def _search(radius: int):
     return run
 
 
-def _spread(nodes: DataFrame, hot: DataFrame | None, radius: int) -> DataFrame:
-    """nodes with part and role; a node of HOT is cut by leading bits of the Gray rank, and its members are sent to every part whose
-    common bits are within the radius. Parts of a node are searched by independent tasks."""
-    plain = nodes.withColumns({"part": F.lit(0), "role": F.lit(0).cast("byte")})
+def _divided(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From c1, text: c1, subs, the PAIRS keys of lower nodes."""
+    for b in it:
+        for k in range(0, b.num_rows, 2000):
+            part = b.slice(k, 2000)
+            values, starts = runs(*codes(part.column("text")), RUN)
+            some = np.diff(starts) > 0
+            at = starts[:-1][some]
+            subs = np.empty((len(at), PAIRS), np.uint64)
+            for j in range(PAIRS if len(at) else 0):
+                subs[:, j] = mixed(mixed(_minima(values, at, _SEEDS[2 * j]) + np.uint64(j)) + _minima(values, at, _SEEDS[2 * j + 1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(subs) + 1) * PAIRS, pa.int32()), pa.array(subs.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("c1").filter(pa.array(some)), lists], ["c1", "subs"])
+
+
+def _repeated_keys(keyed: DataFrame, name: str) -> DataFrame:
+    """(key, c1) of the keys that more than one row has. A written table."""
+    return cut(keyed.repartition("key").sortWithinPartitions("key").select("key", "c1").mapInArrow(_shared, "key bigint, c1 bigint"), name)
+
+
+def _lower_nodes(big: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, c1): the members of large nodes BIG by lower nodes of theirs."""
+    members_ = big.select("c1").distinct()
+    subs = cut(firsts.select("c1", "text").join(bounded(members_), "c1", "left_semi").mapInArrow(_divided, "c1 bigint, subs array<bigint>"), "neardup-subs")
+    keyed = big.join(subs, "c1").select("c1", "key", F.explode("subs").alias("_sub")).select("c1", F.xxhash64("key", "_sub").alias("key"))
+    return _repeated_keys(keyed, "neardup-lower")
+
+
+def _celled(nodes: DataFrame) -> DataFrame:
+    """nodes (key, c1) with part and role: 0 for ordinary ones; a node of more than NODE members is cut into chunks by member, and each
+    member goes to the cells its chunk shares with another, as a query of the later and as an entry for the earlier."""
+    plain = nodes.withColumns({"part": F.lit(0).cast("bigint"), "role": F.lit(0).cast("byte")})
+    hot = hot_keys(nodes, ["key"], NODE)
     if hot is None:
         return plain
-    bits = F.least(F.lit(16), F.ceil(F.log2(F.col("_n") / NODE)).cast("int"))
-    named = F.broadcast(hot.select("key", bits.alias("_bits")))
-    big = nodes.join(named, "key")
-    lead = F.expr("shiftrightunsigned(head, 64 - _bits)")
-    rank = lead
-    for shift in (1, 2, 4, 8):
-        rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    index = big.withColumns({"part": (rank + 1).cast("int"), "role": F.lit(1).cast("byte")})
-    every = F.explode(F.sequence(F.lit(0), F.expr("cast(shiftleft(1, _bits) - 1 as int)")))
-    query = big.withColumn("_lead", lead).withColumn("_p", every)
-    pattern = F.col("_p").cast("bigint").bitwiseXOR(F.shiftrightunsigned(F.col("_p").cast("bigint"), 1))
-    query = query.filter(F.bit_count(pattern.bitwiseXOR(F.col("_lead"))) <= radius).withColumns({"part": F.col("_p") + 1, "role": F.lit(2).cast("byte")})
-    cols = ["key", "c1", "code", "head", "part", "role"]
-    return plain.join(named, "key", "left_anti").select(*cols).unionByName(index.select(*cols)).unionByName(query.select(*cols))
+    named = hot.select("key", F.ceil(F.col("_n") / NODE).cast("bigint").alias("_c"))
+    big = nodes.join(named, "key").withColumn("_x", F.expr("pmod(xxhash64(c1), _c)")).withColumn("_y", F.explode(F.expr("sequence(0L, _c - 1)")))
+    role = F.when(F.col("_x") == F.col("_y"), 0).when(F.col("_x") > F.col("_y"), 1).otherwise(2).cast("byte")
+    cells = big.select("key", "c1", (F.least("_x", "_y") * F.col("_c") + F.greatest("_x", "_y") + 1).alias("part"), role.alias("role"))
+    return plain.join(named, "key", "left_anti").unionByName(cells)
 
 
 def candidates(firsts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): classes, a < b, whose fingerprints are within the radius in some tree. Keys are shuffled without fingerprints first, so
     only texts that share an upper node with another carry theirs through the search."""
-    prints = cut(firsts.select("c1", "text").mapInArrow(_printed, "c1 bigint, code binary, head bigint, keys array<bigint>"), "neardup-prints")
-    keyed = prints.select("c1", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
-    nodes = cut(keyed.select("key", "c1").mapInArrow(_shared, "key bigint, c1 bigint"), "neardup-nodes")
-    held = nodes.join(prints.select("c1", "code", "head"), "c1")
-    radius = radius_of(similarity)
+    prints = cut(firsts.select("c1", "text").mapInArrow(_printed, "c1 bigint, code binary, keys array<bigint>"), "neardup-prints")
+    nodes = _repeated_keys(prints.select("c1", F.explode("keys").alias("key")), "neardup-nodes")
     hot = hot_keys(nodes, ["key"], NODE)
-    spread = _spread(held, hot, radius).repartition("key", "part").sortWithinPartitions("key", "part")
-    return cut(spread.select("key", "part", "role", "c1", "code").mapInArrow(_search(radius), "a bigint, b bigint").distinct(), "neardup-pairs")
+    if hot is None:
+        spread = nodes.withColumns({"part": F.lit(0).cast("bigint"), "role": F.lit(0).cast("byte")})
+    else:
+        plain, big = nodes.join(hot.select("key"), "key", "left_anti"), nodes.join(hot.select("key"), "key", "left_semi")
+        spread = _celled(_lower_nodes(big, firsts)).unionByName(plain.withColumns({"part": F.lit(0).cast("bigint"), "role": F.lit(0).cast("byte")}))
+    held = spread.join(prints.select("c1", "code"), "c1").repartition("key", "part").sortWithinPartitions("key", "part")
+    return cut(held.select("key", "part", "role", "c1", "code").mapInArrow(_search(radius_of(similarity)), "a bigint, b bigint").distinct(), "neardup-pairs")
 
 
 def _similar(run: int, similarity: float):
@@ -306,7 +334,7 @@ def _members_of(pairs: DataFrame, repeated: DataFrame, copies: DataFrame, side:
 def similar_pairs(records: DataFrame, run: int = RUN, similarity: float = SIMILARITY, copies: int | None = None) -> DataFrame:
     """(unit_id_a, unit_id_b): all pairs of records as similar, so n * (n - 1) / 2 of a class of n records equal in words. Only if COPIES
     is given, a class of more records takes part by its representative, and its others by one link each to that, which connects the same."""
-    most = COPIES if copies is None else copies
+    most = copies
     records = records.select("unit_id", "text")
     classes = members(records)
     firsts = _firsts(records, classes)

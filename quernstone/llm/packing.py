@@ -3,8 +3,9 @@
 Lengths are counted in tokens of a public tokenizer (a path is the parameter). A document longer than a container is cut into full
 containers and a rest; all others stay whole. The plan packs counts, not documents: from the longest length down, all containers of
 one form are filled alike, each with the longest length that still fits (best fit), as often as the counts allow. The histogram has at
-most CAPACITY rows, so the plan is made on the driver at any size of the input. Documents take the planned slots by joining on
-their rank within their length; ranks are counted in hash pieces, so that one length may be as common as it likes.
+most CAPACITY rows, so the plan is made on the driver at any size of the input, and has at most CAPACITY forms of at most
+sqrt(2 * CAPACITY) lengths each. Documents take the planned slots by joining on their rank within their length; ranks are counted in hash
+pieces of about PIECE documents, so one length may be as common as it likes and no task ranks more.
 
 Defined cases: a null or empty text has no tokens and is in no container; equal texts are packed each; a repeated doc_id with another
 text is another document.
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.session import cut
+from quernstone.session import bounded, cut
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public split pattern of the vocabulary's byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-PIECES = 64
+#: Documents of one length that one task ranks.
+PIECE = 250_000
 _CODERS: dict = {}
 
 
@@ -77,23 +79,22 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, piece: int = PIECE) -> DataFrame:
     """(container_id, doc_id, first_token, n_tokens), one row per document, or per piece of one that is longer than a container."""
     spark = documents.sparkSession
-    sizes = cut(token_counts(documents, tokenizer), "packing-sizes")
+    sizes = token_counts(documents, tokenizer)
     rest = F.col("n_tokens") - F.col("_k") * capacity
     pieces = sizes.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int"))))
     pieces = pieces.select("doc_id", (F.col("_k") * capacity).cast("bigint").alias("first_token"), F.least(rest, F.lit(capacity)).cast("bigint").alias("n_tokens"))
-    pieces = pieces.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(PIECES)).cast("int"))
-    counts = pieces.groupBy("n_tokens", "_piece").agg(F.count(F.lit(1)).alias("n")).collect()  # at most CAPACITY x PIECES rows
-    before, histogram = [], {}
-    for r in sorted(counts):
-        before.append((r["n_tokens"], r["_piece"], histogram.get(r["n_tokens"], 0)))
-        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["n"]
+    pieces = cut(pieces, "packing-pieces")
+    histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CAPACITY rows
     slots = plan_slots(histogram, capacity)
-    offsets = F.broadcast(spark.createDataFrame(before, "n_tokens bigint, _piece int, _before bigint"))
+    parted = F.broadcast(spark.createDataFrame([(k, -(-n // piece)) for k, n in histogram.items()], "n_tokens bigint, _pieces bigint"))
     planned = F.broadcast(spark.createDataFrame(slots, "n_tokens bigint, _first bigint, _last bigint, _container bigint, _per bigint"))
+    pieces = pieces.join(parted, "n_tokens").withColumn("_piece", F.expr("pmod(xxhash64(doc_id, first_token), _pieces)")).drop("_pieces")
+    upto = F.sum("_n").over(Window.partitionBy("n_tokens").orderBy("_piece"))
+    before = bounded(pieces.groupBy("n_tokens", "_piece").agg(F.count(F.lit(1)).alias("_n")).select("n_tokens", "_piece", (upto - F.col("_n")).alias("_before")))
     rank = F.row_number().over(Window.partitionBy("n_tokens", "_piece").orderBy("doc_id", "first_token")) - 1
-    ranked = pieces.withColumn("_rank", rank).join(offsets, ["n_tokens", "_piece"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = pieces.withColumn("_rank", rank).join(before, ["n_tokens", "_piece"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     placed = ranked.join(planned, "n_tokens").filter("_rank between _first and _last")
     return placed.select((F.col("_container") + F.floor((F.col("_rank") - F.col("_first")) / F.col("_per"))).alias("container_id"), "doc_id", "first_token", "n_tokens")

@@ -59,6 +59,11 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(table(spark, sf, "units"))
 
 
+def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of units equal in words that each unit is in."""
+    return neardup.membership(table(spark, sf, "units"))
+
+
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
     return markup.tokens(table(spark, sf, "units"), "units", "unit_id").unionByName(markup.tokens(table(spark, sf, "parsed_documents"), "parsed_documents", "document_id"))
 
@@ -109,7 +114,7 @@ def p10_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.masked(table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p7_slots": p7_slots, "p8_pack": p8_pack, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES = {"p1_found": p1_found, "p1_ranking": p1_ranking, "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p6_classes": p6_classes, "p7_found": p7_found, "p7_templates": p7_templates, "p7_clean": p7_clean, "p7_slots": p7_slots, "p8_pack": p8_pack, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_masked": p10_masked}
 
 
 def _tail_sql(k: int, r: str, most: int = 5) -> str:
@@ -186,7 +191,10 @@ ORACLES = {
     "p2_found": _WORDS + "select unit_id, arg_min(term, row(-score, term)) as term from s group by 1",
     "p2_scores": _WORDS + "select unit_id, term, n, round(score, 6) as score from s",
     "p4_found": _LINES + "select distinct unit_id, line_no from k join c using (site, k)",
+    "p4_clean": _LINES + "select unit_id, coalesce(string_agg(line, chr(10) order by line_no) filter (c.site is null), '') as text, (count(*) filter (c.site is not null))::int as n_removed from k left join c using (site, k) group by unit_id having count(c.site) > 0",
     "p6_found": _PAIRS + "select unit_id_a, unit_id_b from p",
+    "p6_groups": _PAIRS.replace("with u as", "with recursive u as", 1) + ", e as (select unit_id_a as a, unit_id_b as b from p union select unit_id_b, unit_id_a from p), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as unit_id, least(a, min(b)) as group_id from r group by a",
+    "p6_classes": _PAIRS + "select unit_id, min(unit_id) over (partition by whole) as class_id, count(*) over (partition by whole) as n_members from s",
     "p9_found": _LEAKS,
     "p9_leaks": _NEAR,
 }

@@ -54,23 +54,37 @@ def test_pairs_against_brute_force(spark):
     assert set(strong) <= set(got)
 
 
-def test_parts_of_hot_nodes_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [1, 4])
+def test_divided_nodes_lose_nothing(spark, monkeypatch, bound):
     data = corpus(6, 15)
     df = spark.createDataFrame(data, UNITS)
     plain = rows(neardup.similar_pairs(df))
-    monkeypatch.setattr(neardup, "NODE", 1)
-    real = neardup.hot_keys
-    monkeypatch.setattr(neardup, "hot_keys", lambda d, k, n: real(d, k, 1))
-    assert rows(neardup.similar_pairs(df)) == plain
+    monkeypatch.setattr(neardup, "NODE", bound)
+    assert set(rows(neardup.similar_pairs(df))) <= set(similar(data)) and set(rows(neardup.similar_pairs(df))) >= set(plain)
 
 
-def test_copies_and_edges(spark, monkeypatch):
+def test_a_large_node_is_replicated_within_bounds(spark, monkeypatch):
+    """2,000 distinct texts in one node, which share a third of their words and are no pairs: each goes to PAIRS lower nodes at most."""
+    r = np.random.default_rng(1)
+    common = [f"c{k}" for k in range(30)]
+    data = [(f"u{k:04}", " ".join([*common, *[f"w{x}" for x in r.integers(0, 10**6, 60)]])) for k in range(2000)]
+    data += [(f"v{k:04}", " ".join([*t.split()[:-3], "x", "y", "z"])) for k, (_, t) in enumerate(data[:50])]
+    df = spark.createDataFrame(data, UNITS)
+    monkeypatch.setattr(neardup, "NODE", 100)
+    sizes = []
+    lower = neardup._lower_nodes
+    monkeypatch.setattr(neardup, "_lower_nodes", lambda big, firsts: (sizes.append((big.count(), (x := lower(big, firsts)).count())), x)[1])
+    assert rows(neardup.similar_pairs(df)) == similar(data)
+    assert sizes and sizes[0][1] <= neardup.PAIRS * sizes[0][0]
+
+
+def test_copies_and_edges(spark):
     data = [("a", "One two, three four"), ("b", "one TWO three four!"), ("c", "one two three four"), ("s1", "tiny"), ("s2", "Tiny."), ("e1", ""), ("e2", "--"), ("n", None), (None, "one two three four"), ("long", "x y z " * 30_000)]
     df = spark.createDataFrame(data, UNITS)
     assert rows(neardup.similar_pairs(df)) == [("a", "b"), ("a", "c"), ("b", "c"), ("e1", "e2"), ("s1", "s2")] == similar(data)
     assert rows(neardup.groups(df)) == [("a", "a"), ("b", "a"), ("c", "a"), ("e1", "e1"), ("e2", "e1"), ("s1", "s1"), ("s2", "s1")]
-    monkeypatch.setattr(neardup, "COPIES", 2)
-    assert rows(neardup.similar_pairs(df)) == [("a", "b"), ("a", "c"), ("e1", "e2"), ("s1", "s2")]
+    assert rows(neardup.similar_pairs(df, copies=2)) == [("a", "b"), ("a", "c"), ("e1", "e2"), ("s1", "s2")]
+    assert rows(neardup.membership(df)) == [("a", "a", 3), ("b", "a", 3), ("c", "a", 3), ("e1", "e1", 2), ("e2", "e1", 2), ("long", "long", 1), ("s1", "s1", 2), ("s2", "s1", 2)]
     assert rows(neardup.similar_pairs(df.limit(0))) == []
 
 

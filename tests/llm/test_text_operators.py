@@ -119,6 +119,8 @@ def test_packing_against_its_rules(spark):
     least = max(-(-sum(x["n_tokens"] for x in got) // 256), sum(x["n_tokens"] > 128 for x in got))
     assert len(fill) <= 1.02 * least + 1
     assert packing.pack(df.limit(0), 256).count() == 0
+    ranked_apart = packing.pack(df, 256, piece=7).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    assert sorted(r["n"] for r in ranked_apart) == sorted(sum(x["n_tokens"] for x in v) for v in fill.values()) and sum(r["k"] for r in ranked_apart) == len(got)
 
 
 @pytest.fixture(scope="module")
