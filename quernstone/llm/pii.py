@@ -2,13 +2,15 @@ r"""Personal information in free text, by a skip-chain conditional random field
 
 A scanner finds every span that could be an e-mail address, a phone or identity number, a street address or a person's name, over
 whole texts; it is meant to miss none and is often wrong. The spans of a document are the nodes of a field: each has a label (O for
-none), scored from its shape and the words around it; spans that follow each other in a line share a potential, and so do repeated
-spans (the same surname, number or mailbox) anywhere in the document, one to the next. Loopy message passing gives every node its
-beliefs, so that a mention that is clear by its words decides for one that isn't. Found spans are replaced by typed placeholders.
+none), scored from its shape and the words around it. Three kinds of edges have potentials of their own: spans that follow each other in a
+line, spans that overlap (of a run of capitalised words each two are a span), and mentions that repeat a word or a number anywhere in the
+document. Loopy message passing gives every node its beliefs, so that a mention that is clear by its words decides for those that aren't.
+Found spans are replaced by typed placeholders.
 
-The weights are trained here, by gradient ascent on the pseudo-likelihood of EXAMPLES sentences made from phrase lists in four languages
-with invented names and numbers and as many that hold none; no row of the data is used. Training is deterministic and takes seconds,
-once per session; the weights are sent to the executors.
+The weights are trained here, by gradient ascent on the pseudo-likelihood of EXAMPLES invented texts (pii_training); no row of the data is
+used. In half of the texts a name or a thing stands once where words tell which it is, and again where either could stand, so the
+repeated mention can only be told by its edge. Training is deterministic and takes seconds, once per session; the weights are sent to the
+executors.
 
 Defined cases: a null or empty text holds nothing; lines are what "\n" separates, counted from 1; equal texts count for each id, equal
 rows once; names inside e-mail addresses don't count; a name needs a given name with a surname, or a title with a surname.
@@ -16,7 +18,6 @@ rows once; names inside e-mail addresses don't count; a name needs a given name
 
 from __future__ import annotations
 
-import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.pii_training import COMMON, DEEDS, GIVEN, IDENTITY_WORDS, OPENERS, PHONE_WORDS, ROLES, STREETS, Maker
+
 LABELS = ["O", "email", "phone", "id_number", "address", "name"]
-EXAMPLES = 5000
+EXAMPLES = 16000
 ROUNDS = 6
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*[a-zß-öø-ÿ](?:-[A-ZÀ-ÖØ-Þ][\w'’]*)?"
 _UP = r"[A-ZÀ-ÖØ-Þ]{2,}(?:[-'’][A-ZÀ-ÖØ-Þ]{2,})?"
-#: Titles before a surname, words that introduce a person, words that end an address's street name.
+#: Titles before a surname, and words that introduce a person.
 TITLES = "Mr Mrs Ms Miss Mx Dr Prof Professor Doctor Sir Herr Frau Monsieur Madame Mademoiselle Mme Mlle M Señor Señora Srta Sr Sra Don Doña Ing".split()
 CUES = "Dear Contact Maintainer Maintained Author Authors Reviewer Reviewed Thanks Merci Dank Gracias Reported Signalé Gemeldet Informado Hi Hello Hallo Bonjour Hola Lieber Liebe Cher Chère Estimado Estimada From To Cc By Von Par Por Ask Call Attn Regards Sincerely Signed Written Holder Owner Questions Write Ship Office Invoices Adresse Anschrift Dirección Passport Kontakt Contacto".split()
-STREETS = "Street St Road Rd Lane Ln Avenue Ave Terrace Drive Dr Way Court Ct Square Sq Place Pl Boulevard Blvd Close Crescent Row Hill Walk Gardens Parkway Highway Mews Grove".split()
-_TITLE = rf"(?:{'|'.join(sorted({*TITLES, *(t.upper() for t in TITLES)}, key=lambda t: (-len(t), t)))})\b\.?"
+#: Titles that are also written small.
+SMALL_TITLES = "señor señora señorita don doña monsieur madame mademoiselle docteur doctor doctora professeur professor profesor profesora".split()
+_TITLE = rf"(?:{'|'.join(sorted({*TITLES, *(t.upper() for t in TITLES), *SMALL_TITLES}, key=lambda t: (-len(t), t)))})\b\.?"
 _PARTICLE = r"(?:(?:van|von|de|di|da|del|bin|al)\ (?:(?:der|den|la|las|los)\ )?)?"
 _CITY = r"(?:,?\ (?:(?:[A-Z]{1,2}-)?\d{4,5}\ )?[A-ZÀ-ÖØ-Þ][\w'’-]+(?:\ \d{4,5}\b)?)?"
 _WORD = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
@@ -46,9 +50,9 @@ _DOT = r"(?:\[dot\]|\(dot\)|\{dot\}|<dot>)"
 MAILBOX = re.compile(
     rf"""@(?:[\w-]+\.)+[A-Za-z]\w+|\ ?(?:\[at\]|\(at\)|\{{at\}}|<at>)\ ?[\w-]+(?:\ ?(?:{_DOT}|\.)\ ?[\w-]+)+|\ at\ [\w-]+(?:(?:\ dot\ |\ ?{_DOT}\ ?)[\w-]+)+""", re.X | re.I
 )
-_LOCAL = re.compile(r"(?:mailto:)?\w[\w.+-]*\Z")
+_LOCAL = re.compile(r"[\w.+-]")
 #: Where an address, a number or a name may begin: a capital, a digit, + or ( after no letter, and what must follow a capital.
-STARTER = re.compile(r"[A-ZÀ-ÖØ-Þ\d+(](?<![\w.+\-].)(?:(?<=[\d+(])|[A-Z]?\d{6}|-\d{7}|[\w'’./-]*,? (?=[A-ZÀ-ÖØ-Þ\d]|(?:van|von|de|di|da|del|bin|al|la|las|los|el|postale) ))")
+STARTER = re.compile(rf"(?<!\w)(?:{'|'.join(SMALL_TITLES)}) (?=[A-ZÀ-ÖØ-Þ])|" r"[A-ZÀ-ÖØ-Þ\d+(](?<![\w.+\-].)(?:(?<=[\d+(])|[A-Z]?\d{6}|-\d{7}|[\w'’./-]*,? (?=[A-ZÀ-ÖØ-Þ\d]|(?:van|von|de|di|da|del|bin|al|la|las|los|el|postale) ))")
 SCANNER = re.compile(
     rf"""(?:
     (?P<address>
@@ -68,15 +72,31 @@ SCANNER = re.compile(
 )
 
 
+_TITLED = re.compile(_TITLE + " ")
+
+
+def _mailboxes(text: str) -> list[tuple[int, int, str]]:
+    """Spans of e-mail addresses: a host found by its sign, and the local part before it, of any length."""
+    found, last = [], 0
+    for m in MAILBOX.finditer(text):
+        a = m.start()
+        while a > last and _LOCAL.match(text[a - 1]):
+            a -= 1
+        while a < m.start() and text[a] in ".+-":
+            a += 1
+        if a < m.start():
+            if text.startswith("mailto:", a - 7, a) and a - 7 >= last:
+                a -= 7
+            found.append((a, m.end(), "email"))
+            last = m.end()
+    return found
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the spans that could be personal, in order and apart from each other."""
-    found = []
-    if "@" in text or "at" in text.lower():
-        for m in MAILBOX.finditer(text):
-            if local := _LOCAL.search(text, max(0, m.start() - 80), m.start()):
-                found.append((local.start(), m.end(), "email"))
-    mail, k, last = found, 0, 0
-    found = []
+    """(start, end, kind) of the spans that could be personal, in order. Only names overlap: each two words of a run of capitalised ones are a
+    candidate."""
+    mail = _mailboxes(text) if "@" in text or "at" in text.lower() else []
+    found, k, last = [], 0, 0
     for s in STARTER.finditer(text):
         a = s.start()
         while k < len(mail) and mail[k][1] <= a:
@@ -89,76 +109,119 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 continue
             found.append((a, m.end(), m.lastgroup))
             last = m.end()
+            if m.lastgroup == "name" and not _TITLED.match(text, a) and "," not in m[0]:
+                last = a + m[0].rfind(" ") + 1
     return found + mail[k:]
 
 
 _ALLOWED = {"email": (0, 1), "address": (0, 4), "digits": (0, 2, 3), "name": (0, 5)}
 _MASK = {kind: [0.0 if k in own else -1e9 for k in range(len(LABELS))] for kind, own in _ALLOWED.items()}
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[^\w\s]")
-_SIDE = 32
+#: Words to the left and right that features may ask for.
+_LEFT, _RIGHT = 6, 2
+_OPENERS = set(OPENERS)
+
 
+def _before(text: str, line: int, a: int) -> list[str]:
+    """The last _LEFT words and signs of the line before a place, whole."""
+    size = 48
+    while True:
+        at = max(line, a - size)
+        found = [m for m in _TOKEN.finditer(text, at, a) if m.start() > at or at == line]
+        if at == line or len(found) >= _LEFT:
+            return [m[0] for m in found[-_LEFT:]]
+        size *= 4
 
-def _features(text: str, a: int, z: int, kind: str) -> list[str]:
-    """What is told of a candidate: its kind and shape, and the words beside it."""
+
+def _after(text: str, z: int, end: int) -> list[str]:
+    found = []
+    for m in _TOKEN.finditer(text, z, end):
+        found.append(m[0])
+        if len(found) == _RIGHT:
+            break
+    return found
+
+
+def _features(text: str, a: int, z: int, kind: str, line: int, end: int) -> list[str]:
+    """What is told of a candidate in the line from LINE to END: its kind and shape, and the words beside it."""
     span = text[a:z]
-    line = text.rfind("\n", max(0, a - _SIDE), a) + 1
-    left = _TOKEN.findall(text[max(line, a - _SIDE, 0) : a])[-3:]
-    end = text.find("\n", z, z + _SIDE)
-    right = _TOKEN.findall(text[z : end if end >= 0 else z + _SIDE])[:2]
+    beside, right = _before(text, line, a), _after(text, z, end)
+    left = beside[-3:]
     low = [w.lower() for w in left]
     words = [w for w in low if w[0].isalnum()]
-    f = [f"{kind}", f"{kind} l1 {low[-1] if low else '^'}", f"{kind} w1 {words[-1] if words else '^'}", f"{kind} w2 {' '.join(words[-2:])}", f"{kind} r1 {right[0].lower() if right else '$'}"]
+    after = right[0].lower() if right else "$"
+    f = [f"{kind}", f"{kind} l1 {low[-1] if low else '^'}", f"{kind} w1 {words[-1] if words else '^'}", f"{kind} w2 {' '.join(words[-2:])}", f"{kind} r1 {after}"]
     if len(right) > 1:
-        f.append(f"{kind} r2 {right[0].lower()} {right[1].lower()}")
+        f.append(f"{kind} r2 {after} {right[1].lower()}")
     if kind == "digits":
-        groups = [str(len(x)) for x in re.findall(r"\d+", span)]
-        f += [f"g {'-'.join(groups)}", f"lead {'+' if span[0] == '+' else '(' if span[0] == '(' else '00' if span[:2] == '00' else span[0] if not span[0].isdigit() else '0' if span[0] == '0' else 'd'}"]
-        f += [f"sep {''.join(sorted(set(re.findall(r'[^0-9A-Z]', span))))}", f"letter {bool(re.search('[A-Z]$', span))} {span[0].isalpha()}", f"size {sum(map(int, groups))}"]
-        f.append(f"shape {'-'.join(groups)} {''.join(sorted(set(re.findall(r'[^0-9A-Z]', span))))} {span[:2] if span[:2] == '00' else span[0] if span[0] in '+(' else ''}")
+        groups, marks = [str(len(x)) for x in re.findall(r"\d+", span)], "".join(sorted(set(re.findall(r"[^0-9A-Z]", span))))
+        lead = "+" if span[0] == "+" else "(" if span[0] == "(" else "00" if span[:2] == "00" else span[0] if not span[0].isdigit() else "0" if span[0] == "0" else "d"
+        shape = f"{'-'.join(groups)} {marks} {lead if lead in ('+', '(', '00', '0') else ''} {bool(re.search('[A-Z]$', span))} {span[0].isalpha()}"
+        near = next(("phone" if w.lower() in PHONE_WORDS else "identity" for w in reversed(beside) if w.lower() in PHONE_WORDS or w.lower() in IDENTITY_WORDS), "neither")
+        f += [f"g {'-'.join(groups)}", f"lead {lead}", f"marks {marks}", f"letter {bool(re.search('[A-Z]$', span))} {span[0].isalpha()}", f"size {sum(map(int, groups))}", f"shape {shape}", f"near {near}", f"near {near} shape {shape}"]
     elif kind == "name":
-        form = "title" if re.match(_TITLE + " ", span) else "comma" if "," in span else "caps" if span.isupper() else "initial" if re.search(r" [A-ZÀ-Þ]\.", span) else "plain"
-        f += [f"form {form}", f"form {form} l1 {low[-1] if low else '^'}", f"first {re.split(r'[^\w]', span, maxsplit=1)[0].lower()}"]
+        form = "title" if _TITLED.match(span) else "comma" if "," in span else "caps" if span.isupper() else "initial" if re.search(r" [A-ZÀ-Þ]\.", span) else "plain"
+        own = [w.capitalize() if w.isupper() else w for w in re.findall(r"[^\W\d_]+", span)]
+        first = own[-1] if form == "comma" else own[0]
+        role = bool(words) and words[-1] in ROLES
+        f += [f"form {form}", f"form {form} l1 {low[-1] if low else '^'}", f"form {form} w1 {words[-1] if words else '^'}", f"first {own[0].lower()}", f"given {first in GIVEN} {form}", f"common {sum(w in COMMON for w in own)}", f"role {role} {form}", f"deed {after in DEEDS} {form}", f"own role {any(w.lower() in ROLES for w in own)}", f"one side {not left} {not right} {form}"]
+        loud = sum(len(w) > 1 and w.isupper() for w in [*beside, *right])
+        quiet = sum(w.islower() for w in [*beside, *right])
+        f += [f"loud {min(loud, 3)} {quiet > 0} {form}", f"own opener {sum(w in _OPENERS for w in own)} {form}"]
         if left and left[-1].isupper() and len(left[-1]) > 1:
             f.append(f"shout {form}")
         if right and right[0].isupper() and len(right[0]) > 1:
             f.append(f"shouted {form}")
         if not left or left[-1] in ".!?":
             f.append("starts a sentence")
+            f.append(f"starts with {own[0].lower()}")
     return f
 
 
-def _key(kind: str, span: str) -> str:
-    """What repeated mentions have in common: the longest word of a name, a number's digits, a mailbox."""
+def _keys(kind: str, span: str) -> list[str]:
+    """What mentions may have in common: a word of a name, a number's digits and the last seven of them, a mailbox, an address."""
     if kind == "name":
-        return "n" + max(re.findall(r"[^\W\d_]+", span), key=len).lower()
+        return [f"n {w.lower()}" for w in re.findall(r"[^\W\d_]{2,}", _TITLED.sub("", span))]
     if kind == "digits":
-        return "d" + re.sub(r"\D", "", span)
-    return kind[0] + span.lower()
+        plain = re.sub(r"\D", "", span)
+        return [f"d {plain}", f"t {plain[-7:]}"]
+    return [f"{kind} {span.lower()}"]
+
+
+#: The kinds of edges: neighbours in a line, overlapping names, repeated mentions.
+EDGES = ("chain", "cross", "skip")
 
 
 class Field:
     """Weights of the field, and inference over any number of documents at once."""
 
-    def __init__(self, index: dict[str, int], unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
-        self.index, self.unary, self.chain, self.skip = index, unary, chain, skip
+    def __init__(self, index: dict[str, int], unary: np.ndarray, pair: dict[str, np.ndarray]) -> None:
+        self.index, self.unary, self.pair = index, unary, pair
 
-    def nodes(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, str]], list[list[str]], np.ndarray, np.ndarray]:
-        """(document, start, end, kind) of the candidates, their features, and the pairs of chain and skip edges."""
-        nodes, features, chain, skip = [], [], [], []
+    def nodes(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, str]], list[list[str]], dict[str, np.ndarray]]:
+        """(document, start, end, kind) of the candidates, their features, and the pairs of each kind of edges."""
+        nodes, features, edges = [], [], {e: [] for e in EDGES}
         for d, text in enumerate(texts):
             if not text:
                 continue
-            before, seen = -1, {}
+            before, line, end, seen = -1, 0, -1, {}
             for a, z, kind in candidates(text):
                 n = len(nodes)
+                same = before >= 0 and a <= end
+                if not same:
+                    line = text.rfind("\n", line, a) + 1 or line
+                if z > end:
+                    end = text.find("\n", z)
+                    end = len(text) if end < 0 else end
                 nodes.append((d, a, z, kind))
-                features.append(_features(text, a, z, kind))
-                if before >= 0 and a - nodes[before][2] < 60 and "\n" not in text[nodes[before][2] : a]:
-                    chain.append((before, n))
-                if (key := _key(kind, text[a:z])) in seen:
-                    skip.append((seen[key], n))
-                seen[key], before = n, n
-        return nodes, features, np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+                features.append(_features(text, a, z, kind, line, end))
+                if same:
+                    edges["cross" if a < nodes[before][2] else "chain"].append((before, n))
+                linked = {seen[k] for k in _keys(kind, text[a:z]) if k in seen}
+                edges["skip"] += [(m, n) for m in sorted(linked) if nodes[m][2] <= a]
+                seen.update(dict.fromkeys(_keys(kind, text[a:z]), n))
+                before = n
+        return nodes, features, {e: np.array(x, np.int64).reshape(-1, 2) for e, x in edges.items()}
 
     def rows(self, features: list[list[str]]) -> np.ndarray:
         """Each node's features as rows of the weights; unknown ones point to the row of zeros after the last."""
@@ -172,15 +235,15 @@ class Field:
         weights = np.concatenate([self.unary, np.zeros((1, len(LABELS)))])
         return weights[rows].sum(axis=1) + np.array([_MASK[kind] for *_, kind in nodes])
 
-    def beliefs(self, scores: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    def beliefs(self, scores: np.ndarray, edges: dict[str, np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
         """Log beliefs after ROUNDS of damped sum-product messages along all edges, both ways."""
-        edges = np.concatenate([chain, skip])
-        if not len(edges):
+        every = np.concatenate([edges[e] for e in edges]) if edges else np.empty((0, 2), np.int64)
+        if not len(every):
             return scores
-        forward = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        forward = np.concatenate([np.repeat(self.pair[e][None], len(edges[e]), 0) for e in edges])
+        source, target = np.concatenate([every[:, 0], every[:, 1]]), np.concatenate([every[:, 1], every[:, 0]])
         potential = np.concatenate([forward, forward.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        back = np.concatenate([np.arange(len(every)) + len(every), np.arange(len(every))])
         messages = np.zeros((len(source), len(LABELS)))
         for _ in range(rounds):
             belief = scores.copy()
@@ -195,122 +258,71 @@ class Field:
         np.add.at(belief, target, messages)
         return belief
 
-    def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(document, start, end, label) of the spans that are personal."""
-        nodes, features, chain, skip = self.nodes(texts)
+    def labels(self, texts: list[str | None], without: tuple[str, ...] = ()) -> tuple[list[tuple[int, int, int, str]], np.ndarray]:
+        """The candidates and their labels; edges of kinds WITHOUT are left out."""
+        nodes, features, edges = self.nodes(texts)
         if not nodes:
-            return []
-        labels = self.beliefs(self.scores(nodes, self.rows(features)), chain, skip).argmax(axis=1)
-        return [(d, a, z, int(k)) for (d, a, z, _), k in zip(nodes, labels, strict=True) if k]
-
-
-class _Maker:
-    """Sentences with known personal spans, and without."""
-
-    #: Phrases around personal details; {N} a name, {E} an e-mail address, {P} a phone number, {I} an identity number, {A} an address.
-    WITH = """Reported by {N}.|Thanks to {N} for the patch.|Contact {N} at {E} or {P}.|Contact {N} at {E}|Dear {N}, the parcel for {A} came back.|Dear {N},|Authors: {N}, and others|author = "{N}"  # {E}|author: {N}|* {N} ({E}) raised the limit|- {N} <{E}>|Signed-off-by: {N} {E}|Signed-off-by: {N} <{E}>|Reviewed-by: {N}|Maintainer {N}, {A}|Maintainer: {N}|reviewer: {N}; id {I}|Passport or id no. {I}, holder {N}|holder {N}|phone is {P}, ask for {N}|mobile is {P}, ask for {N}|as {N} pointed out last week|as {N} noted|{N} wrote:|On Monday {N} wrote:|said {N}.|{N} <{E}>|written by {N}.|Patch by {N}.|Hi {N},|Regards, {N}|cc {E}|cc {N}|Questions? {E}|Write to {E} for access.|Invoices go to {E}, copies to {A}|AUTHOR_EMAIL={E}|--notify {E} --sms {P}|Call {P} out of hours.|Tel. {P}|Tel: {P}|phone {P}|Office: {A}; phone {P}|pager {P} / desk {A}|Ship the signed form to {A}.|SSN {I}|The claimant gave the national id {I} by mistake.|ID card {I} was pasted into the log|social security number {I}|passport number {I}|Signalé par {N}.|Merci à {N} pour le correctif.|Écrire à {E} ou appeler le {P}.|Adresse : {A}|Numéro d'identité {I}|comme {N} l'a noté|Cher {N},|Gemeldet von {N}.|Dank an {N} für die Korrektur.|Bitte an {E} schreiben oder {P} anrufen.|Anschrift: {A}|Ausweisnummer {I}|Telefon {P}|wie {N} anmerkte|Informado por {N}.|Gracias a {N} por el parche.|Escriba a {E} o llame al {P}.|Dirección: {A}|DNI {I}|NIE {I}|como señaló {N}""".split("|")
-    #: Phrases that only look alike; {W} an invented product name, {w} in lower case, {d} a number.
-    WITHOUT = """The {W} {W} scheduler was renamed to {W} Road Map.|The Main Lane scheduler was renamed to {W} Road Map.|See page {d}, table 3, of the {W} Handbook.|See the {W} {W} Guide.|Released on {Y} as {w} 2.0.|Build {b} was promoted.|Ports {d4}-{d4} stay closed.|Ports {d4}-{d4}|Checksum block {d4} {d4} failed in the Street View sample.|Checksum {d4} {d4}|Listening on 192.0.2.{d}:{d4}.|Listening on 10.0.0.{d}:{d4}|Pin {w}@5.18.9 in the lockfile.|The decorator @{w} takes no arguments.|Set {W} to {d} so that the {w} can lock.|Whenever {W} polls a {w}, it follows.|Both {W} and {W} share one queue.|Version {v} of {W} caches the linker with {d} workers.|Since release {v} the pool of {W} no longer locks.|Changed {W} to resolve the {w}.|Neither the {w} nor the queue of {W} can retry.|Support for {W} was added in {v}.|A log of {W} shows {d} lines from {W} written by {W} on startup.|Explain why {W} reorders a queue for {W}.|State whether {W} or {W} holds.|Suppose {W} holds {d} entries.|According to the {W} manual, {W} polls.|Removed the pool, use {W} instead. Support for {W} ends.|Wenn {W} scheitert, bleibt der Puffer.|Bitte {W} nicht aufrufen.|Ab {v} ersetzt {W} den Puffer.|Die Option {w} sorgt dafür, dass {W} wartet.|Ein Fehler in {W} führte dazu.|Quand {W} échoue, le tampon reste.|Depuis la version {v}, {W} relit.|Le réglage permet à {W} de garder un index.|Medimos {W} con {d} entradas.|Desde la versión {v}, {W} vuelve a leer.|Cuando {W} falla, el canal se envía.|{U} {U} ALREADY ROTATES ONE {U}.|GIVEN {d} UNITS IN {U}, HOW MANY DOES {U} CANCEL?|IN THE {U} EXERCISE THE {U} DRAINS.|Commit {h} fixes {d4} cases.|It took {d} seconds for {W} to start. {W} Handbook|{W} {W} drains the pool.|In {W} {W} mode the pool waits.|the {W} {W} of {W} {W}|Order {b} shipped on {Y}.|{Y} {d4}|sha {b} at {v}|A LOG OF {U} SHOWS {d} LINES WRITTEN BY {U} {U} ON STARTUP.|SEE {U} {U}, THE {U} {U} MANUAL BY {U} WITH AN EMPTY {U}|THE {U} OF {U} WAITS FOR {U} AND {U}|{F} {W} drains the pool.|{F} {W} {v} liest.|{F} {W} échoue.|{F} {W} falla.|* {F} {W} {v} liest {w}.|- {F} {W} {v} liest {W}.|* {F} {W} {d} {w}.|{F} {W}|- {F} {W} caches {d} lines.|* {F} {W} wartet.|{F} {W}, {W} and others drain it.""".split("|")
-    #: Words that often begin a sentence.
-    OPENERS = "The A An In On At By For From With Without When While Whenever If Since Until Unless Each Every Both Neither Either Set Use Read Keep Avoid Changed Removed Added Fixed Please See Version Release Support Users Our This That These It After Before During Der Die Das Den Dem Des Ein Eine Einen Seit Wenn Ab Bitte Für Vor Nach Bei Mit Ohne Jeder Jede Jedes Im Am Le La Les Un Une Des Du Quand Depuis Si Pour Chaque Avec Sans Il Elle Nous El Los Las Una Uno Cuando Desde Para Con Sin Cada Medimos Se Al Del En Como".split()
-
-    def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
-
-    def word(self, low: int = 2, high: int = 4) -> str:
-        r = self.r
-        return "".join(r.choice("b c d f g h j k l m n p r s t v w z br dr tr st sk th".split()) + r.choice("aeiou") for _ in range(r.randint(low, high))) + r.choice(["", "n", "r", "s", "l", "nd", "rt", "ski", "z"])
-
-    def digits(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    def name(self) -> str:
-        r = self.r
-        first, last = self.word(1, 3).capitalize(), self.word(2, 4).capitalize()
-        if r.random() < 0.15:
-            first = first.replace("o", "ö").replace("e", "é")
-        if r.random() < 0.1:
-            last += "-" + self.word(1, 2).capitalize()
-        form = r.random()
-        full = f"{first} {last}" if form < 0.4 else f"{first} {r.choice('ABCDEFGHJKLM')}. {last}" if form < 0.55 else f"{last}, {first}" if form < 0.72 else f"{r.choice(['Mr', 'Ms.', 'Mrs.', 'Dr.', 'Prof.', 'M.', 'Mme', 'Herr', 'Frau', 'Sr.', 'Sra.'])} {last}"
-        return full if form < 0.86 else f"{first} {last}".upper()
-
-    def email(self) -> str:
-        a, b, c = self.word(1, 3), self.word(2, 3), self.r.choice(["example", "org", "com", "test", "net"])
-        local = self.r.choice([a, f"{a}.{b}", f"{a}_{b}", f"{a}-{b}", f"{a}{self.digits(2)}", f"{a}+lists"])
-        return self.r.choice([f"{local}@{b}.{c}", f"<{local}@{b}.{c}>", f"mailto:{local}@{b}.{c}", f"{a} [at] {b} [dot] {c}", f"{local}@mail.{b}.{c}".replace(c, c.upper())])
-
-    def fill(self, pattern: str) -> str:
-        return "".join(self.digits(1) if c == "9" else c for c in pattern)
-
-    def phone(self) -> str:
-        return self.fill(self.r.choice(["+44 20 9999 9999", "+49 30 99999 999", "+33 1 99 99 99 99", "+34 999 999 999", "+1 999 9999 999", "+1 999 999 9999", "+1-999-999-9999", "(999) 999-9999", "999.999.9999", "030/99999-999", "0999/999999", "0033999 999999", "0049 99 9999999", "01 99 99 99 99", "+999999999999", "089 9999 9999"]))
-
-    def identity(self) -> str:
-        r = self.r
-        letter = r.choice("ABCDEFGHJKLMNPRSTVWXYZ")
-        return self.fill(r.choice(["999-99-9999", "999 99 9999", "99999999" + letter, "X9999999" + letter, "Y9999999" + letter, "1 99 99 99 999 999 99", "2 99 99 99 999 999 99", "9 99 99 99 999 999 99", "199999999999999", "99 999 999 999", "99999999999", "00 999 999 999", "99999999-" + letter, "999999999", r.choice("ABCLMP") + "9999999"]))
-
-    def address(self) -> str:
-        r, w = self.r, self.word(2, 3).capitalize()
-        city, zip_, n = self.word(2, 3).capitalize(), self.digits(5), str(r.randint(1, 240))
-        return r.choice([f"{n} {w} {r.choice(STREETS)}, {city}", f"Flat {r.randint(1, 40)}, {n} {w} {r.choice(['Road', 'Lane'])}, {city} {zip_}", f"P.O. Box {self.digits(4)}, {city}", f"{n}, {r.choice(['rue', 'avenue', 'impasse', 'place'])} {w}, {zip_} {city}", f"{w}{r.choice(['straße', 'weg', 'platz'])} {n}, {zip_} {city}", f"{r.choice(['Calle', 'Avda.', 'Plaza'])} {w} {n}, {zip_} {city}", f"Postfach {self.digits(4)}, {zip_} {city}"])
-
-    def sentence(self, personal: bool) -> tuple[str, list[tuple[int, int, int]]]:
-        r, spans, out = self.r, [], ""
-        for piece in re.split(r"(\{\w+\})", r.choice(self.WITH if personal else self.WITHOUT)):
-            slot = piece[1:-1] if piece[:1] == "{" else None
-            made = {
-                None: lambda: piece, "N": self.name, "E": self.email, "P": self.phone, "I": self.identity, "A": self.address, "W": lambda: self.word(3, 4).capitalize(), "w": lambda: self.word(3, 4), "U": lambda: self.word(2, 4).upper(), "F": lambda: r.choice(self.OPENERS), "d": lambda: self.digits(r.randint(1, 4)),
-                "d4": lambda: self.digits(4), "Y": lambda: f"20{self.digits(2)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", "v": lambda: f"{r.randint(0, 30)}.{r.randint(0, 30)}.{r.randint(0, 30)}", "b": lambda: f"{self.digits(4)}-{self.digits(2)}-{self.digits(7)}", "h": lambda: f"{r.getrandbits(40):x}",
-            }[slot]()
-            if slot in ("N", "E", "P", "I", "A"):
-                spans.append((len(out), len(out) + len(made), {"E": 1, "P": 2, "I": 3, "A": 4, "N": 5}[slot]))
-            out += made
-        return out, spans
-
-
-def trained(examples: int = EXAMPLES, seed: int = 7, steps: int = 80) -> Field:
-    """A field trained on invented sentences: two sentences a text, a third of them personal, one repeated at times for skip edges."""
-    make, texts, gold = _Maker(seed), [], []
-    for _ in range(examples):
-        text, spans = "", []
-        for k in range(2):
-            s, at = make.sentence(make.r.random() < 0.55)
-            joint = "" if not k else make.r.choice([" ", "\n", "\n"])
-            spans += [(a + len(text) + len(joint), z + len(text) + len(joint), y) for a, z, y in at]
-            text += joint + s
-        names = [text[a:z] for a, z, y in spans if y == 5]
-        if names and make.r.random() < 0.2:
-            head = make.r.choice(["\nThe limit was raised by ", "\nThen "])
-            spans.append((len(text) + len(head), len(text) + len(head) + len(names[0]), 5))
-            text += head + names[0]
-        texts.append(text)
-        gold.append(spans)
+            return [], np.empty(0, np.int64)
+        return nodes, self.beliefs(self.scores(nodes, self.rows(features)), {e: x for e, x in edges.items() if e not in without}).argmax(axis=1)
+
+    def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(document, start, end, label) of the spans that are personal, in order and apart: overlapping names are one."""
+        found: list[tuple[int, int, int, int]] = []
+        for (d, a, z, _), k in zip(*self.labels(texts), strict=True):
+            if k and found and found[-1][0] == d and a < found[-1][2]:
+                found[-1] = (d, found[-1][1], max(z, found[-1][2]), found[-1][3])
+            elif k:
+                found.append((d, a, z, int(k)))
+        return found
+
+
+def _truth(text: str, kind: str, a: int, z: int, gold: list[tuple[int, int, int]]) -> int:
+    """A candidate's label: that of the detail it touches; a name without a title must lie in it."""
+    for x, y, label in gold:
+        touches = x < z and a < y
+        if label in _ALLOWED[kind] and touches and (kind != "name" or (x <= a and z <= y) or _TITLED.match(text, a)):
+            return label
+    return 0
+
+
+def trained(examples: int = EXAMPLES, seed: int = 7, steps: int = 60) -> Field:
+    """A field trained on invented texts."""
+    make = Maker(seed)
+    texts, gold = zip(*(make.text() for _ in range(examples)), strict=True)
     n = len(LABELS)
-    field = Field({}, np.zeros((0, n)), np.zeros((n, n)), np.zeros((n, n)))
-    nodes, features, chain, skip = field.nodes(texts)
+    field = Field({}, np.zeros((0, n)), {e: np.zeros((n, n)) for e in EDGES})
+    nodes, features, edges = field.nodes(list(texts))
     counts = Counter(x for f in features for x in f)
     field.index = {f: k for k, f in enumerate(sorted(f for f, c in counts.items() if c >= 3))}
     field.unary = np.zeros((len(field.index), n))
     rows = field.rows(features)
-    size = np.bincount(rows.ravel(), minlength=len(field.index) + 1)[:-1, None]
-    truth = np.array([next((y for a, z, y in gold[d] if a < end and start < z and y in _ALLOWED[kind]), 0) for d, start, end, kind in nodes])
-    one, width = np.eye(n)[truth], rows.shape[1]
-    for _ in range(steps):  # diagonal-scaled gradient ascent on the pseudo-likelihood, with a quadratic penalty
-        s = field.scores(nodes, rows)
-        for edges, w in ((chain, field.chain), (skip, field.skip)):
-            np.add.at(s, edges[:, 1], w[truth[edges[:, 0]]])
-            np.add.at(s, edges[:, 0], w.T[truth[edges[:, 1]]])
+    truth = np.array([_truth(texts[d], kind, a, z, gold[d]) for d, a, z, kind in nodes])
+    flat, width, none = rows.ravel(), rows.shape[1], len(field.index)
+    order = np.argsort(flat, kind="stable")
+    order = order[flat[order] < none]
+    owner, firsts = order // width, np.searchsorted(flat[order], np.arange(none))
+    size = np.diff(np.append(firsts, len(order)))[:, None]
+    one, mask, base = np.eye(n, dtype=np.float32)[truth], np.array([_MASK[kind] for *_, kind in nodes], np.float32), np.zeros((1, n), np.float32)
+    weights, drift = np.zeros((none, n), np.float32), np.zeros((none, n), np.float32)
+    for _ in range(steps):  # diagonal-scaled gradient ascent with momentum on the pseudo-likelihood, with a quadratic penalty
+        ahead = np.concatenate([weights + 0.7 * drift, base])
+        s = mask.copy()
+        for k in range(width):
+            s += ahead[rows[:, k]]
+        for e, w in field.pair.items():
+            np.add.at(s, edges[e][:, 1], w[truth[edges[e][:, 0]]])
+            np.add.at(s, edges[e][:, 0], w.T[truth[edges[e][:, 1]]])
         p = np.exp(s - s.max(axis=1, keepdims=True))
         g = one - p / p.sum(axis=1, keepdims=True)
-        grad = np.stack([np.bincount(rows.ravel(), np.repeat(g[:, k], width), len(field.index) + 1)[:-1] for k in range(n)], 1)
-        field.unary += 2.0 * (grad - 0.05 * field.unary) / (size + 2)
-        for edges, w in ((chain, field.chain), (skip, field.skip)):
-            d = np.zeros_like(w)
-            np.add.at(d, truth[edges[:, 0]], g[edges[:, 1]])
-            np.add.at(d.T, truth[edges[:, 1]], g[edges[:, 0]])
-            w += 0.5 * (d - 0.5 * w) / (np.bincount(truth[edges[:, 0]], minlength=n)[:, None] + np.bincount(truth[edges[:, 1]], minlength=n)[None, :] + 20)
+        grad = np.add.reduceat(g[owner], firsts, axis=0)
+        drift = 0.7 * drift + (grad - 0.05 * ahead[:-1]) / (size + 2)
+        weights += drift
+        for e, w in field.pair.items():
+            d, x, y = np.zeros_like(w), truth[edges[e][:, 0]], truth[edges[e][:, 1]]
+            np.add.at(d, x, g[edges[e][:, 1]])
+            np.add.at(d.T, y, g[edges[e][:, 0]])
+            w += 0.5 * (d - 0.5 * w) / (np.bincount(x, minlength=n)[:, None] + np.bincount(y, minlength=n)[None, :] + 20)
+    field.unary = weights.astype(float)
     return field
 
 

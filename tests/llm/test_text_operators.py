@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import held_out
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -142,37 +144,53 @@ def test_details_and_decoys(field):
     assert [t for t in HARMLESS if field.find([t])] == []
 
 
-def test_held_out_sentences(field):
-    """Accuracy on sentences of another seed than the training's."""
-    make = pii._Maker(99)
-    right = wrong = 0
-    for k in range(600):
-        text, spans = make.sentence(k % 2 == 0)
-        found = {(y) for *_, y in field.find([text])}
-        want = {y for *_, y in spans}
-        right += found == want
-        wrong += found != want
-    assert right / (right + wrong) > 0.96
+@pytest.mark.parametrize(("kind", "group", "least"), [("name", held_out.NAMES, 0.9), ("email", held_out.EMAILS, 1.0), ("phone", held_out.PHONES, 0.95), ("id_number", held_out.IDENTITIES, 0.85), ("address", held_out.ADDRESSES, 0.95)])
+def test_held_out_sentences(field, kind, group, least):
+    """Recall on sentences written apart from the training's phrases, in four languages, and no other kind in them."""
+    found = [{pii.LABELS[y] for *_, y in field.find([t])} for t in group]
+    assert sum(kind in f for f in found) >= least * len(group)
+    assert sum(bool(f - {kind}) for f in found) <= 0.1 * len(group)
+
+
+def test_held_out_sentences_without_details(field):
+    assert sum(bool(field.find([t])) for t in held_out.HARMLESS) <= 0.05 * len(held_out.HARMLESS)
 
 
 def test_repeated_mentions_share_their_label(field):
-    clear, alone = "Reported by Mara Oldenbrook.", "The limit stays at Mara Oldenbrook until then."
-    joint = field.beliefs
-    nodes, features, chain, skip = field.nodes([clear + "\n" + alone])
-    assert len(skip) == 1
-    scores = field.scores(nodes, field.rows(features))
-    apart, together = joint(scores, chain, skip[:0]), joint(scores, chain, skip)
-    margin = lambda b: b[1, 5] - b[1, 0]
-    assert margin(together) > margin(apart)
+    """Where a person and a thing could stand, the clear mention elsewhere in the document decides, whatever lies between."""
+    person, thing, between = "Thanks to Vora Teskin for the report.", "The Vora Teskin scheduler starts at boot.", "\n" + "nothing here. " * 500 + "\n"
+    unclear = "Vora Teskin waits."
+    label = lambda text, **kw: [pii.LABELS[y] for y in field.labels([text], **kw)[1]][-1]
+    assert label(person + between + unclear) == "name" and label(thing + between + unclear) == "O"
+    assert label(person + between + unclear, without=("skip",)) == label(thing + between + unclear, without=("skip",))
+
+
+def test_skip_edges_decide_on_the_documents(field):
+    table = Path("/root/testdata/sf0.1/documents.parquet")
+    if not table.exists():
+        pytest.skip("no test tables here")
+    texts = pq.read_table(table, columns=["text"])["text"].to_pylist()
+    _, with_, = field.labels(texts)
+    _, without = field.labels(texts, without=("skip",))
+    assert 0 < (with_ != without).sum() < 0.01 * len(with_)
+
+
+def test_spans_have_no_bounds(field):
+    local, line = "a" * 5000 + ".b", "word " * 3000
+    text = f"mail {local}@host.example.org now\n{line}Thanks to Vora Teskin for the report, {line}call +44 20 7946 0018"
+    got = [(text[a:z], pii.LABELS[y]) for _, a, z, y in field.find([text])]
+    assert (f"{local}@host.example.org", "email") in got and ("Vora Teskin", "name") in got and ("+44 20 7946 0018", "phone") in got
+    many = "Contact Vora Teskin at a@b.example. " * 3000
+    assert len(field.find([many])) == 6000
 
 
 def test_messages_on_a_tree_are_exact():
     r = np.random.default_rng(1)
     n = len(pii.LABELS)
-    f = pii.Field({}, np.zeros((0, n)), r.normal(size=(n, n)), r.normal(size=(n, n)))
+    f = pii.Field({}, np.zeros((0, n)), {e: r.normal(size=(n, n)) for e in pii.EDGES})
     scores = r.normal(size=(3, n))
-    b = f.beliefs(scores, np.array([[0, 1]]), np.array([[1, 2]]), rounds=60)
-    whole = scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :] + f.chain[:, :, None] + f.skip[None]
+    b = f.beliefs(scores, {"chain": np.array([[0, 1]]), "skip": np.array([[1, 2]])}, rounds=60)
+    whole = scores[0][:, None, None] + scores[1][None, :, None] + scores[2][None, None, :] + f.pair["chain"][:, :, None] + f.pair["skip"][None]
     p = np.exp(whole - whole.max())
     for k, axes in enumerate([(1, 2), (0, 2), (0, 1)]):
         want = p.sum(axis=axes) / p.sum()
