@@ -68,7 +68,7 @@ INLINE = [
 _LEAD = r"(?=[<&!\[{`*'~_\\$:])"
 PATTERN = rf"(?m)^[ \t]*(?:{'|'.join(p for _, p in LINES)})|{_LEAD}(?:{'|'.join(p for _, p in INLINE)})"
 #: Where an attribute's end is all that is left of a tag at the start of a unit.
-REST = rf"\A[^<>]{{0,200}}?{_ATTRIBUTE}"
+REST = rf"\A[^<>]*?{_ATTRIBUTE}"
 
 
 def found_tokens(text: Column) -> Column:
@@ -124,62 +124,74 @@ def held(marked: DataFrame) -> DataFrame:
 
 
 _TAG = re.compile(rf"</?(?:{'|'.join(ELEMENTS)})(?:\s[^<>]*)?/?>", re.I)
+#: (texts one of which must be there, pattern, replacement): most texts need few of the patterns.
 _STEPS = [
-    (re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>", re.S | re.I), ""),
-    (re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>", re.S | re.I), lambda m: _block(CODE, m[1])),
-    (re.compile(r"^[ \t]*(```|~~~)[\w+-]*[ \t\r]*\n(.*?)(?:^[ \t]*\1[ \t\r]*$|\Z)", re.S | re.M), lambda m: _block(CODE, m[2])),
-    (re.compile(r"^[ \t]*\.\.[ \t]+(?:code-block|code|sourcecode|literalinclude)::[^\n]*\n((?:[ \t]*\n)*(?:[ \t]+\S[^\n]*(?:\n|\Z)(?:[ \t]*\n(?=[ \t]+\S))*)+)", re.M), lambda m: _block(CODE, m[1])),
-    (re.compile(r"\$\$(.+?)\$\$", re.S), lambda m: f"{FORMULA} {m[1].strip()} {FORMULA}"),
-    (re.compile(r"\\begin\{(equation|align|math|displaymath)\*?\}(.*?)\\end\{\1\*?\}", re.S), lambda m: f"{FORMULA} {m[2].strip()} {FORMULA}"),
-    (re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*[\\^_][^$\n]*)(?<=[^\s$])\$(?![\w$])"), lambda m: f"{FORMULA} {m[1]} {FORMULA}"),
-    (re.compile(r"\\[(\[]([^\n]*?)\\[)\]]"), lambda m: f"{FORMULA} {m[1].strip()} {FORMULA}"),
+    (("<",), re.compile(r"<!--.*?(?:-->|\Z)|<!doctype[^<>]*>", re.S | re.I), ""),
+    (("<",), re.compile(r"<pre\b[^<>]*>\s*(?:<code\b[^<>]*>)?(.*?)(?:</code>\s*)?</pre>", re.S | re.I), lambda m: _block(CODE, m[1])),
+    (("```", "~~~",), re.compile(r"^[ \t]*(```|~~~)[\w+-]*[ \t\r]*\n(.*?)(?:^[ \t]*\1[ \t\r]*$|\Z)", re.S | re.M), lambda m: _block(CODE, m[2])),
+    (("::",), re.compile(r"^[ \t]*\.\.[ \t]+(?:code-block|code|sourcecode|literalinclude)::[^\n]*\n((?:[ \t]*\n)*(?:[ \t]+\S[^\n]*(?:\n|\Z)(?:[ \t]*\n(?=[ \t]+\S))*)+)", re.M), lambda m: _block(CODE, m[1])),
+    (("$$",), re.compile(r"\$\$(.+?)\$\$", re.S), lambda m: f"{FORMULA} {m[1].strip()} {FORMULA}"),
+    (("\\begin",), re.compile(r"\\begin\{(equation|align|math|displaymath)\*?\}(.*?)\\end\{\1\*?\}", re.S), lambda m: f"{FORMULA} {m[2].strip()} {FORMULA}"),
+    (("$",), re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*[\\^_][^$\n]*)(?<=[^\s$])\$(?![\w$])"), lambda m: f"{FORMULA} {m[1]} {FORMULA}"),
+    (("\\",), re.compile(r"\\[(\[]([^\n]*?)\\[)\]]"), lambda m: f"{FORMULA} {m[1].strip()} {FORMULA}"),
 ]
 _AFTER = [
-    (re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1>", re.S | re.I), lambda m: f"\n{HEADING} {m[2].strip()}\n"),
-    (re.compile(r"<li\b[^<>]*>", re.I), f"\n{ITEM} "),
-    (re.compile(r"</t[dh]>\s*(?=<t[dh])", re.I), "\t"),
-    (re.compile(r"<(?:br|/p|/tr|/li|/ul|/ol|/table|/div)\b[^<>]*>\n?", re.I), "\n"),
-    (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I), ""),
-    (_TAG, ""),
-    (re.compile(r"<((?:https?|ftp)://[^\s<>]+)>(?!`)"), r"\1"),
-    (re.compile(r"^(?=[ \t]*\S)([^\n]*)\n(?=[=\-~^\"*+]{3})(?:=+|-+|~+|\^+|\"+|\*+|\++)[ \t\r]*$", re.M), rf"{HEADING} \1"),
-    (re.compile(r"^(?:={3,}|-{3,}|~{3,}|\^{3,}|\"{3,}|\*{3,}|\+{3,})[ \t\r]*\n?", re.M), ""),
-    (re.compile(r"^={1,6}[ \t]*([^=\n]+?)[ \t]*={1,6}[ \t\r]*$", re.M), rf"{HEADING} \1"),
-    (re.compile(r"^#{2,6}[ \t]+", re.M), f"{HEADING} "),
-    (re.compile(r"^#[ \t]+(?=[^\n]*(?:\n#[ \t]|\Z))|(?<=\n)(?<=[^\n]\n)#[ \t]+", re.M), f"{ITEM} "),
-    (re.compile(r"^#[ \t]+", re.M), f"{HEADING} "),
-    (re.compile(r"^[ \t]*[*-][ \t]+(?=\S)", re.M), f"{ITEM} "),
-    (re.compile(r"\\(?:sub)*section\*?\{([^{}\n]*)\}"), rf"\n{HEADING} \1\n"),
-    (re.compile(r"^[ \t]*\\(?:begin|end)\{[^{}\n]*\}[ \t]*\n?|\\(?:begin|end)\{[^{}\n]*\}", re.M), ""),
-    (re.compile(r"^[ \t]*\\item\b[ \t]*", re.M), f"{ITEM} "),
-    (re.compile(r"(?<![:\w\\])\\(?:cite|ref|label)\{[^{}\n]*\}"), ""),
-    (re.compile(r"(?<![:\w\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}"), r"\1"),
-    (re.compile(r"^[ \t]*\.\.[ \t]+[\w:+.-]+::[ \t]*", re.M), ""),
-    (re.compile(r"^[ \t]*\.\.[ \t]+(?:_[^:\n]+:|\[[^\]\n]+\])[ \t]*", re.M), ""),
-    (re.compile(r"^[ \t]*:([A-Za-z][\w-]*(?:[ \t][^:\n]+)?):(?=\s|$)", re.M), r"\1:"),
-    (re.compile(r"(?<=[\w.)])::[ \t\r]*$", re.M), ":"),
-    (re.compile(r"(?::[a-z][\w:+.-]*:)?`([^`<\n]*?)\s*<[^`<>\n]*>`__?"), r"\1"),
-    (re.compile(r":[a-z][\w:+.-]*:`([^`\n]+)`"), r"\1"),
-    (re.compile(r"``([^`\n]+)``|(?<!`)`([^`\n]+)`(?!`)_{0,2}"), lambda m: m[1] or m[2]),
-    (re.compile(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
-    (re.compile(r"\[\[(?:Category|File|Image|Kategorie|Datei)\s*:[^\[\]\n]*\]\]", re.I), ""),
-    (re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
-    (re.compile(r"\[https?://[^\s\]]+[ \t]+([^\]\n]*)\]"), r"\1"),
-    (re.compile(r"\[(https?://[^\s\]]+)\]"), r"\1"),
-    (re.compile(r"\{\{[^{}\n]+\}\}"), ""),
-    (re.compile(r"\*\*(?=\S)([^*\n]+)(?<=\S)\*\*"), r"\1"),
-    (re.compile(r"'''?(?=[^\s'])([^'\n]+)(?<=[^\s'])'''?"), r"\1"),
-    (re.compile(r"~~(?=\w)([^~\n]+)(?<=\w)~~"), r"\1"),
-    (re.compile(r"(?<![\w*\\/])\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*(?![\w*])"), r"\1"),
-    (re.compile(r"(?<![\w_])__?(?=[^\s_])([^_\n]+)(?<=[^\s_])__?(?![\w_])"), r"\1"),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[ \t:|-]*\n?", re.M), ""),
-    (re.compile(r"^[ \t]*\|([^\n]*)\|[ \t\r]*$", re.M), lambda m: "\t".join(x.strip() for x in m[1].split("|"))),
-    (re.compile(r"^[ \t]*(?:\{\||\|\}|\|-)[^\n]*\n?", re.M), ""),
-    (re.compile(r"^[ \t]*\[[^\]\n]+\]:[ \t]+\S+[^\n]*\n?", re.M), ""),
-    (re.compile(r"^[ \t]*>(?!>)[ \t]?", re.M), ""),
+    (("<",), re.compile(r"<h([1-6])\b[^<>]*>(.*?)</h\1>", re.S | re.I), lambda m: f"\n{HEADING} {m[2].strip()}\n"),
+    (("<",), re.compile(r"<li\b[^<>]*>", re.I), f"\n{ITEM} "),
+    (("<",), re.compile(r"</t[dh]>\s*(?=<t[dh])", re.I), "\t"),
+    (("<",), re.compile(r"<(?:br|/p|/tr|/li|/ul|/ol|/table|/div)\b[^<>]*>\n?", re.I), "\n"),
+    (("<",), re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I), ""),
+    (("<",), _TAG, ""),
+    (("<",), re.compile(r"<((?:https?|ftp)://[^\s<>]+)>(?!`)"), r"\1"),
+    (("===", "---", "~~~", "^^^", '"""', "***", "+++",), re.compile(r"^(?=[ \t]*\S)([^\n]*)\n(?=[=\-~^\"*+]{3})(?:=+|-+|~+|\^+|\"+|\*+|\++)[ \t\r]*$", re.M), rf"{HEADING} \1"),
+    (("===", "---", "~~~", "^^^", '"""', "***", "+++",), re.compile(r"^(?:={3,}|-{3,}|~{3,}|\^{3,}|\"{3,}|\*{3,}|\+{3,})[ \t\r]*\n?", re.M), ""),
+    (("=",), re.compile(r"^={1,6}[ \t]*([^=\n]+?)[ \t]*={1,6}[ \t\r]*$", re.M), rf"{HEADING} \1"),
+    (("#",), re.compile(r"^#{2,6}[ \t]+", re.M), f"{HEADING} "),
+    (("#",), re.compile(r"^#[ \t]+(?=[^\n]*(?:\n#[ \t]|\Z))|(?<=\n)(?<=[^\n]\n)#[ \t]+", re.M), f"{ITEM} "),
+    (("#",), re.compile(r"^#[ \t]+", re.M), f"{HEADING} "),
+    (("*", "-",), re.compile(r"^[ \t]*[*-][ \t]+(?=\S)", re.M), f"{ITEM} "),
+    (("\\",), re.compile(r"\\(?:sub)*section\*?\{([^{}\n]*)\}"), rf"\n{HEADING} \1\n"),
+    (("\\",), re.compile(r"^[ \t]*\\(?:begin|end)\{[^{}\n]*\}[ \t]*\n?|\\(?:begin|end)\{[^{}\n]*\}", re.M), ""),
+    (("\\",), re.compile(r"^[ \t]*\\item\b[ \t]*", re.M), f"{ITEM} "),
+    (("\\",), re.compile(r"(?<![:\w\\])\\(?:cite|ref|label)\{[^{}\n]*\}"), ""),
+    (("\\",), re.compile(r"(?<![:\w\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}"), r"\1"),
+    (("..",), re.compile(r"^[ \t]*\.\.[ \t]+[\w:+.-]+::[ \t]*", re.M), ""),
+    (("..",), re.compile(r"^[ \t]*\.\.[ \t]+(?:_[^:\n]+:|\[[^\]\n]+\])[ \t]*", re.M), ""),
+    ((":",), re.compile(r"^[ \t]*:([A-Za-z][\w-]*(?:[ \t][^:\n]+)?):(?=\s|$)", re.M), r"\1:"),
+    (("::",), re.compile(r"(?<=[\w.)])::[ \t\r]*$", re.M), ":"),
+    (("`",), re.compile(r"(?::[a-z][\w:+.-]*:)?`([^`<\n]*?)\s*<[^`<>\n]*>`__?"), r"\1"),
+    (("`",), re.compile(r":[a-z][\w:+.-]*:`([^`\n]+)`"), r"\1"),
+    (("`",), re.compile(r"``([^`\n]+)``|(?<!`)`([^`\n]+)`(?!`)_{0,2}"), lambda m: m[1] or m[2]),
+    (("](",), re.compile(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
+    (("[[",), re.compile(r"\[\[(?:Category|File|Image|Kategorie|Datei)\s*:[^\[\]\n]*\]\]", re.I), ""),
+    (("[[",), re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]"), r"\1"),
+    (("[http",), re.compile(r"\[https?://[^\s\]]+[ \t]+([^\]\n]*)\]"), r"\1"),
+    (("[http",), re.compile(r"\[(https?://[^\s\]]+)\]"), r"\1"),
+    (("{{",), re.compile(r"\{\{[^{}\n]+\}\}"), ""),
+    (("**",), re.compile(r"\*\*(?=\S)([^*\n]+)(?<=\S)\*\*"), r"\1"),
+    (("''",), re.compile(r"'''?(?=[^\s'])([^'\n]+)(?<=[^\s'])'''?"), r"\1"),
+    (("~~",), re.compile(r"~~(?=\w)([^~\n]+)(?<=\w)~~"), r"\1"),
+    (("*",), re.compile(r"(?<![\w*\\/])\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*(?![\w*])"), r"\1"),
+    (("_",), re.compile(r"(?<![\w_])__?(?=[^\s_])([^_\n]+)(?<=[^\s_])__?(?![\w_])"), r"\1"),
+    (("|",), re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|[ \t:|-]*\n?", re.M), ""),
+    (("|",), re.compile(r"^[ \t]*\|([^\n]*)\|[ \t\r]*$", re.M), lambda m: "\t".join(x.strip() for x in m[1].split("|"))),
+    (("|",), re.compile(r"^[ \t]*(?:\{\||\|\}|\|-)[^\n]*\n?", re.M), ""),
+    (("]:",), re.compile(r"^[ \t]*\[[^\]\n]+\]:[ \t]+\S+[^\n]*\n?", re.M), ""),
+    ((">",), re.compile(r"^[ \t]*>(?!>)[ \t]?", re.M), ""),
 ]
 
 
+_KEPT = re.compile(rf"((?:^{CODE} [^\n]*(?:\n|\Z))+|{FORMULA} .*? {FORMULA})", re.M)
+_GAPS = re.compile(r"\n{3,}")
+
+
+def _replaced(text: str, steps: list) -> str:
+    for needles, pattern, to in steps:
+        if any(n in text for n in needles):
+            text = pattern.sub(to, text)
+    return text
+
+
 def _block(mark: str, text: str) -> str:
     lines = [x for x in html.unescape(text).strip("\n").split("\n")]
     return "\n" + "\n".join(f"{mark} {x}" for x in lines) + "\n"
@@ -187,14 +199,14 @@ def _block(mark: str, text: str) -> str:
 
 def clean_text(text: str) -> str:
     """Text without markup; code lines begin with CODE and are left as they are, as are formulas between two FORMULA."""
-    for pattern, to in _STEPS:
-        text = pattern.sub(to, text)
-    pieces = re.split(rf"((?:^{CODE} [^\n]*(?:\n|\Z))+|{FORMULA} .*? {FORMULA})", text, flags=re.M)
+    text = _replaced(text, _STEPS)
+    pieces = _KEPT.split(text) if CODE in text or FORMULA in text else [text]
     for k in range(0, len(pieces), 2):
-        for pattern, to in _AFTER:
-            pieces[k] = pattern.sub(to, pieces[k])
-        pieces[k] = html.unescape(html.unescape(pieces[k])).replace("\u00a0", " ")
-    return re.sub(r"\n{3,}", "\n\n", "".join(pieces)).strip("\n")
+        pieces[k] = _replaced(pieces[k], _AFTER)
+        if "&" in pieces[k]:
+            pieces[k] = html.unescape(html.unescape(pieces[k]))
+        pieces[k] = pieces[k].replace("\u00a0", " ")
+    return _GAPS.sub("\n\n", "".join(pieces)).strip("\n")
 
 
 def cleaned(records: DataFrame, table: str, key: str) -> DataFrame:
