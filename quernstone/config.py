@@ -11,6 +11,8 @@ from typing import Any
 
 STAGES = ("corpus", "parse", "segment", "enrich", "index", "route", "retrieve", "fuse", "rerank", "judge", "bootstrap", "embed", "cache")
 SECRET = re.compile(r"(^|_)(api_?key|access_?key|secret|password|credential|credentials|auth_?token|access_?token|bearer_?token|token)$", re.I)
+#: What kind of index an implementation is.
+KINDS = {"bm25": "lexical", "bm25_memory": "lexical", "hash_embedding": "dense", "svd_embedding": "dense", "sentence_transformer": "dense", "structured": "structured", "sqlite": "structured"}
 _REGISTRY: dict[tuple[str, str], tuple[str, Callable[..., Any], type | None]] = {}
 
 
@@ -27,10 +29,25 @@ def register(stage: str, name: str, make: Callable[..., Any], version: str = "1"
     _REGISTRY[stage, name] = (version, make, params)
 
 
+def registered(stage: str) -> list[str]:
+    """The names of a stage's implementations."""
+    return sorted(n for s, n in _REGISTRY if s == stage)
+
+
+def discover(group: str = "quernstone.plugins") -> list[str]:
+    """Call what installed packages offer in an entry-point group, which is to register() implementations; returns their names."""
+    from importlib.metadata import entry_points
+
+    found = list(entry_points(group=group))
+    for e in found:
+        e.load()()
+    return [e.name for e in found]
+
+
 def create(stage: str, name: str, given: Mapping[str, Any] | None = None) -> Any:
     """An implementation with checked parameters; an unknown one is refused."""
     if (stage, name) not in _REGISTRY:
-        raise ConfigError(f"no {stage}/{name}; there are: {', '.join(n for s, n in sorted(_REGISTRY) if s == stage)}")
+        raise ConfigError(f"no {stage}/{name}; there are: {', '.join(registered(stage))}")
     _, make, params = _REGISTRY[stage, name]
     given = dict(given or {})
     if params is not None and is_dataclass(params):
@@ -73,7 +90,7 @@ def at(config: Mapping[str, Any], path: str) -> Any:
     here: Any = config
     for part in re.findall(r"[^.\[\]]+|\[[^\]]*\]", path):
         key = part.strip("[]")
-        here = next(x for x in here if x.get("name") == key) if isinstance(here, list) else here[key]
+        here = here[_entry(here, key, path)] if isinstance(here, list) else here[key]
     return here
 
 
@@ -92,7 +109,7 @@ def interpolated(config: Mapping[str, Any], env: Mapping[str, str] | None = None
             raise ConfigError(f"{name} refers to itself")
         try:
             return str(walk(at(config, name), (*seen, name)))
-        except (KeyError, StopIteration, TypeError) as e:
+        except (KeyError, TypeError, ConfigError) as e:
             raise ConfigError(f"no {name}") from e
 
     def walk(x: Any, seen: tuple[str, ...] = ()) -> Any:
@@ -105,18 +122,28 @@ def interpolated(config: Mapping[str, Any], env: Mapping[str, str] | None = None
     return walk(config)
 
 
+def _entry(entries: list, key: str, path: str) -> int:
+    """The place of a list's entry given by its number or its name."""
+    if re.fullmatch(r"-?\d+", key):
+        if not -len(entries) <= int(key) < len(entries):
+            raise ConfigError(f"{path}: no entry {key}")
+        return int(key)
+    found = [k for k, x in enumerate(entries) if isinstance(x, Mapping) and x.get("name") == key]
+    if not found:
+        raise ConfigError(f"{path}: no {key}")
+    return found[0]
+
+
 def overridden(config: Mapping[str, Any], changes: Mapping[str, Any]) -> dict[str, Any]:
-    """A copy with values set at dotted paths; a list's entry is named by [name]. The original stays as it is."""
+    """A copy with values set at dotted paths; a list's entry is named by [name] or numbered by [0], also as the last of the path. The original
+    stays as it is."""
     out = copy.deepcopy(dict(config))
     for path, value in changes.items():
-        *way, last = re.findall(r"[^.\[\]]+|\[[^\]]*\]", path)
+        *way, last = (p.strip("[]") for p in re.findall(r"[^.\[\]]+|\[[^\]]*\]", path))
         here: Any = out
-        for part in way:
-            key = part.strip("[]")
-            here = next((x for x in here if x.get("name") == key), None) if isinstance(here, list) else here.setdefault(key, {})
-            if here is None:
-                raise ConfigError(f"{path}: no {key}")
-        here[last.strip("[]")] = copy.deepcopy(value)
+        for key in way:
+            here = here[_entry(here, key, path)] if isinstance(here, list) else here.setdefault(key, {})
+        here[_entry(here, last, path) if isinstance(here, list) else last] = copy.deepcopy(value)
     return out
 
 
@@ -141,9 +168,36 @@ def problems(config: Mapping[str, Any]) -> list[str]:
     if paths.get("lookup", {}).get("step_budget", 1) != 1:
         out.append("lookup takes one step")
     kinds = {i.get("name"): i.get("impl") for i in indexes}
-    if "structured" in paths and not any(kinds.get(t) == "structured" for t in paths["structured"].get("targets", [])):
+    if "structured" in paths and not any(KINDS.get(kinds.get(t)) == "structured" for t in paths["structured"].get("targets", [])):
         out.append("the structured path has no structured index")
-    out += [f"weight for {n}, which is no index" for n in config.get("query", {}).get("fuse", {}).get("params", {}).get("weights", {}) if n not in names]
+    fuse = config.get("query", {}).get("fuse", {})
+    out += [f"weight for {n}, which is no index" for n in {**fuse.get("weights", {}), **fuse.get("params", {}).get("weights", {})} if n not in names]
+    return out
+
+
+def warnings(config: Mapping[str, Any]) -> list[str]:
+    """What is allowed but seldom meant: enrichment off, half of hybrid search, no reranking, a structured path whose fields nothing extracts,
+    weights of indexes that are off, metrics without the fifth rank."""
+    ingestion, query = config.get("ingestion", {}), config.get("query", {})
+    enrich, out = ingestion.get("enrich", {}), []
+    on = lambda part: part.get("enabled", True)
+    enrichers = [e for e in enrich.get("enrichers", []) if on(e)] if on(enrich) else []
+    if not enrichers:
+        out.append("enrich is off: units are indexed without context")
+    indexes = [i for i in ingestion.get("index", {}).get("indexes", []) if on(i)]
+    kinds = {i.get("kind") or KINDS.get(i.get("impl"), i.get("impl")) for i in indexes}
+    if not {"dense", "lexical"} <= kinds:
+        out.append(f"indexes cover {sorted(map(str, kinds))}: hybrid search needs a dense and a lexical one")
+    rerank = query.get("rerank", {})
+    if not on(rerank) or rerank.get("impl", "noop") == "noop":
+        out.append("rerank is off")
+    if on(query.get("route", {})) and "structured" in query.get("route", {}).get("paths", {}) and "structured" in kinds and not any(e.get("params", {}).get("fields") for e in enrichers):
+        out.append("no enricher extracts fields: the structured path has nothing to answer from")
+    idle = set(query.get("fuse", {}).get("weights", {})) - {i.get("name") for i in indexes}
+    if idle:
+        out.append(f"weights of indexes that are off have no effect: {', '.join(sorted(idle))}")
+    if 5 not in config.get("eval", {}).get("k_values", [5]):
+        out.append("eval.k_values lacks 5")
     return out
 
 

@@ -62,4 +62,8 @@ def canonical(value: Any) -> str:
 
 
 def config_hash(value: Any) -> str:
+    """Hash of a configuration without its secrets, so a rotated key makes nothing stale."""
+    from quernstone.config import redacted
+
+    value = redacted(value)
     return "sha256:" + hashlib.sha256(canonical(value).encode()).hexdigest()

@@ -62,6 +62,16 @@ def concatenated(*sources: DataFrame, limit: int | None = None) -> DataFrame:
     return (out.orderBy("_k", "document_id").limit(limit) if limit is not None else out).drop("_k")
 
 
+def first_of_each(*sources: DataFrame) -> DataFrame:
+    """Sources together; a document_id that several hold is taken from the first."""
+    every = None
+    for k, s in enumerate(sources):
+        s = s.withColumn("_k", F.lit(k))
+        every = s if every is None else every.unionByName(s)
+    rest = [c for c in every.columns if c not in ("document_id", "_k")]
+    return every.groupBy("document_id").agg(F.min_by(F.struct(*rest), "_k").alias("r")).select("document_id", "r.*")
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions of a JSON-lines file; blank lines, # comments and the `_meta` line are skipped."""
     lines = spark.read.text(path).filter(r"trim(value) <> '' and trim(value) not like '#%' and not value rlike '^\\s*\\{\\s*\"_meta\"'")

@@ -1,7 +1,8 @@
 """Documents that arrive as a stream, brought into a store batch by batch.
 
-Each micro-batch is merged over the documents held (the last row of a document_id wins) and built as one commit, so a batch that is
-delivered again changes nothing: its documents are unchanged by then."""
+Of each micro-batch the last row of a document_id counts; a null text removes its document. The batch is built as a partial corpus: documents
+it doesn't hold stay as they are, and nothing but the batch is written. A batch that is delivered again changes nothing: its documents are
+unchanged by then."""
 
 from __future__ import annotations
 
@@ -10,28 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quernstone.plans.engine import Engine
+from quernstone.session import cut
 
 CORPUS = ["document_id", "source_uri", "text", "content_hash", "media_type"]
 
 
-def merged(held: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The corpus after a batch; a null text removes its document."""
+def latest(batch: DataFrame) -> DataFrame:
+    """The last row of each document of a batch."""
     order = Window.partitionBy("document_id").orderBy(F.desc("arrived_at"), F.desc("content_hash"))
-    new = batch.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*CORPUS)
-    every = new if held is None else new.unionByName(held.join(new.select("document_id"), "document_id", "left_anti").select(*CORPUS))
-    return every.filter("text is not null")
+    return batch.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*CORPUS)
 
 
-def start(stream: DataFrame, engine: Engine, corpus_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def start(stream: DataFrame, engine: Engine, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Run the stream of documents (CORPUS and arrived_at) into the engine's store."""
-    spark = engine.spark
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        fs = spark._jvm.org.apache.hadoop.fs.Path(corpus_path).getFileSystem(spark._jsc.hadoopConfiguration())
-        last = f"{corpus_path}/b={batch_id - 1}"
-        held = spark.read.parquet(last) if batch_id and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(last)) else None
-        merged(held, batch).write.mode("overwrite").parquet(f"{corpus_path}/b={batch_id}")
-        engine.build(spark.read.parquet(f"{corpus_path}/b={batch_id}"), f"batch-{batch_id}")
+        engine.build(cut(latest(batch), "stream-batch"), f"batch-{batch_id}", partial=True)
 
     w = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quernstone import config as C
 from quernstone.functions import ids
-from quernstone.operators import enrich, ledger
+from quernstone.operators import enrich, ledger, lexical
 from quernstone.operators.structured import Compare, TextMatch
-from quernstone.plans.engine import Engine, EngineConfig
+from quernstone.plans import assemble
+from quernstone.plans.engine import Engine, EngineConfig, VectorIndex
 from quernstone.sources import scan
 
 FILES = {
@@ -26,18 +27,19 @@ def engine(spark, path, **kw):
     return Engine(spark, str(path), EngineConfig(parser="markdown", rules=[enrich.FieldRule("timeout_seconds", r"timeout=(\d+)", "int")], enrichers=("section_prefix", "regex_fields"), dim=64, **kw))
 
 
+@pytest.mark.filterwarnings("error:index")
 def test_incremental_builds_and_queries(spark, tmp_path):
     e = engine(spark, tmp_path)
     assert e.build(corpus(spark, FILES), "b1") == {"ADDED": 2}
-    before = {r[0] for r in e.store.read("units").select("unit_id").collect()}
-    version = e.store.current()["version"]
-    assert e.build(corpus(spark, FILES), "b2") == {"UNCHANGED": 2} and e.store.current()["version"] == version
+    before = {r[0] for r in e.units().select("unit_id").collect()}
+    version = e.store.current()["number"]
+    assert e.build(corpus(spark, FILES), "b2") == {"UNCHANGED": 2} and e.store.current()["number"] == version
     changed = FILES | {"timeouts.md": FILES["timeouts.md"].replace("27", "30")}
     assert e.build(corpus(spark, changed), "b3") == {"CHANGED": 1, "UNCHANGED": 1}
-    after = {r[0] for r in e.store.read("units").select("unit_id").collect()}
+    after = {r[0] for r in e.units().select("unit_id").collect()}
     assert len(before & after) == len(before) - 1
     assert e.build(corpus(spark, {"sessions.md": FILES["sessions.md"]}), "b4") == {"REMOVED": 1, "UNCHANGED": 1}
-    assert {r[0] for r in e.store.read("units").select("source_uri").distinct().collect()} == {"sessions.md"}
+    assert {r[0] for r in e.units().select("source_uri").distinct().collect()} == {"sessions.md"}
     assert e.build(corpus(spark, changed), "b5") == {"ADDED": 1, "UNCHANGED": 1}
     q = spark.createDataFrame([("a", "where do sessions keep cookies"), ("b", "timeout seconds greater than 20"), ("c", "compare read timeout versus connect timeout")], "query_id string, query string")
     got = e.query(q, lexicon=["timeout_seconds"], types={"timeout_seconds": "int"}).orderBy("query_id", "rank").collect()
@@ -66,6 +68,69 @@ def test_many_structured_questions_with_all_their_rows(spark, tmp_path):
     assert {r["path"] for r in mine("z2")} == {"lookup"} and all(r["selected"] is None for r in mine("z2"))
 
 
+def test_a_build_that_dies_is_resumed(spark, tmp_path, monkeypatch):
+    files = {f"p{k}.md": f"# Page {k}\n\n" + f"Reading page {k} waits for the read timeout. " * 8 for k in range(8)}
+    e = engine(spark, tmp_path / "s", checkpoint=3)
+    real, calls = e._build_batch, []
+
+    def dies(*a):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        real(*a)
+
+    monkeypatch.setattr(e, "_build_batch", dies)
+    with pytest.raises(RuntimeError):
+        e.build(corpus(spark, files), "b1")
+    first = e.documents().count()
+    assert 0 < first < 8
+    again = engine(spark, tmp_path / "s", checkpoint=3)
+    assert again.build(corpus(spark, files), "b2") == {"ADDED": 8 - first, "UNCHANGED": first}
+    whole = engine(spark, tmp_path / "w")
+    whole.build(corpus(spark, files), "b1")
+    assert rows(again.units(), "unit_id", "surface") == rows(whole.units(), "unit_id", "surface")
+    index, fresh = again.lexical_index(), lexical.build(whole.units(), F.col("surface"))
+    assert rows(index.terms) == rows(fresh.terms, *index.terms.columns) and (index.n_units, index.mean_length) == (fresh.n_units, fresh.mean_length)
+    assert again.surface_problems() == []
+
+
+def test_kept_index_follows_changes(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    e.build(corpus(spark, FILES), "b1")
+    e.build(corpus(spark, {"timeouts.md": FILES["timeouts.md"].replace("27", "30 seconds"), "new.md": "# New\n\n" + "Something new about proxies. " * 9}), "b2")
+    index, fresh = e.lexical_index(), lexical.build(e.units(), F.col("surface"))
+    assert rows(index.terms) == rows(fresh.terms, *index.terms.columns) and (index.n_units, index.mean_length) == (fresh.n_units, fresh.mean_length)
+    assert e.store.vacuum(1) == 0 and e.store.current()["number"] == 2
+
+
+def test_other_settings_and_indexes(spark, tmp_path):
+    """Latent vectors beside hashed ones, a cache that spares parsing, a log of decisions, an index that fails."""
+    e = engine(spark, tmp_path / "s", vectors=(VectorIndex(dim=32), VectorIndex("lsa", "svd_embedding", 4)), decision_log=str(tmp_path / "log"), rerank="noop")
+    e.build(corpus(spark, FILES), "b1")
+    q = spark.createDataFrame([("a", "where do sessions keep cookies")], "query_id string, query string")
+    assert e.query(q).orderBy("rank").first()["source_uri"] == "sessions.md"
+    assert [r["path"] for r in spark.read.json(str(tmp_path / "log")).collect()] == ["lookup"]
+    parts = len(e.store.parts("segmented"))
+    restaged = engine(spark, tmp_path / "s", rerank="noop")
+    assert restaged.build(corpus(spark, FILES), "b2") == {"RESTAGED": 2}
+    assert restaged.store.read("segmented", restaged.store.parts("segmented")[parts:]).count() == 0
+    restaged.config.vectors = (VectorIndex("none", "sentence_transformer"),)
+    with pytest.warns(UserWarning, match="index none failed"):
+        assert restaged.query(q).orderBy("rank").first()["source_uri"] == "sessions.md"
+
+
+def test_a_commit_is_all_or_nothing(spark, tmp_path):
+    store = ledger.Store(spark, str(tmp_path))
+    store.commit({"t": spark.range(2)})
+    store.write("t", spark.range(9))  # a build that died before its commit
+    assert store.read("t").count() == 2
+    store.commit(append={"t": spark.range(3)})
+    assert store.read("t").count() == 5 and store.read("none") is None
+    with pytest.raises(RuntimeError):
+        store._publish(2, "{}")
+    assert store.vacuum(1) == 1 and store.read("t").count() == 5
+
+
 def test_plan_compares_key_sets_both_ways(spark):
     book = spark.createDataFrame([("a", "h", {"parse": "1", "enrich:x": "1"}), ("b", "h", None), ("gone", "h", {})], "document_id string, content_hash string, stage_keys map<string,string>")
     now = spark.createDataFrame([("a", "h"), ("b", "g"), ("new", "h")], "document_id string, content_hash string")
@@ -109,11 +174,53 @@ def test_stream_into_store(spark, tmp_path):
     rows_.write.parquet(str(src))
     stream = spark.readStream.schema(rows_.schema).parquet(str(src))
     e = engine(spark, tmp_path / "store")
-    q = ingest.start(stream, e, str(tmp_path / "corpus"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert e.store.read("ledger").count() == 2
-    gone = rows_.limit(1).withColumn("text", F.lit(None).cast("string"))
-    assert ingest.merged(rows_.drop("arrived_at"), gone).count() == 1
+    ingest.start(stream, e, str(tmp_path / "cp")).awaitTermination(120)
+    assert e.documents().count() == 2
+    gone = rows_.limit(1).withColumns({"text": F.lit(None).cast("string"), "arrived_at": F.lit("2024-01-02").cast("timestamp")})
+    gone.write.mode("append").parquet(str(src))
+    number = e.store.current()["number"]
+    ingest.start(stream, e, str(tmp_path / "cp")).awaitTermination(120)
+    assert e.documents().count() == 1 and e.store.current()["number"] == number + 1
+
+
+@pytest.mark.filterwarnings("error:index")
+def test_assembled_from_a_file(spark, tmp_path):
+    """A folder of files and a YAML file: build, questions on every path, an override that needs a rebuild, what is wrong or doubtful."""
+    (tmp_path / "docs").mkdir()
+    for name, text in FILES.items():
+        (tmp_path / "docs" / name).write_text(text)
+    (tmp_path / "base.yaml").write_text("""
+paths: {store: ./unused}
+ingestion:
+  parse: {routes: [{when: {media_type: text/markdown}, impl: markdown}], default: {impl: text}}
+  segment: {impl: structural, max_tokens: 200}
+  enrich:
+    enrichers:
+      - {impl: section_prefix}
+      - {impl: regex_fields, params: {fields: {timeout_seconds: {pattern: 'timeout=(\\d+)', type: int}}}}
+  index: {indexes: [{name: words, impl: bm25}, {name: dense, impl: hash_embedding, params: {dim: 32}}, {name: fields, impl: structured}]}
+query:
+  route: {impl: rules, paths: {structured: {targets: [fields]}, lookup: {targets: [words, dense], top_k: {words: 5}}, iterative: {targets: [words], step_budget: 2}}}
+  fuse: {impl: rrf, k: 10, weights: {words: 2.0}}
+  rerank: {impl: lexical_overlap}
+""")
+    (tmp_path / "own.yaml").write_text(f"extends: base.yaml\npaths: {{store: {tmp_path}/store}}\ncorpus: {{sources: [{{impl: filesystem, params: {{root: {tmp_path}/docs, include: ['**/*.md']}}}}]}}\n")
+    a = assemble.assemble(spark, str(tmp_path / "own.yaml"))
+    assert a.warnings == [] and a.engine.config.path_top_k["lookup"] == {"bm25": 5, "dense": 50} and a.engine.config.weights == {"bm25": 2.0}
+    assert a.build("b1") == {"ADDED": 2}
+    q = spark.createDataFrame([("a", "where do sessions keep cookies"), ("b", "timeout seconds greater than 20"), ("c", "compare read timeout versus connect timeout")], "query_id string, query string")
+    got = {r["query_id"]: r for r in a.query(q).filter("rank = 1").collect()}
+    assert {k: r["path"] for k, r in got.items()} == {"a": "lookup", "b": "structured", "c": "iterative"} and got["a"]["source_uri"] == "sessions.md"
+    changes = {"ingestion.index.indexes[dense].params.dim": 16, "ingestion.index.indexes[0].impl": "bm25_memory"}
+    b = assemble.assemble(spark, str(tmp_path / "own.yaml"), changes)
+    assert C.needs_rebuild(changes) and b.build("b2") == {"RESTAGED": 2} and len(b.engine.vectors("dense").first()["vector"]) == 16
+    assert assemble.check(str(tmp_path / "own.yaml")) == 0
+    off = C.overridden(C.load(str(tmp_path / "own.yaml")), {"ingestion.index.indexes[1].enabled": False, "query.rerank.enabled": False, "ingestion.enrich.enrichers[1].enabled": False, "eval": {"k_values": [10]}})
+    assert len(C.warnings(off)) == 4
+    for wrong in ({"ingestion.segment.impl": "none"}, {"query.route.paths.lookup.targets": ["x"]}, {"ingestion.index.indexes[9].impl": "bm25"}, {"ingestion.index.indexes[none]": {}}):
+        with pytest.raises(C.ConfigError):
+            assemble.assemble(spark, str(tmp_path / "own.yaml"), wrong)
+    assert C.overridden({"l": [1, {"name": "n"}]}, {"l[n]": 5, "l[0]": 2}) == {"l": [2, 5]}
 
 
 BASE = {"ingestion": {"index": {"indexes": [{"name": "bm25", "impl": "bm25"}, {"name": "s", "impl": "structured"}]}}, "query": {"route": {"paths": {p: {"targets": ["s" if p == "structured" else "bm25"]} for p in ("structured", "lookup", "iterative")}}}}
