@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from quernstone.functions import text as T
+from quernstone.session import bounded, cumulated, cut
 
 
 def graded(hits: DataFrame, gold: DataFrame, policy: str = "span_overlap", least: float = 0.5) -> DataFrame:
@@ -45,26 +49,44 @@ def scores(queries: DataFrame, hits: DataFrame, gold: DataFrame, ks: tuple[int,
     return j.withColumns(out).select(*queries.columns, *out)
 
 
-def percentile(values: Column, p: float) -> Column:
-    """Percentile P (0 to 100) of an array by the exclusive method, at the ends the extremes are extended; one value is itself."""
-    v = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(v)
-    at = F.lit(p / 100.0) * (n + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(at).cast("int"), n - 1))
-    share = at - j
-    low, high = F.element_at(v, j), F.element_at(v, j + 1)
-    return F.when(n == 1, F.element_at(v, 1)).when(n > 1, low * (1 - share) + high * share)
+def percentiles(rows: DataFrame, by: list[str], value: str, ps: tuple[float, ...] = (50, 95)) -> DataFrame:
+    """(*BY, p, value): percentiles P (0 to 100) of each group by the exclusive method; at the ends the extremes are extended, one value is
+    itself, nulls don't count. Values are counted first and ordered in ranges, so a group may be of any size."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    c = cumulated(counts, by, "_v")
+    n, wanted = F.col("_total"), []
+    for p in ps:
+        at = F.lit(p / 100.0) * (n + 1)
+        j = F.greatest(F.lit(1), F.least(F.floor(at), n - 1)).cast("bigint")
+        share = F.when(n > 1, at - j).otherwise(0.0)
+        wanted += [F.struct(F.lit(p).alias("p"), j.alias("_at"), (1 - share).alias("_w")), F.struct(F.lit(p).alias("p"), F.least(j + 1, n).alias("_at"), share.alias("_w"))]
+    wants = bounded(counts.groupBy(*by).agg(F.sum("n").alias("_total")).select(*[F.col(b).alias(f"_by_{b}") for b in by], F.explode(F.array(*wanted)).alias("_x")).select(*[f"_by_{b}" for b in by], "_x.*"))
+    match = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    hit = c.join(wants, match & (F.col("_at") <= F.col("upto")) & (F.col("_at") > F.col("upto") - F.col("n")))
+    return hit.groupBy(*by, "p").agg(F.sum(F.col("_v") * F.col("_w")).alias("value"))
 
 
 def aggregated(scored: DataFrame, *by: str) -> DataFrame:
     """Means over what is defined, the share of failures and, where there is one, latency percentiles, per arm or kind."""
     metrics = [c for c in scored.columns if c.startswith(("precision_", "recall_", "ndcg_")) or c == "reciprocal_rank"]
     aggs = [F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in metrics], F.round(F.avg(F.col("failed").cast("int")), 6).alias("failure_rate")]
-    if "correct" in scored.columns:
-        aggs.append(F.round(F.avg(F.col("correct").cast("int")), 6).alias("correctness"))
-    if "latency_ms" in scored.columns:
-        aggs += [F.round(percentile(F.collect_list("latency_ms"), p), 6).alias(f"p{p}_ms") for p in (50, 95)]
-    return scored.groupBy(*by).agg(*aggs)
+    for name in ("correct", "route_correct"):
+        if name in scored.columns:
+            aggs.append(F.round(F.avg(F.col(name).cast("int")), 6).alias({"correct": "correctness"}.get(name, name)))
+    out = scored.groupBy(*by).agg(*aggs)
+    if "latency_ms" not in scored.columns:
+        return out
+    p = percentiles(scored, list(by), "latency_ms").groupBy(*by).agg(*[F.round(F.max(F.when(F.col("p") == q, F.col("value"))), 6).alias(f"p{q}_ms") for q in (50, 95)])
+    return out.join(p, reduce(Column.__and__, [out[b].eqNullSafe(p[b]) for b in by]), "left").select(*[out[c] for c in out.columns], "p50_ms", "p95_ms")
+
+
+def with_records(scored: DataFrame, answered: DataFrame) -> DataFrame:
+    """Scores in which a question that took the structured path is judged by its records: span metrics are null, and it failed if it got none.
+    ANSWERED is (query_id, path, n_records)."""
+    j = scored.join(answered, "query_id", "left")
+    structured = F.coalesce(F.col("path") == "structured", F.lit(False))
+    spans = [c for c in scored.columns if c.startswith(("precision_", "recall_", "ndcg_"))]
+    return j.withColumns({**{c: F.when(~structured, F.col(c)) for c in spans}, "failed": F.when(structured, F.coalesce("n_records", F.lit(0)) == 0).otherwise(F.col("failed"))}).drop("n_records")
 
 
 def expected_path(query_type: Column) -> Column:
@@ -109,25 +131,68 @@ def distinctive_terms(units: DataFrame, n: int = 3) -> DataFrame:
 
 def bootstrap(units: DataFrame, subjects: DataFrame, search=None, want: int = 200, per_document: int = 4, chars: tuple[int, int] = (220, 4000), detail: int = 3, seed: int = 20260917, easy_rank: int = 1, hard_rank: int = 50) -> DataFrame:
     """Golden questions (query_id, query, unit_id, document_id, span_start, span_end, snippet, lexical_overlap) from units: the document's
-    subject and the unit's distinctive terms, in an order fixed by SEED. SEARCH, if given, screens all questions in one batch: what the
-    baseline finds at once, or not among HARD_RANK, is left out."""
+    subject and the unit's distinctive terms, in an order fixed by SEED. SEARCH, if given, screens candidates, slice by slice in that order until
+    there are enough: what the baseline finds at once, or not among HARD_RANK, is left out."""
     n = F.count(F.lit(1)).over(Window.partitionBy("document_id"))
     u = units.withColumn("_n", n).filter(F.length("text").between(*chars) & (F.col("_n") > 1)).join(subjects, "document_id", "left").join(distinctive_terms(units, detail), "unit_id").filter(F.size("terms") >= 2)
     u = u.withColumn("query", F.array_join(F.array_distinct(F.filter(F.concat(F.array(F.coalesce("subject", F.lit(""))), "terms"), lambda x: x != "")), " ")).withColumn("_o", F.xxhash64("unit_id", F.lit(seed)))
-    if search is not None:
-        found = search(u.select(F.col("unit_id").alias("query_id"), "query"), hard_rank).filter("query_id = unit_id").select(F.col("query_id").alias("unit_id"), F.col("rank").alias("_r"))
-        u = u.join(found, "unit_id").filter(F.col("_r") > easy_rank)
-    u = u.withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("_o", "unit_id"))).filter(F.col("_k") <= per_document).orderBy("_o", "unit_id").limit(want)
+    best = lambda x: x.withColumn("_k", F.row_number().over(Window.partitionBy("document_id").orderBy("_o", "unit_id"))).filter(F.col("_k") <= per_document)
+    if search is None:
+        u = best(u).orderBy("_o", "unit_id").limit(want)
+    else:
+        u = cut(u, "bootstrap-candidates")
+        slices = max(1, u.count() // (want * 10))
+        edges = [-(2**63) + k * 2**64 // slices for k in range(slices)]
+        passed = None
+        for lo, hi in zip(edges, [*edges[1:], 2**63 - 1], strict=True):  # in the order of the sample, so what passes first stays first
+            part = u.filter((F.col("_o") >= lo) & ((F.col("_o") < hi) if hi < 2**63 - 1 else F.lit(True)))
+            found = search(part.select(F.col("unit_id").alias("query_id"), "query"), hard_rank).filter("query_id = unit_id").select(F.col("query_id").alias("unit_id"), F.col("rank").alias("_r"))
+            new = cut(part.join(found, "unit_id").filter(F.col("_r") > easy_rank), "bootstrap-passed")
+            passed = new if passed is None else passed.unionByName(new)
+            if best(passed).limit(want).count() >= want:
+                break
+        u = best(passed).orderBy("_o", "unit_id").limit(want)
     return u.select(F.concat(F.lit("q"), F.substring("unit_id", 1, 8)).alias("query_id"), "query", "unit_id", "document_id", "span_start", "span_end", F.substring("text", 1, 160).alias("snippet"), F.round(T.overlap(T.quick_fold(F.col("query")), T.quick_fold(F.col("text"))), 9).alias("lexical_overlap"))
 
 
 def interior(values: DataFrame, field: str) -> DataFrame:
     """(field, threshold): distinct values of a field away from its ends, by rank: from a sixth of them to the last sixth."""
-    v = values.select(F.col(field).alias("threshold")).filter("threshold is not null").distinct()
-    order = Window.orderBy("threshold")
-    v = v.withColumns({"_k": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    cut_ = F.floor(F.col("_n") / 6)
-    return v.filter((F.col("_k") >= F.greatest(cut_, F.lit(1))) & (F.col("_k") < F.least(F.col("_n") - cut_, F.col("_n") - 1))).select(F.lit(field).alias("field"), "threshold")
+    v = values.select(F.col(field).alias("threshold")).filter("threshold is not null").distinct().withColumn("n", F.lit(1).cast("bigint"))
+    c = cumulated(v, [], "threshold")
+    n = c.count()
+    k = F.col("upto") - 1
+    return c.filter((k >= max(n // 6, 1)) & (k < min(n - n // 6, n - 1))).select(F.lit(field).alias("field"), "threshold")
+
+
+def subject_of(name: Column) -> Column:
+    """A document's subject from its package's or file's name: without the extension, with spaces for dashes, underscores and slashes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.(md|rst|txt)$", ""), r"[_\-/]+", " "))
+
+
+def field_questions(records: DataFrame, per_field: int = 8, seed: int = 20260917, key: str = "unit_id") -> DataFrame:
+    """(query_id, query, query_type, answer, answer_type, field): questions that typed fields answer, each with rows by construction: numbers
+    greater than, and dates before, values from the interior of the range; the most frequent texts; and how many texts there are. PER_FIELD of a
+    kind and field, thresholds in an order fixed by SEED. A question is there once."""
+    out = None
+    for f in sorted(records.schema.fields, key=lambda f: f.name):
+        if f.name in (key, "document_id", "source_uri"):
+            continue
+        pretty, kind = f.name.replace("_", " "), f.dataType
+        if isinstance(kind, T_.NumericType | T_.DateType):
+            dated = isinstance(kind, T_.DateType)
+            picks = interior(records, f.name).orderBy(F.xxhash64(F.col("threshold").cast("string"), F.lit(seed)), "threshold").limit(per_field)
+            q = picks.select(F.concat(F.lit(f"which entries have {pretty} {'before' if dated else 'greater than'} "), F.col("threshold").cast("string")).alias("query"), F.lit("temporal" if dated else "numeric").alias("query_type"), F.lit(None).cast("string").alias("answer"))
+        elif isinstance(kind, T_.StringType):
+            common = records.filter(F.col(f.name).isNotNull()).groupBy(F.col(f.name).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(per_field)
+            q = common.select(F.concat(F.lit(f"which entries have {pretty} "), "v").alias("query"), F.lit("structured").alias("query_type"), F.col("v").alias("answer"))
+            q = q.unionByName(common.limit(1).select(F.lit(f"how many distinct {pretty} values are recorded").alias("query"), F.lit("structured").alias("query_type"), F.lit(None).cast("string").alias("answer")))
+        else:
+            continue
+        q = q.withColumns({"answer_type": F.lit("text"), "field": F.lit(f.name)})
+        out = q if out is None else out.unionByName(q)
+    if out is None:
+        return records.sparkSession.createDataFrame([], "query_id string, query string, query_type string, answer string, answer_type string, field string")
+    return out.dropDuplicates(["query"]).select(F.concat(F.lit("s"), F.substring(F.sha2("query", 256), 1, 12), F.lit("-"), F.substring("field", 1, 10)).alias("query_id"), "query", "query_type", "answer", "answer_type", "field")
 
 
 def delta_table(reports: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:

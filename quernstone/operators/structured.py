@@ -164,8 +164,8 @@ def _ordered(order_by: tuple[tuple[str, bool], ...]) -> list[Column]:
 
 
 def run(records: DataFrame, query: StructuredQuery, key: str = "unit_id") -> DataFrame:
-    """A structured query over typed records. Rows have `_sources`, the sorted keys they came from. Nulls come first in ascending
-    order; the key settles ties of single rows. No limit, or 0, means 1000."""
+    """A structured query over typed records. Single rows have `_sources`, the key they came from; those of groups are in citations(). Nulls come
+    first in ascending order; the key settles ties of single rows. No limit, or 0, means 1000."""
     held = records.filter(compiled(query.where, records.schema))
     top = query.limit or 1000
     if not query.aggregations and not query.group_by:
@@ -177,14 +177,18 @@ def run(records: DataFrame, query: StructuredQuery, key: str = "unit_id") -> Dat
     if set(query.select) - set(query.group_by):
         raise ValueError("only fields grouped by can be selected")
     aggregates = [a.column(records.schema) for a in query.aggregations]
-    sources = F.sort_array(F.collect_list(F.col(key).cast("string"))).alias("_sources")
     if not query.group_by:
-        return held.agg(*aggregates, sources)
-    grouped = held.groupBy(*query.group_by).agg(*aggregates, sources)
+        return held.agg(*aggregates)
+    grouped = held.groupBy(*query.group_by).agg(*aggregates)
     rows = grouped.orderBy(*_ordered(query.order_by), *[F.col(f"`{g}`") for g in query.group_by]).limit(top)
     return rows.select(*[F.col(f"`{c}`") for c in query.select], *[c for c in grouped.columns if c not in query.group_by])
 
 
+def citations(records: DataFrame, query: StructuredQuery, key: str = "unit_id") -> DataFrame:
+    """(*GROUP_BY, KEY): the records behind each row of an aggregating query, one row per record, so that a group may be of any size."""
+    return records.filter(compiled(query.where, records.schema)).select(*[F.col(f"`{g}`") for g in query.group_by], key)
+
+
 def run_each(records: DataFrame, queries: Sequence[StructuredQuery], key: str = "unit_id") -> DataFrame:
     """(number, rank, KEY, selected, score): queries for single rows in the order of their key, by their place in QUERIES, in one reading
     of the records. `selected` has the fields asked for as text. The limit is as in run()."""

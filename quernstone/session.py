@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with fewer rows than this is never treated apart; its group fits one task.
@@ -109,6 +109,19 @@ def bounded(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= most_rows else df
 
 
+def cumulated(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
+    """COUNTS (*BY, VALUE, N), one row per value, with `upto`, the sum of N over the values of its group up to and with its own. Values are
+    ordered in ranges of partitions, so no task sorts a whole group."""
+    ranged = counts.repartitionByRange(*[F.col(c) for c in [*by, value]]) if by else counts.repartitionByRange(F.col(value))
+    held = cut(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_part", *by).orderBy(value)
+    sums = held.groupBy("_part", *by).agg(F.sum(n).alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = bounded(sums.select("_part", *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before")).withColumnRenamed("_part", "_at"))
+    match = reduce(Column.__and__, [F.col("_part") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]])
+    return held.withColumn("upto", F.sum(n).over(own)).join(before, match).withColumn("upto", F.col("upto") + F.col("_before")).select(*counts.columns, "upto")
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark."""
     os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))

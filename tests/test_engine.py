@@ -9,6 +9,7 @@ from quernstone.functions import ids
 from quernstone.operators import enrich, ledger, lexical
 from quernstone.operators.structured import Compare, TextMatch
 from quernstone.plans import assemble
+from quernstone.plans.ablation import AblationRunner
 from quernstone.plans.engine import Engine, EngineConfig, VectorIndex
 from quernstone.sources import scan
 
@@ -249,3 +250,24 @@ def test_config(tmp_path):
     assert C.create("fuse", "mine", {"k": 1}) == {"k": 1}
     assert ids.config_hash({"a": 1}) != ids.config_hash({"a": 2})
     assert Compare("a", "eq", 1) == Compare("a", "eq", 1)
+
+
+def test_ablation(spark, tmp_path):
+    """Three arms over one corpus: two share a store, one is segmented otherwise, one fails and doesn't end the others."""
+    (tmp_path / "docs").mkdir()
+    for name, text in FILES.items():
+        (tmp_path / "docs" / name).write_text(text)
+    base = C.merged(BASE, {"corpus": {"sources": [{"impl": "filesystem", "params": {"root": str(tmp_path / "docs")}}]}, "ingestion": {"parse": {"default": {"impl": "markdown"}}, "enrich": {"enrichers": [{"impl": "section_prefix"}, {"impl": "regex_fields", "params": {"fields": {"timeout_seconds": {"pattern": r"timeout=(\d+)", "type": "int"}}}}]}}, "query": {"rerank": {"impl": "lexical_overlap"}}})
+    one = assemble.assemble(spark, C.merged(base, {"paths": {"store": str(tmp_path / "probe")}}))
+    one.build()
+    gold_units = {r["source_uri"]: r for r in one.engine.units().filter("ordinal = 0").collect()}
+    questions = spark.createDataFrame([("a", "where do sessions keep cookies", "factual", "cookies", "text"), ("b", "how many have timeout seconds greater than 20", "structured", None, None)], "query_id string, query string, query_type string, answer string, answer_type string")
+    g = gold_units["sessions.md"]
+    gold = spark.createDataFrame([("a", g["document_id"], g["span_start"], g["span_end"], 3)], "query_id string, document_id string, span_start int, span_end int, weight int")
+    runner = AblationRunner(spark, base, str(tmp_path / "work"))
+    scored = runner.run({"base": {}, "no rerank": {"query.rerank.impl": "noop"}, "windows": {"ingestion.segment": {"impl": "fixed_window"}}, "broken": {"query.fuse.impl": "none"}}, questions, gold)
+    assert set(runner.errors) == {"broken"} and scored.count() == 6 and len(list((tmp_path / "work").iterdir())) == 2
+    got = {(r["arm"], r["query_id"]): r for r in scored.collect()}
+    assert got["base", "a"]["reciprocal_rank"] == 1.0 and got["base", "a"]["correct"] and got["base", "b"]["route_correct"] and not got["base", "b"]["failed"] and got["base", "b"]["recall_5"] is None
+    report = {r["arm"]: r for r in runner.report(scored, "base").collect()}
+    assert report["base"]["d_failure_rate"] == 0.0 and report["no rerank"]["recall_20"] == 1.0

@@ -9,10 +9,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quernstone.operators import dense, enrich, evaluation, lexical, retrieve
+from quernstone.operators import dense, enrich, evaluation, lexical, retrieve, route, structured
 from quernstone.operators.retrieve import _proximity
 from quernstone.plans import reference_queries
 from quernstone.plans.engine import EngineConfig
+from quernstone.session import cumulated
 
 UNITS = [("u1", "the read timeout in seconds"), ("u2", "connection pooling and retries"), ("u3", "timeout timeout pooling"), ("u4", ""), ("u5", None), ("u6", "read the manual"), ("u7", "read the manual")]
 QUESTIONS = [("q1", "read timeout timeout"), ("q2", "pooling"), ("q3", "absent"), ("q4", ""), ("q5", None)]
@@ -203,9 +204,34 @@ def test_scores(spark):
 
 
 def test_percentiles_are_exclusive(spark):
-    v = spark.createDataFrame([([float(k) for k in range(1, 11)],), ([7.0],), ([],)], "v array<double>")
-    got = [r[0] for r in v.select(evaluation.percentile(F.col("v"), 95)).collect()]
-    assert abs(got[0] - 10.45) < 1e-9 and got[1] == 7.0 and got[2] is None
+    data = [("a", float(k)) for k in range(1, 11)] + [("b", 7.0), ("c", None)] + [(None, 1.0), (None, 3.0)] + [("t", 5.0)] * 50
+    got = {(r["g"], r["p"]): r["value"] for r in evaluation.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()}
+    assert got == {k: pytest.approx(v) for k, v in {("a", 50): 5.5, ("a", 95): 10.45, ("b", 50): 7.0, ("b", 95): 7.0, (None, 50): 2.0, (None, 95): 4.7, ("t", 50): 5.0, ("t", 95): 5.0}.items()}
+
+
+def test_running_sums_over_ranges(spark):
+    r = np.random.default_rng(0)
+    data = [(g, int(v), int(r.integers(1, 9))) for g in "ab" for v in r.permutation(500)]
+    c = cumulated(spark.createDataFrame(data, "g string, v int, n bigint").repartition(7), ["g"], "v").collect()
+    for g in "ab":
+        own = sorted((x["v"], x["n"], x["upto"]) for x in c if x["g"] == g)
+        assert [u for *_, u in own] == np.cumsum([n for _, n, _ in own]).tolist() and len(own) == 500
+
+
+def test_questions_from_fields(spark):
+    from datetime import date
+
+    data = [(f"u{k}", "aabbbbcd"[k % 8], k, date(2015 + k, 1, 1)) for k in range(10)]
+    df = spark.createDataFrame(data, "unit_id string, package string, version_major int, release_date date")
+    q = evaluation.field_questions(df, 4).collect()
+    assert len({x["query"] for x in q}) == len(q) and {x["field"] for x in q} == {"package", "version_major", "release_date"}
+    inside = [int(x["query"].split()[-1]) for x in q if x["field"] == "version_major"]
+    assert inside and all(1 <= v <= 8 for v in inside) and "which entries have package b" in {x["query"] for x in q}
+    asked = route.Scanner(["package", "version_major", "release_date"], {"package": "str", "version_major": "int", "release_date": "date"})
+    for x in q:
+        if x["query"].startswith("which"):
+            assert df.filter(structured.compiled(asked.query(x["query"]).where, df.schema)).count() > 0, x["query"]
+    assert [r[0] for r in spark.createDataFrame([("my_pkg-core/x.md",), (None,)], "n string").select(evaluation.subject_of(F.col("n"))).collect()] == ["my pkg core x", ""]
 
 
 def test_judges(spark):
