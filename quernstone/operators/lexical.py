@@ -5,7 +5,8 @@ statistics; filters only drop candidates. A question's terms count once each. Sc
 by unit_id.
 
 Search reads the forward table once per pass and never shuffles it: the questions' terms are sent to the executors, in passes of a fixed number;
-each scores its units in blocks, as sums of rows of a small matrix of term weights, and keeps the K best per question with all ties.
+each scores its units in blocks, as sums of rows of a small matrix of term weights, and keeps the K best per question with all ties. A block
+whose terms' greatest weights add up to less than a question's K-th best score so far is left out for that question.
 What is shuffled is about K rows per question and task. Joining questions to postings instead makes a row per question and unit for
 every frequent term, which is nearly all pairs.
 """
@@ -110,7 +111,7 @@ class _Questions:
 
     def best(self, blocks: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
         """(units, question, unit, score) per block: all that are among the K best of their question so far."""
-        top = np.zeros((len(self.ids), self.k))
+        top, least = np.zeros((len(self.ids), self.k)), np.zeros(len(self.ids))
         place = np.full(len(self.vocabulary), -1, np.int64)
         for ids, lists in blocks:
             present, w = self.weights(lists)
@@ -119,16 +120,22 @@ class _Questions:
             place[present] = np.arange(len(present))
             held = np.flatnonzero(place[self.term] >= 0)
             owners, firsts = np.unique(self.owner[held], return_index=True)
-            edges = np.append(firsts, len(held))
+            sizes = np.diff(np.append(firsts, len(held)))
+            # no unit of the block scores more than the sum of its terms' greatest weights in it
+            bound = np.add.reduceat(w.max(axis=1)[place[self.term[held]]] * self.idf[held], firsts)
+            likely = bound + 1e-8 >= least[owners]
+            held, owners = held[np.repeat(likely, sizes)], owners[likely]
+            edges = np.concatenate([[0], np.cumsum(sizes[likely])])
             for a in range(0, len(owners), _QUESTIONS):
                 z = min(len(owners), a + _QUESTIONS)
                 own = held[edges[a] : edges[z]]
                 s = np.round(np.add.reduceat(w[place[self.term[own]]] * self.idf[own, None], edges[a:z] - edges[a], axis=0), 9)
                 q = owners[a:z]
-                keep = (s > 0) & (s >= top[q].min(axis=1)[:, None])
+                keep = (s > 0) & (s >= least[q][:, None])
                 both = np.concatenate([top[q], s], axis=1)
                 top[q] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
-                x, u = np.nonzero(keep & (s >= top[q].min(axis=1)[:, None]))
+                least[q] = top[q].min(axis=1)
+                x, u = np.nonzero(keep & (s >= least[q][:, None]))
                 yield ids, q[x], u, s[x, u]
             place[present] = -1
 

@@ -15,7 +15,7 @@ from quernstone.functions import text as T
 from quernstone.operators import dense, eav, enrich, evaluation, ledger, lexical, parse, retrieve, route, segment, structured
 from quernstone.operators.structured import Aggregation, And, Compare, Exists, In, Not, Or, StructuredQuery, TextMatch
 from quernstone.plans.data_queries import _CELLS, _KIND, _WIDE
-from quernstone.session import table
+from quernstone.session import scratch, table
 from quernstone.sources import scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,18 +142,18 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "parsed_documents").select("document_id", "source_uri", "text", scan.media_type(F.col("source_uri")).alias("media_type"))
 
 
-def _kinds(parsed: DataFrame) -> DataFrame:
-    return parsed.select("document_id", F.explode("blocks").alias("b")).groupBy("document_id", "b.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("b.text")).alias("chars"))
+def _blocks(parsed: DataFrame) -> DataFrame:
+    return parsed.select("document_id", F.posexplode("blocks").alias("ordinal", "b")).select("document_id", "ordinal", "b.kind", "b.level", "b.directive", "b.span_start", "b.span_end", "b.text", F.size("b.table.rows").alias("n_rows"))
 
 
 @query("parse_markdown")
 def _(spark, sf):
-    return _kinds(parse.parse_markdown(_files(spark, sf).filter("media_type = 'text/markdown'")))
+    return _blocks(parse.parse_markdown(_files(spark, sf).filter("media_type = 'text/markdown'")))
 
 
 @query("parse_rst")
 def _(spark, sf):
-    return _kinds(parse.parse_rst(_files(spark, sf).filter("media_type = 'text/x-rst'")))
+    return _blocks(parse.parse_rst(_files(spark, sf).filter("media_type = 'text/x-rst'")))
 
 
 def _routed(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +162,46 @@ def _routed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("parse_routed")
 def _(spark, sf):
-    return _kinds(_routed(spark, sf))
+    return _blocks(_routed(spark, sf))
+
+
+_MARKDOWN = "# Top\nIntro line\nmore\n\n- one\n- two\n  deep\n\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```py\n# no heading\n```\n## Sub\n~~~\nopen"
+_RST = "Title\n=====\n\nText here::\n\n   lit one\n   lit two\n\n.. note:: hi\n   more\n\nSub\n---\n.. code-block:: python\n\n   x = 1\nplain\nT2\n==\n"
+_PINNED_BLOCKS = [
+    ("md", 0, "heading", 1, "Top"), ("md", 1, "paragraph", None, "Intro line\nmore"), ("md", 2, "list_item", None, "- one\n- two\n  deep"), ("md", 3, "table", None, "| a | b |\n|---|---|\n| 1 | 2 |"), ("md", 4, "paragraph", None, "after"),
+    ("md", 5, "code", None, "```py\n# no heading\n```"), ("md", 6, "heading", 2, "Sub"), ("md", 7, "code", None, "~~~\nopen"),
+    ("rst", 0, "heading", 1, "Title"), ("rst", 1, "paragraph", None, "Text here::"), ("rst", 2, "code", None, "   lit one\n   lit two"), ("rst", 3, "other", None, ".. note:: hi\n   more"), ("rst", 4, "heading", 2, "Sub"), ("rst", 5, "code", None, ".. code-block:: python\n\n   x = 1"), ("rst", 6, "paragraph", None, "plain"), ("rst", 7, "heading", 1, "T2"),
+]
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """SQL of literal rows."""
+    one = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower()
+    return "select * from (values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") as t({columns})"
+
+
+@query("parse_pinned", _values(_PINNED_BLOCKS, "document_id, ordinal, kind, level, text"))
+def _(spark, sf):
+    d = spark.createDataFrame([("md", "d.md", _MARKDOWN), ("rst", "d.rst", _RST)], "document_id string, source_uri string, text string")
+    both = parse.parse_markdown(d.filter("document_id = 'md'")).unionByName(parse.parse_rst(d.filter("document_id = 'rst'")))
+    return _blocks(both).select("document_id", "ordinal", "kind", "level", "text")
+
+
+@query("check_parsed_planted", """
+with b as (select document_id, text, unnest(blocks) as b, unnest(range(len(blocks))) as k from parsed_documents),
+x as (select document_id, b.block_id as block_id, (b.span_start - case when k % 3 = 1 then 5 else 0 end)::int as s, (b.span_end + case when k % 5 = 4 then 1000000 else 0 end)::int as e, k, length(text) as n from b),
+y as (select *, max(e) over (partition by document_id order by k rows between unbounded preceding and 1 preceding) as before from x),
+c as (select document_id from parsed_documents where page_count is not null and page_count % 2 = 0)
+select document_id, block_id, 'span out of bounds' as problem from y where s < 0 or e < s or e > n union all select document_id, block_id, 'out of order' from y where s < before union all select document_id, null, 'confidence out of bounds' from c""")
+def _(spark, sf):
+    """Planted faults: every third block begins five characters early, every fifth ends far outside, documents of even page counts are surer than sure."""
+    d = table(spark, sf, "parsed_documents").select("document_id", "text", F.when(F.col("page_count") % 2 == 0, 1.5).alias("reading_order_confidence"), F.transform("blocks", lambda b, k: b.withField("span_start", (b["span_start"] - F.when(k % 3 == 1, 5).otherwise(0)).cast("int")).withField("span_end", (b["span_end"] + F.when(k % 5 == 4, 1_000_000).otherwise(0)).cast("int"))).alias("blocks"))
+    return parse.parse_violations(d)
+
+
+@query("blocks_by_kind", "select document_id, k::int as ordinal, b.block_id as block_id, b.kind as kind, substr(text, b.span_start + 1, b.span_end - b.span_start) as text from (select document_id, text, unnest(blocks) as b, unnest(range(len(blocks))) as k from parsed_documents) where b.kind in ('heading', 'code')")
+def _(spark, sf):
+    return parse.blocks_by_kind(table(spark, sf, "parsed_documents"), "heading", "code")
 
 
 @query("check_parsed", """
@@ -215,17 +254,21 @@ def _(spark, sf):
     return segment.unit_violations(u, table(spark, sf, "parsed_documents"))
 
 
-@query("neighbour_links", f"with {_UNITS} select unit_id, lag(unit_id) over w as prev_id, lead(unit_id) over w as next_id from u window w as (partition by document_id order by span_start, span_end, unit_id)")
+_LINKS = f"with {_UNITS}, o as (select *, row_number() over (partition by document_id order by span_start, span_end, unit_id) as k from u), h as (select *, {_HASH.format('text')} as content_hash, row_number() over (partition by document_id, text order by k) - 1 as occurrence from o), i as (select document_id, k, substr({_merged_sql(chr(39) + 'unit' + chr(39), 'document_id', 'content_hash', 'occurrence::varchar')}, 8, 24) as unit_id from h) select document_id, k::int as ordinal, unit_id, lag(unit_id) over w as prev_id, lead(unit_id) over w as next_id from i window w as (partition by document_id order by k)"
+
+
+@query("neighbour_links", _LINKS)
 def _(spark, sf):
+    """Units numbered anew in their documents: occurrences, ids and links as the segmenters make them."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("document_id").orderBy("span_start", "span_end", "unit_id")
-    return _units(spark, sf).select("unit_id", F.lag("unit_id").over(order).alias("prev_id"), F.lead("unit_id").over(order).alias("next_id"))
+    u = _units(spark, sf).withColumn("ordinal", F.row_number().over(Window.partitionBy("document_id").orderBy("span_start", "span_end", "unit_id")))
+    return segment._numbered(u.drop("unit_id")).select("document_id", "ordinal", "unit_id", "prev_id", "next_id")
 
 
 # enriching
 
-_TITLES = r"t as (select document_id, regexp_replace(regexp_replace(string_split(source_uri, '/')[-1], '\.[^.]*$', ''), '[_-]', ' ', 'g') as title from parsed_documents)"
+_TITLES = r"t as (select document_id, coalesce(substr(text, h[1].span_start + 1, h[1].span_end - h[1].span_start), regexp_replace(regexp_replace(string_split(source_uri, '/')[-1], '\.[^.]*$', ''), '[_-]', ' ', 'g')) as title from (select document_id, text, source_uri, list_filter(blocks, lambda b: b.kind = 'heading') as h from parsed_documents))"
 
 
 def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,10 +276,10 @@ def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.document_titles(table(spark, sf, "parsed_documents").withColumn("blocks", F.expr("cast(array() as array<struct<kind:string,text:string>>)")))
+    return enrich.document_titles(table(spark, sf, "parsed_documents"))
 
 
-_PREFIX = f"x as (select u.unit_id, u.document_id, u.span_start, u.span_end, u.text, case when coalesce(section, '') = '' then title else title || ' > ' || section end as context from u join t using (document_id))"
+_PREFIX = f"x as (select u.unit_id, u.document_id, u.span_start, u.span_end, u.text, nullif(case when coalesce(section, '') = '' then title when title = '' then section else title || ' > ' || section end, '') as context from u join t using (document_id))"
 
 
 @query("enrich_section_prefix", f"with {_UNITS}, {_TITLES}, {_PREFIX} select unit_id, context from x")
@@ -351,7 +394,7 @@ def _(spark, sf):
 
 @query("hash_embed")
 def _(spark, sf):
-    return dense.hash_embed(_units(spark, sf), 256).select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"), F.size("vector").alias("dim"))
+    return dense.hash_embed(_units(spark, sf), 256)
 
 
 @query("hash_search")
@@ -363,7 +406,23 @@ def _(spark, sf):
 @query("lsa_embed")
 def _(spark, sf):
     u = _units(spark, sf)
-    return dense.fit_latent(u, 512).embed(u, "unit_id").select("unit_id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+    return dense.fit_latent(u, 512).embed(u, "unit_id")
+
+
+#: Three texts and their hashed vectors of eight columns.
+_PINNED_VECTORS = [
+    ("d1", "0.1525 -0.1525 0.1525 -0.76249 0.305 -0.1525 -0.4575 0.1525"),
+    ("d2", "-0.62554 -0.41703 0.41703 0.41703 0.0 0.0 -0.20851 0.20851"),
+    ("q", "0.0 -0.37796 0.0 -0.75593 0.0 -0.37796 0.0 0.37796"),
+]
+
+
+@query("hash_embed_pinned", _values(_PINNED_VECTORS, "id, vector"))
+def _(spark, sf):
+    u = spark.createDataFrame([("d1", "the read timeout in seconds"), ("d2", "connection pooling and retries")], "unit_id string, text string")
+    asked = dense.hash_embed_queries(spark.createDataFrame([("q", "read timeout")], "query_id string, query string"), u, 8)
+    both = dense.hash_embed(u, 8).withColumnRenamed("unit_id", "id").unionByName(asked.withColumnRenamed("query_id", "id"))
+    return both.select("id", F.array_join(F.transform("vector", lambda x: (F.round(x.cast("double"), 5) + 0.0).cast("string")), " ").alias("vector"))
 
 
 # predicates and structured queries, over the typed wide table of unit fields
@@ -393,7 +452,8 @@ _PREDICATES = {
     "pred_and": (And((Compare("version_major", "gte", 1), TextMatch("license_id", "open"))), "coalesce(version_major >= 1, false) and coalesce(contains(lower(license_id), 'open'), false)"),
     "pred_or": (Or((Compare("version_major", "eq", 3), Exists("download_mb"))), "coalesce(version_major = 3, false) or download_mb is not null"),
     "pred_not": (Not(Compare("version_major", "gte", 1)), "not coalesce(version_major >= 1, false)"),
-    "pred_nested": (And((Not(Or((Exists("page_count"), Exists("max_connections")))), Or(()), )), "false"),
+    "pred_nested": (And((Not(Or((Exists("page_count"), Exists("max_connections")))), Or((Compare("version_major", "gte", 2), In("doc_audience", ("operators", "developers")))))), "page_count is null and max_connections is null and (coalesce(version_major >= 2, false) or coalesce(doc_audience in ('operators', 'developers'), false))"),
+    "pred_empty_or": (Or(()), "false"),
     "pred_empty_and": (And(()), "true"),
 }
 for _name, (_p, _where) in _PREDICATES.items():
@@ -413,18 +473,18 @@ def _(spark, sf):
 @query("struct_group_agg", _RECORDS + "select license_id, count(*) as count, round(avg(version_major), 6) as avg_version_major, min(release_date) as min_release_date, max(release_date) as max_release_date from r group by 1 order by license_id nulls first limit 1000")
 def _(spark, sf):
     q = StructuredQuery(select=("license_id",), group_by=("license_id",), aggregations=(Aggregation("count"), Aggregation("avg", "version_major"), Aggregation("min", "release_date"), Aggregation("max", "release_date")), order_by=(("license_id", False),))
-    return structured.run(_records(spark, sf), q).drop("_sources").withColumn("avg_version_major", F.round("avg_version_major", 6))
+    return structured.run(_records(spark, sf), q).withColumn("avg_version_major", F.round("avg_version_major", 6))
 
 
 @query("struct_global_agg", _RECORDS + "select count(*) as count, sum(version_major)::bigint as sum_version_major, min(download_mb) as min_download_mb, max(download_mb) as max_download_mb from r where coalesce(starts_with(lower(doc_audience), 'dev'), false)")
 def _(spark, sf):
     q = StructuredQuery(where=TextMatch("doc_audience", "DEV", "prefix"), aggregations=(Aggregation("count"), Aggregation("sum", "version_major"), Aggregation("min", "download_mb"), Aggregation("max", "download_mb")))
-    return structured.run(_records(spark, sf), q).drop("_sources")
+    return structured.run(_records(spark, sf), q)
 
 
-@query("struct_citations", _RECORDS + "select doc_audience, count(*) as count, string_agg(unit_id, ' ' order by unit_id) as sources from r where deprecated_on is not null group by 1")
+@query("struct_citations", _RECORDS + "select doc_audience, unit_id from r where deprecated_on is not null")
 def _(spark, sf):
-    return _run(spark, sf, StructuredQuery(where=Exists("deprecated_on"), select=("doc_audience",), group_by=("doc_audience",), aggregations=(Aggregation("count"),)))
+    return structured.citations(_records(spark, sf), StructuredQuery(where=Exists("deprecated_on"), select=("doc_audience",), group_by=("doc_audience",), aggregations=(Aggregation("count"),)))
 
 
 @query("struct_filter_search", _RECORDS + "select unit_id, row_number() over (order by unit_id) as rank, 1.0::double as score from r where coalesce(version_major = 0, false) order by unit_id limit 40")
@@ -432,9 +492,12 @@ def _(spark, sf):
     return structured.filter_search(_records(spark, sf), Compare("version_major", "eq", 0), 40)
 
 
-@query("struct_fields_long", _RECORDS + "select unit_id, 'version_major' as name, version_major as v_int from r where version_major is not null")
+_LONG = " union all ".join(f"select unit_id, '{n}' as name, " + ", ".join(f"{n if _KIND.get(n, 's') == k else 'null::' + t} as {c}" for k, t, c in (("s", "varchar", "v_text"), ("i", "bigint", "v_int"), ("f", "double", "v_num"), ("d", "date", "v_date"))) + f" from r where {n} is not null" for n in _WIDE)
+
+
+@query("struct_fields_long", _RECORDS + _LONG)
 def _(spark, sf):
-    return structured.fields_long(_records(spark, sf).select("unit_id", "version_major")).select("unit_id", "name", "v_int")
+    return structured.fields_long(_records(spark, sf))
 
 
 # routing
@@ -456,6 +519,30 @@ def _(spark, sf):
     return route.route(_questions(spark, sf).select("query_id", "query"), _LEXICON, types).select("query_id", "query_type", "path", "step_budget", "confidence", "reason", "predicate", F.array_join("sub_queries", " | ").alias("sub_queries"))
 
 
+_ROUTE_TYPES = {"release_date": "date", "version": "str", "version_major": "int", "package": "str", "timeout_seconds": "int"}
+#: Questions that name fields, their paths and predicates.
+_PINNED_ROUTES = [
+    ("which entries have release date before 2023-06-27", "structured", '["compare", "release_date", "lt", {"date": "2023-06-27"}]'),
+    ("how many have release date since 2020-01-01", "structured", '["compare", "release_date", "gte", {"date": "2020-01-01"}]'),
+    ("which entries have version major greater than 2", "structured", '["compare", "version_major", "gt", 2]'),
+    ("how many entries have version major at least 1,000", "structured", '["compare", "version_major", "gte", 1000]'),
+    ("how many have timeout seconds less than 30", "structured", '["compare", "timeout_seconds", "lt", 30]'),
+    ("how many have version 1.0.0", "structured", '["text", "version", "1.0.0", "exact"]'),
+    ("how many have package requests", "structured", '["text", "package", "requests", "exact"]'),
+    ("total of package is flask and version major over 3", "structured", '["and", [["text", "package", "flask", "exact"], ["compare", "version_major", "gt", 3]]]'),
+    ("how many distinct package values are recorded", "structured", '["exists", "package", true]'),
+    ("compare requests versus httpx pooling", "iterative", None),
+    ("explain where the read timeout of the client is set", "lookup", None),
+    ("more than 5 failures", "lookup", None),
+]
+
+
+@query("route_pinned", _values(_PINNED_ROUTES, "query, path, predicate"))
+def _(spark, sf):
+    q = spark.createDataFrame([(f"p{k}", r[0]) for k, r in enumerate(_PINNED_ROUTES)], "query_id string, query string")
+    return route.route(q, _LEXICON, _ROUTE_TYPES).select("query", "path", "predicate")
+
+
 @query("route_passthrough", "select query_id, 'lookup' as path, 1 as step_budget from golden_queries")
 def _(spark, sf):
     return route.route_passthrough(_questions(spark, sf).select("query_id", "query")).select("query_id", "path", "step_budget")
@@ -546,6 +633,34 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.hydrate(top, u).select("query_id", "rank", "unit_id", "score", "document_id", "span_start", "span_end")
 
 
+def _store(spark: SparkSession, sf: str):
+    """An engine over all parsed documents, built from nothing."""
+    from quernstone.plans.engine import Engine, EngineConfig
+
+    d = _files(spark, sf).filter("text is not null").withColumn("content_hash", ids.text_hash(F.col("text")))
+    rules = [enrich.FieldRule("timeout_seconds", r"timeout_seconds?\D{1,3}(\d+)", "int"), enrich.FieldRule("release_date", r"(\d{4}-\d{2}-\d{2})", "date"), enrich.FieldRule("version", r"version (\d+\.\d+(?:\.\d+)?)", "str")]
+    routes = [(F.col("media_type") == "text/markdown", "markdown"), (F.col("media_type") == "text/x-rst", "rst")]
+    e = Engine(spark, scratch(spark, "engine"), EngineConfig(routes=routes, rules=rules, enrichers=("section_prefix", "regex_fields")))
+    return e, d
+
+
+@query("engine_build")
+def _(spark, sf):
+    """A cold build over all documents: the ledger it leaves."""
+    e, d = _store(spark, sf)
+    e.build(d, "cold")
+    return e.documents().select("document_id", "content_hash", F.size("unit_ids").alias("n_units"), "build_id")
+
+
+@query("engine_query")
+def _(spark, sf):
+    """All golden questions by their own path over a built store: routed, BM25 and hashed vectors, fused, reranked, hydrated."""
+    e, d = _store(spark, sf)
+    e.build(d, "cold")
+    types = {"release_date": "date", "version": "str", "timeout_seconds": "int"}
+    return e.query(_questions(spark, sf).select("query_id", "query"), lexicon=list(types), types=types).select("query_id", "path", "rank", "unit_id", "score", "document_id", "span_start", "span_end")
+
+
 # ledger
 
 _KEYS = {"parse": "p1", "segment": "s1", "index:bm25": "b1"}
@@ -568,10 +683,10 @@ def _(spark, sf):
     return ledger.unit_diff(u.filter("removed_at is null"), u.filter("indexed_at < timestamp_ntz '2025-01-01'"))
 
 
-@query("accounting_by_stage", "select event_type as stage, count(*) as calls, round(sum(value), 2) as wall_ms, sum(case when user_id % 2 = 0 then 1 else 0 end)::bigint as hits, count(case when value < 1 then 1 end) as errors from events group by 1")
+@query("accounting_by_stage", "select event_type as stage, count(*) as calls, round(sum(value), 2) as wall_ms, round(sum(user_id * 0.25), 2) as cost, sum(user_id)::bigint as tokens, sum(case when user_id % 2 = 0 then 1 else 0 end)::bigint as hits, count(case when value < 1 then 1 end) as errors from events group by 1")
 def _(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("wall_ms"), F.lit(0.0).alias("cost"), (F.col("user_id") % 2 == 0).cast("int").alias("hits"), F.lit(0).cast("bigint").alias("tokens"), F.when(F.col("value") < 1, "slow").alias("error"))
-    return ledger.by_stage(e).select("stage", "calls", F.round("wall_ms", 2).alias("wall_ms"), "hits", "errors")
+    e = table(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("wall_ms"), (F.col("user_id") * 0.25).cast("double").alias("cost"), (F.col("user_id") % 2 == 0).cast("int").alias("hits"), F.col("user_id").alias("tokens"), F.when(F.col("value") < 1, "slow").alias("error"))
+    return ledger.by_stage(e).select("stage", "calls", F.round("wall_ms", 2).alias("wall_ms"), F.round("cost", 2).alias("cost"), "tokens", "hits", "errors")
 
 
 # evaluation
@@ -620,8 +735,7 @@ with v as (select event_type, list(value order by value) as v, count(*) as n fro
 j as (select *, p / 100 * (n + 1) as at_, greatest(1, least(floor(p / 100 * (n + 1))::int, n - 1)) as j from p)
 select event_type, p::int as p, round(v[j] * (1 - (at_ - j)) + v[j + 1] * (at_ - j), 6) as value from j""")
 def _(spark, sf):
-    e = table(spark, sf, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return e.select("event_type", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.round(evaluation.percentile(F.col("v"), p), 6).alias("value")) for p in (50, 95)])).alias("x")).select("event_type", "x.*")
+    return evaluation.percentiles(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "p", F.round("value", 6).alias("value"))
 
 
 @query("eval_expected_path", "select query_id, case when query_type in ('structured', 'numeric', 'temporal') then 'structured' when query_type in ('multi_hop', 'comparative') then 'iterative' end as path from golden_queries")
@@ -663,11 +777,18 @@ def _(spark, sf):
 @query("bootstrap_golden")
 def _(spark, sf):
     u = _units(spark, sf)
-    subjects = u.select("document_id", F.substring_index("source_uri", "/", 1).alias("subject")).distinct()
+    names = scan.path_metadata(F.col("source_uri"), {"name": "([^/]+)$"})
+    subjects = u.select("document_id", evaluation.subject_of(F.try_element_at(names, F.lit("name"))).alias("subject")).distinct()
     index = lexical.build(u)
     return evaluation.bootstrap(u, subjects, lambda q, k: lexical.search(index, q, k), want=200).select("query_id", "query", "unit_id", "lexical_overlap")
 
 
+@query("bootstrap_fields")
+def _(spark, sf):
+    """Questions that the typed fields of units answer."""
+    return evaluation.field_questions(_records(spark, sf))
+
+
 @query("golden_stats", "select query_type, count(*) as n, sum(case when origin in ('human', 'verified', 'bootstrap_verified') then 1 else 0 end)::bigint as n_verified from golden_queries group by 1")
 def _(spark, sf):
     return evaluation.golden_stats(table(spark, sf, "golden_queries"))
