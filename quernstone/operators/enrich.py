@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,6 @@ def regex_fields(units: DataFrame, rules: list[FieldRule]) -> DataFrame:
 
 def model_context(units: DataFrame, name: str, write: Callable[[list[str]], list[str | None]]) -> DataFrame:
     """Context by a model: WRITE maps a batch of texts to contexts and is called once per Arrow batch. No model comes with the package."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def written(texts: pd.Series) -> pd.Series:
         return pd.Series(write(texts.tolist()), dtype="object")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -155,6 +156,28 @@ def bootstrap(units: DataFrame, subjects: DataFrame, search=None, want: int = 20
     return u.select(F.concat(F.lit("q"), F.substring("unit_id", 1, 8)).alias("query_id"), "query", "unit_id", "document_id", "span_start", "span_end", F.substring("text", 1, 160).alias("snippet"), F.round(T.overlap(T.quick_fold(F.col("query")), T.quick_fold(F.col("text"))), 9).alias("lexical_overlap"))
 
 
+def golden_overlap(golden: DataFrame, passages: DataFrame) -> DataFrame:
+    """GOLDEN with `lexical_overlap`: the recorded value, else the share of the question's terms in its passage (query_id, snippet)."""
+    g = golden if "lexical_overlap" in golden.columns else golden.withColumn("lexical_overlap", F.lit(None).cast("double"))
+    p = passages.groupBy("query_id").agg(F.max("snippet").alias("_p"))
+    measured = F.round(T.overlap(T.quick_fold(F.col("query")), T.quick_fold(F.col("_p"))), 9)
+    return g.join(p, "query_id", "left").withColumn("lexical_overlap", F.coalesce("lexical_overlap", measured)).drop("_p")
+
+
+def model_bootstrap(units: DataFrame, ask, most_overlap: float = 0.6, least_terms: int = 2) -> DataFrame:
+    """(query_id, query, unit_id, document_id, span_start, span_end, lexical_overlap): questions by a model. ASK maps a batch of texts to a question
+    each, or None, and is called once per Arrow batch; no model comes with the package. A question that says little, or is too near to its
+    passage's words, is left out."""
+    @F.pandas_udf("string")
+    def asked(texts: pd.Series) -> pd.Series:
+        return pd.Series(ask(texts.tolist()), dtype="object")
+
+    q = units.withColumn("query", asked(F.col("text"))).filter(F.trim("query") != "")
+    q = q.withColumns({"lexical_overlap": F.round(T.overlap(T.quick_fold(F.col("query")), T.quick_fold(F.col("text"))), 9), "_n": F.size(T.query_terms(T.quick_fold(F.col("query"))))})
+    q = q.filter((F.col("_n") >= least_terms) & (F.col("lexical_overlap") <= most_overlap))
+    return q.select(F.concat(F.lit("m"), F.substring("unit_id", 1, 8)).alias("query_id"), "query", "unit_id", "document_id", "span_start", "span_end", "lexical_overlap")
+
+
 def interior(values: DataFrame, field: str) -> DataFrame:
     """(field, threshold): distinct values of a field away from its ends, by rank: from a sixth of them to the last sixth."""
     v = values.select(F.col(field).alias("threshold")).filter("threshold is not null").distinct().withColumn("n", F.lit(1).cast("bigint"))

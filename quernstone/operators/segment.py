@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions import ids
+from quernstone.functions.text import quick_fold, tokens
 
 MAX_TOKENS, MERGE_BELOW = 512, 32
 #: A table is split at this size whatever the units' own limit is.
@@ -173,13 +174,16 @@ SEGMENTERS = {"whole_document": segment_whole, "fixed_window": segment_fixed_win
 
 
 def unit_violations(units: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(unit_id, problem): repeated ids, spans out of bounds, verbatim text that is not in its span, and reordered ordinals."""
+    """(unit_id, problem): repeated ids, spans out of bounds, verbatim text that is not in its span, other text of which less than 60 % of the
+    words are, and repeated ordinals."""
     p = parsed.select("document_id", F.col("text").alias("_canonical"))
     u = units.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("unit_id")), "_before": F.lag("ordinal").over(Window.partitionBy("document_id").orderBy("ordinal"))}).join(p, "document_id", "left")
     held = F.substring(F.col("_canonical"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+    own = F.array_distinct(tokens(quick_fold(F.col("text"))))
     problems = [
         F.when(F.col("_n") > 1, "repeated id"), F.when(F.col("_canonical").isNull(), "no such document"), F.when((F.col("span_start") < 0) | (F.col("span_end") > F.length("_canonical")), "span out of bounds"),
         F.when(F.col("verbatim") & ~held.contains(F.col("text")), "text is not in its span"), F.when(F.col("ordinal") == F.col("_before"), "repeated ordinal"),
+        F.when(~F.col("verbatim") & (F.size(F.array_intersect(own, tokens(quick_fold(held)))) < 0.6 * F.size(own)), "words are not of its span"),
     ]
     return u.select("unit_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 

@@ -56,6 +56,8 @@ class EngineConfig:
     step_budget: int = 3
     routed: bool = True
     decision_log: str | None = None
+    #: Whether parsed and segmented documents are kept for later builds.
+    cache: bool = True
     #: Documents in one commit of a build; None for all in one.
     checkpoint: int | None = None
 
@@ -119,7 +121,7 @@ class Engine:
         c, keys = self.config, self.config.keys()
         settings = {"parse": keys["parse"], "segment": keys["segment"]}
         keyed = documents.withColumn("cache_key", ids.cache_key("segment", c.segmenter, "1", settings, F.col("content_hash"), F.col("document_id")))
-        cache = self.store.read("segmented")
+        cache = self.store.read("segmented") if c.cache else None
         misses = keyed if cache is None else ledger.cache_misses(keyed, cache.select("cache_key").distinct())
         d = misses.select("document_id", "source_uri", "text", "media_type", "cache_key")
         parsed = parse.parse_routed(d, c.routes, c.parser) if c.routes else parse.PARSERS[c.parser](d)
@@ -127,6 +129,8 @@ class Engine:
         titles = enrich.document_titles(parsed)
         new = units.join(titles, "document_id", "left").join(d.select("document_id", "cache_key"), "document_id")
         part = self.store.write("segmented", new)
+        if not c.cache:
+            return self.store.read("segmented", [part])
         self._pending.setdefault("segmented", []).append(part)
         fresh = self.store.read("segmented", [part])
         return fresh if cache is None else fresh.unionByName(cache.join(keyed.select("cache_key"), "cache_key", "left_semi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +81,24 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*").withColumnRenamed("id", "query_id")
 
 
-def write_golden(golden: DataFrame, path: str) -> None:
+def golden_meta(spark: SparkSession, path: str) -> dict:
+    """What the `_meta` line of a golden set says; empty if there is none."""
+    line = spark.read.text(path).filter(r"value rlike '^\\s*\\{\\s*\"_meta\"'").head(1)
+    return json.loads(line[0]["value"])["_meta"] if line else {}
+
+
+def write_golden(golden: DataFrame, path: str, meta: dict | None = None) -> None:
+    """Write a golden set as JSON lines, with a `_meta` line in a file of its own."""
     golden.withColumnRenamed("query_id", "id").write.mode("overwrite").json(path)
+    if meta is not None:
+        golden.sparkSession.createDataFrame([(json.dumps({"_meta": meta}, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def artifacts(blobs: DataFrame, content: str = "content", media_type: str = "media_type") -> DataFrame:
+    """(content_hash, uri, media_type, content) of blobs, one row per content, for a table keyed by hash."""
+    b = blobs.filter(F.col(content).isNotNull()).select(F.concat(F.lit("sha256:"), F.sha2(F.col(content), 256)).alias("content_hash"), F.col(media_type).alias("media_type"), F.col(content).alias("content"))
+    b = b.groupBy("content_hash").agg(F.min("media_type").alias("media_type"), F.first("content").alias("content"))
+    return b.select("content_hash", F.concat(F.lit("artifact:"), "content_hash", F.lit("?type="), F.coalesce("media_type", F.lit("application/octet-stream"))).alias("uri"), "media_type", "content")
 
 
 def log_decisions(decisions: DataFrame, path: str) -> None:

@@ -163,6 +163,11 @@ def test_files(spark, tmp_path):
     assert golden.count() == 1 and golden.first()["relevant"][0]["span"] == [0, 3]
     scan.write_golden(golden, str(tmp_path / "out"))
     assert rows(scan.read_golden(spark, str(tmp_path / "out")), "query_id", "origin") == [("q", "human")]
+    assert scan.golden_meta(spark, str(g)) == {"v": 1} and scan.golden_meta(spark, str(tmp_path / "out")) == {}
+    scan.write_golden(golden, str(tmp_path / "out2"), {"v": 2})
+    assert scan.golden_meta(spark, str(tmp_path / "out2")) == {"v": 2} and scan.read_golden(spark, str(tmp_path / "out2")).count() == 1
+    blobs = spark.createDataFrame([(bytearray(b"a"), "t"), (bytearray(b"a"), "t"), (None, "t"), (bytearray(b"b"), None)], "content binary, media_type string")
+    assert sorted(r["uri"].split("?")[1] for r in scan.artifacts(blobs).collect()) == ["type=application/octet-stream", "type=t"]
     both = scan.concatenated(scan.scan_files(spark, str(tmp_path), ["*.md"]).select("document_id"), spark.createDataFrame([("zz",)], "document_id string"), limit=2)
     assert both.count() == 2
 

@@ -218,6 +218,15 @@ def test_running_sums_over_ranges(spark):
         assert [u for *_, u in own] == np.cumsum([n for _, n, _ in own]).tolist() and len(own) == 500
 
 
+def test_questions_by_a_model(spark):
+    u = spark.createDataFrame([("u1", "d", 0, 9, "the read timeout in seconds"), ("u2", "d", 9, 20, "pooling of connections")], "unit_id string, document_id string, span_start int, span_end int, text string")
+    got = evaluation.model_bootstrap(u, lambda texts: ["how long until reading gives up" if "timeout" in t else t for t in texts])
+    assert rows(got, "unit_id", "lexical_overlap") == [("u1", 0.0)]
+    g = spark.createDataFrame([("q", "read timeout", None), ("r", "x", 0.5)], "query_id string, query string, lexical_overlap double")
+    p = spark.createDataFrame([("q", "the read limit"), ("r", "x")], "query_id string, snippet string")
+    assert rows(evaluation.golden_overlap(g, p), "query_id", "lexical_overlap") == [("q", 0.5), ("r", 0.5)]
+
+
 def test_questions_from_fields(spark):
     from datetime import date
 

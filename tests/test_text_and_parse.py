@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import ids
 from quernstone.functions import text as T
-from quernstone.operators import parse, segment
+from quernstone.operators import enrich, parse, segment
 
 DOC = "document_id string, source_uri string, text string"
 
@@ -142,3 +142,19 @@ def test_units_are_slices(blocks):
     assert all(a["span_end"] <= b["span_start"] for a, b in zip(units, units[1:], strict=False))
     content = [b for b in made if b["kind"] != "heading"]
     assert all(any(u["span_start"] <= b["span_start"] and b["span_end"] <= u["span_end"] for u in units) or len(b["text"]) // 4 > 40 for b in content)
+
+
+def test_contracts_are_checked(spark):
+    parsed = parse.parse_markdown(docs(spark, [MD])).withColumn("reading_order_confidence", F.lit(1.5))
+    assert rows(parse.parse_violations(parsed)) == [("d0", None, "confidence out of bounds")]
+    assert rows(parse.parse_violations(parsed.drop("reading_order_confidence").withColumn("document_id", F.lit(""))), "problem") == [("no document id",)]
+    assert rows(parse.blocks_by_kind(parsed, "heading"), "ordinal", "text") == [(0, "Top"), (6, "Sub")]
+    units = segment.segment_structural(parsed.drop("reading_order_confidence"))
+    strange = units.withColumns({"verbatim": F.lit(False), "text": F.lit("nothing of this kind stands there")})
+    assert {r[1] for r in rows(segment.unit_violations(strange, parsed))} == {"words are not of its span"} and rows(segment.unit_violations(units, parsed)) == []
+
+
+def test_context_by_a_model(spark):
+    units = spark.createDataFrame([("u1", "some text"), ("u2", None)], "unit_id string, text string")
+    got = enrich.model_context(units, "mine", lambda texts: [None if t is None else t.upper() for t in texts])
+    assert rows(got, "unit_id", "enricher", "context") == [("u1", "mine", "SOME TEXT"), ("u2", "mine", None)]
