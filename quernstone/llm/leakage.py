@@ -139,39 +139,54 @@ class Index:
         else:
             n = np.array([held.get(x, 1) for x in shingles.tolist()], float)
         weight = np.log1p((len(ids) if n_items is None else n_items) / n)
-        edges = np.searchsorted(owner, np.arange(len(ids) + 1))
-        self.shingles = [shingles[a:z] for a, z in zip(edges, edges[1:], strict=False)]
-        self.weights = [weight[a:z] for a, z in zip(edges, edges[1:], strict=False)]
-
-    def find(self, texts: pa.Array) -> Iterator[tuple[int, int, int, float]]:
+        self.total = np.bincount(owner, weight, len(ids))
+        order = np.argsort(shingles, kind="stable")
+        self.known, self.firsts = np.unique(shingles[order], return_index=True)
+        self.firsts = np.append(self.firsts, len(order))
+        self.owner, self.weight = owner[order], weight[order]
+
+    def shared(self, shingles: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, sum): of each text and item with a shingle in common, as text * items + item in order, the weights of those in common."""
+        at = np.minimum(np.searchsorted(self.known, shingles), max(len(self.known) - 1, 0))
+        hit = self.known[at] == shingles if len(self.known) else np.zeros(len(shingles), bool)
+        pairs = np.unique(text[hit] * max(len(self.known), 1) + at[hit])
+        t, s = pairs // max(len(self.known), 1), pairs % max(len(self.known), 1)
+        n = self.firsts[s + 1] - self.firsts[s]
+        ends = np.cumsum(n)
+        entry = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.firsts[s] - (ends - n), n)
+        key, inverse = np.unique(np.repeat(t, n) * len(self.ids) + self.owner[entry], return_inverse=True)
+        return key, np.bincount(inverse, self.weight[entry], len(key))
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, item id, longest run of equal words or 0, weighted share of the item's shingles) of the candidates."""
         words, offsets = codes(texts)
         prints, at, text = simhashes(words, offsets, self.window)
         q, w = self.passages.candidates(prints)
         places, items = self.passages.at[w], self.passages.item[w]
-        best = dict.fromkeys(zip(text[q].tolist(), items.tolist(), strict=True), 0)
+        keys = [text[q] * len(self.ids) + items]
+        for layer in self.items:
+            prints, _, text_ = simhashes(words, offsets, layer.window)
+            x, y = layer.candidates(prints)
+            keys.append(text_[x] * len(self.ids) + layer.item[y])
+        pair = np.unique(np.concatenate(keys))
+        longest = np.zeros(len(pair), np.int64)
         same = np.ones(len(q), bool)
         for j in range(self.window):
             same &= words[at[q] + j] == self.words[places + j]
         # equal windows that follow each other on one diagonal make one longer run
-        rows = np.unique(np.stack([text[q], items, at[q] - places, at[q]], 1)[same], axis=0)
+        rows = np.unique(np.stack([keys[0], at[q] - places, at[q]], 1)[same], axis=0)
         if len(rows):
-            new = np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1) | (rows[1:, 3] != rows[:-1, 3] + 1)])
+            new = np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1) | (rows[1:, 2] != rows[:-1, 2] + 1)])
             begins = np.flatnonzero(new)
-            lengths = np.diff(np.append(begins, len(rows))) + self.window - 1
-            for (t, i), n in zip(rows[begins, :2].tolist(), lengths.tolist(), strict=True):
-                best[t, i] = max(best[t, i], n)
-        for layer in self.items:
-            prints, _, text = simhashes(words, offsets, layer.window)
-            q, w = layer.candidates(prints)
-            for pair in set(zip(text[q].tolist(), layer.item[w].tolist(), strict=True)):
-                best.setdefault(pair, 0)
-        if best:
+            np.maximum.at(longest, np.searchsorted(pair, rows[begins, 0]), np.diff(np.append(begins, len(rows))) + self.window - 1)
+        share = np.zeros(len(pair))
+        if len(pair):
             shingles, starts = runs(words, offsets, SHINGLE)
-            own = {t: np.unique(shingles[starts[t] : starts[t + 1]]) for t in {t for t, _ in best}}
-        for (t, i), run in best.items():
-            weights = self.weights[i]
-            yield t, int(self.ids[i]), run, float(weights[np.isin(self.shingles[i], own[t], assume_unique=True)].sum() / weights.sum()) if len(weights) else 0.0
+            key, sums = self.shared(shingles, np.repeat(np.arange(len(starts) - 1), np.diff(starts)))
+            k = np.minimum(np.searchsorted(key, pair), max(len(key) - 1, 0))
+            held = key[k] == pair if len(key) else np.zeros(len(pair), bool)
+            share[held] = sums[k[held]] / self.total[pair[held] % len(self.ids)]
+        return pair // max(len(self.ids), 1), self.ids[pair % max(len(self.ids), 1)], longest, share
 
 
 def _held_by(items: DataFrame) -> DataFrame:
@@ -212,9 +227,8 @@ def _finder(index: Broadcast):
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                found = list(index.value.find(part.column(1)))
-                ids = part.column(0).take(pa.array([t for t, *_ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in found], pa.int64()), ids, pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.float64())], ["item_id", "doc_id", "longest_run", "similarity"])
+                text, item, run_, share = index.value.find(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(item), part.column(0).take(pa.array(text)), pa.array(run_, pa.int32()), pa.array(share)], ["item_id", "doc_id", "longest_run", "similarity"])
 
     return run
 
