@@ -203,6 +203,22 @@ def test_scores(spark):
     assert (s["x"]["recall_5"], s["x"]["ndcg_10"], s["x"]["failed"]) == (0.0, 0.0, True) and s["n"]["recall_5"] is None and s["n"]["failed"]
 
 
+def test_correlation_of_constant_columns(spark):
+    def r(*data):
+        return spark.createDataFrame(data, "a double, b double").agg(evaluation.correlation("a", "b")).first()[0]
+
+    data = [(0.2, 1.0), (0.4, 0.5), (0.0, 0.0), (1.0, 0.25), (None, 0.3), (0.7, None)]
+    assert abs(r(*data) - np.corrcoef(*zip(*data[:4]))[0, 1]) < 1e-12
+    assert all(math.isnan(r(*d)) for d in ([(0.0, 0.0)] * 3, [(0.1, 1.0), (0.1, 0.5), (0.1, 0.2)], [(1.0, 1.0)])) and r((None, 1.0)) is None
+
+
+def test_metric_corr_when_nothing_is_found(spark, small, tmp_path):
+    for name in ("units", "relevant_spans", "golden_queries"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    spark.read.parquet(f"{small}/hits.parquet").withColumn("unit_id", F.concat(F.lit("gone-"), "unit_id")).write.parquet(str(tmp_path / "hits.parquet"))
+    assert math.isnan(reference_queries.QUERIES["metric_corr"](spark, str(tmp_path)).first()["r"])
+
+
 def test_percentiles_are_exclusive(spark):
     data = [("a", float(k)) for k in range(1, 11)] + [("b", 7.0), ("c", None)] + [(None, 1.0), (None, 3.0)] + [("t", 5.0)] * 50
     got = {(r["g"], r["p"]): r["value"] for r in evaluation.percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()}
