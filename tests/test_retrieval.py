@@ -149,6 +149,18 @@ def test_fusion(spark):
     assert rows(retrieve.sparse_ranks(h.filter("source = 'lex'"))) == [] and rows(retrieve.fuse_rrf(h.limit(0))) == []
 
 
+def test_fusion_keeps_the_best_hit(spark):
+    h = spark.createDataFrame([*HITS, ("q", "phr", 2, 0, 1, "b", 5.0), ("q", "phr", 2, 1, 2, "a", 4.0)], HS)
+    want = [("a", 1, "lex", 9.0), ("b", 1, "den", 0.9), ("c", 2, "den", 0.8), ("z", 1, "den", 0.1)]
+    assert rows(retrieve.fuse_rrf(h), "unit_id", "best_rank", "best_source", "best_score") == want
+    assert rows(retrieve.fuse_rrf(h.orderBy(F.desc("target"))), "unit_id", "best_rank", "best_source", "best_score") == want
+
+
+def test_hybrid_search_tells_which_list_found_a_unit(spark, small):
+    got = reference_queries.QUERIES["hybrid_search"](spark, small).select("best_rank", "found_by", "best_source").distinct().collect()
+    assert {r["found_by"] for r in got} <= {"bm25", "dense", "bm25 dense"} and all(r["best_source"] in r["found_by"].split() and r["best_rank"] >= 1 for r in got) and got
+
+
 def test_iteration_stops(spark):
     rounds = [("q", "lex", 0, s, r, u, 1.0) for s, units in enumerate([["a", "b", "c", "d"], ["a", "e"], ["f", "g", "h", "i"]]) for r, u in enumerate(units, 1)]
     got = rows(retrieve.iterative(spark.createDataFrame(rounds, HS), 3), "step", "rank", "unit_id")
