@@ -3,8 +3,10 @@ from __future__ import annotations
 import math
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -58,6 +60,35 @@ def test_bm25_in_blocks_is_exact(spark, monkeypatch):
     assert [x[:3] for x in got] == [x[:3] for x in bm25(units, questions, 5)]
 
 
+def in_process(units, questions, k, batch):
+    """(query_id, unit_id) of one task of the search, without a session."""
+    docs = [t.split() for _, t in units]
+    df = Counter(w for d in docs for w in set(d))
+    asked = [{"query_id": q, "term": w, "idf": math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))} for q, t in questions for w in set(t.split()) if df[w]]
+    forward = pa.RecordBatch.from_arrays([pa.array([u for u, _ in units]), pa.array(docs)], ["unit_id", "tokens"])
+    shared = SimpleNamespace(value=lexical._Questions(asked, k, sum(map(len, docs)) / len(docs)))
+    return [r for b in lexical._best(shared)(iter(forward.slice(a, batch) for a in range(0, len(units), batch))) for r in b.to_pylist()]
+
+
+def test_bm25_task_gives_k_rows_of_equal_units():
+    got = in_process([(f"u{k:03}", "read the manual") for k in range(400, 0, -1)], [("q", "manual")], 3, 500)
+    assert [r["unit_id"] for r in got] == ["u001", "u002", "u003"]
+
+
+def test_bm25_lists_in_order_of_weight_are_exact(monkeypatch):
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(lexical, "_UNITS", 90, raising=False)
+    monkeypatch.setattr(lexical, "_ROWS", 5, raising=False)
+    vocabulary = [f"w{k:02}" for k in range(60)]
+    weights = 1 / np.arange(1, 61) ** 1.2
+    units = [(f"u{k:03}", " ".join(r.choice(vocabulary, r.integers(1, 20), p=weights / weights.sum()))) for k in r.permutation(400)]
+    questions = [(f"q{k:02}", " ".join(r.choice(vocabulary, r.integers(1, 7)))) for k in range(60)]
+    for k in (1, 5, 1000):
+        kept = Counter()
+        got = [(q, kept.__setitem__(q, kept[q] + 1) or kept[q], u, s) for q, u, s in sorted(((x["query_id"], x["unit_id"], x["score"]) for x in in_process(units, questions, k, 40)), key=lambda x: (x[0], -x[2], x[1]))]
+        assert [x[:3] for x in got if x[1] <= k] == [x[:3] for x in bm25(units, questions, k)]
+
+
 def test_dense_search_against_numpy(spark):
     r = np.random.default_rng(1)
     v = np.round(r.normal(size=(50, 8)), 3)
