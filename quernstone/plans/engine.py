@@ -289,10 +289,16 @@ class Engine:
             q = cut(q, "decisions")
             scan.log_decisions(route.log_records(q), c.decision_log)
         allowed = records.filter(structured.compiled(where, records.schema)).select("unit_id") if where is not None else None
-        single = retrieve.fan_out(q.filter("path = 'lookup'").select("query_id", "query"), self.targets(units, allowed, "lookup"))
+        lookups = q.filter("path = 'lookup'").select(F.concat("query_id", F.lit("\u0001-1")).alias("query_id"), "query")
         parts = q.filter("path = 'iterative'").select("query_id", F.posexplode(F.array_distinct(F.concat(F.array("query"), F.coalesce("sub_queries", F.array().cast("array<string>"))))).alias("step", "query")).filter(F.col("step") < c.step_budget)
         chained = parts.select(F.concat_ws("\u0001", "query_id", F.col("step").cast("string")).alias("query_id"), "query")
-        rounds = retrieve.fan_out(chained, self.targets(units, allowed, "iterative")).withColumns({"step": F.element_at(F.split("query_id", "\u0001"), -1).cast("int"), "query_id": F.element_at(F.split("query_id", "\u0001"), 1)})
+        if c.path_top_k.get("lookup") == c.path_top_k.get("iterative"):  # paths that ask the same indexes read them once
+            hits = retrieve.fan_out(cut(lookups.unionByName(chained), "asked"), self.targets(units, allowed, "lookup"))
+        else:
+            hits = retrieve.fan_out(lookups, self.targets(units, allowed, "lookup")).unionByName(retrieve.fan_out(chained, self.targets(units, allowed, "iterative")))
+        hits = hits.withColumns({"step": F.element_at(F.split("query_id", "\u0001"), -1).cast("int"), "query_id": F.regexp_replace("query_id", "\u0001-?[0-9]+$", "")})
+        hits = cut(hits, "hits")
+        single, rounds = hits.filter("step < 0").withColumn("step", F.lit(0)), hits.filter("step >= 0")
         lists = single.unionByName(retrieve.iterative(rounds, c.step_budget).select(*single.columns))
         fused = retrieve.fuse_rrf(lists, c.rrf_k, c.weights) if c.fuse == "rrf" else retrieve.fuse_concat(lists)
         ranked = self._reranked(fused, queries, units).filter(F.col("rank") <= c.top_k)

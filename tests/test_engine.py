@@ -54,6 +54,18 @@ def test_incremental_builds_and_queries(spark, tmp_path):
     assert rows(other.plan(corpus(spark, changed)).select("change").distinct()) == [("UNCHANGED",)]
 
 
+def test_lookups_and_rounds_are_searched_together(spark, tmp_path, monkeypatch):
+    e = engine(spark, tmp_path)
+    e.build(corpus(spark, FILES), "b1")
+    q = spark.createDataFrame([("a", "where do sessions keep cookies"), ("c\u00017", "compare read timeout versus connect timeout")], "query_id string, query string")
+    searched, search = [], lexical.search
+    monkeypatch.setattr(lexical, "search", lambda *args: searched.append(args) or search(*args))
+    got = rows(e.query(q), "query_id", "path", "rank", "unit_id", "score")
+    assert len(searched) == 1 and {(r[0], r[1]) for r in got} == {("a", "lookup"), ("c\u00017", "iterative")}
+    e.config.path_top_k = {"lookup": {"bm25": 50, "hash": 50}}
+    assert rows(e.query(q), "query_id", "path", "rank", "unit_id", "score") == got and len(searched) == 3
+
+
 def test_many_structured_questions_with_all_their_rows(spark, tmp_path):
     e = engine(spark, tmp_path)
     e.build(corpus(spark, {f"p{k:02}.md": f"# Page {k}\n\n" + "Reading waits for the read timeout of the client. " * 8 + f"timeout={k}" for k in range(55)}), "b1")

@@ -103,6 +103,36 @@ def test_dense_search_against_numpy(spark):
     assert rows(dense.search(units, q.limit(0), 4)) == []
 
 
+def test_dense_search_scores_in_double_precision_only_what_may_be_among_the_best(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = r.standard_normal((400, 40))
+    v[200:] = v[:200] * (1 + r.uniform(-3e-7, 3e-7, (200, 1)))  # pairs that single precision can't tell apart
+    q = r.standard_normal((30, 40))
+    scored, einsum = [], np.einsum
+    task = dense._nearest(spark, pa.table({"q": [f"q{k:02}" for k in range(30)], "vector": q.tolist()}), 5, "q", "u", 9)
+    monkeypatch.setattr(dense.np, "einsum", lambda how, a, b: scored.append(len(a)) or einsum(how, a, b))
+    batches = [pa.record_batch({"u": [f"u{k:03}" for k in range(a, a + 50)], "vector": v[a : a + 50].tolist()}) for a in range(0, 400, 50)]
+    got = Counter()
+    for b in task(iter(batches)):
+        for name, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            got[name, s] += 1
+    want = np.round(q @ v.T, 9)
+    for k in range(30):
+        best = sorted(want[k])[-5:]
+        assert sorted(s for (name, s), n in got.items() for _ in range(n) if name == f"q{k:02}")[-5:] == pytest.approx(best, abs=1e-12)
+    assert sum(scored) < 30 * 400 / 3
+
+
+def test_hashing_many_texts_equals_hashing_each(monkeypatch):
+    texts = ["The read  timeout\n\tin seconds", "", "abc", "ab", "über Straße 漢字漢字漢 😀😀😀😀😀", "the read timeout the read"]
+    words = [t.lower().split() for t in texts]
+    df = {"w:the": 3, "c:read": 2}
+    for dim, n in ((8, 4), (256, 3), (16, 40)):
+        for args in ((), (df, 9)):
+            got = dense.hashed_all(texts, pa.array(words), dim, n, *args)
+            assert got.tolist() == [dense.hashed(t, w, dim, n, *args) for t, w in zip(texts, words, strict=True)]
+
+
 def test_pinned_hash_vectors(spark):
     texts = spark.createDataFrame([("a", "the read timeout in seconds"), ("b", "connection pooling and retries"), ("z", ""), ("n", None)], "unit_id string, text string")
     got = {r["unit_id"]: [round(x, 5) for x in r["vector"]] for r in dense.hash_embed(texts, 8).collect()}
